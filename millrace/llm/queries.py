@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
+from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
 
 
@@ -26,9 +27,15 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
