@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-#: A block is at most so many documents and, unless one document is longer, so many characters.
-BLOCK_DOCS, BLOCK_CHARS = 8192, 6_000_000
+#: A block is at most so many documents and, unless one document is longer, so many bytes.
+BLOCK_DOCS, BLOCK_BYTES = 8192, 4_000_000
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str]]]:
@@ -87,16 +88,13 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, l
     """
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        start = chars = 0
-        for i, t in enumerate(texts):
-            if i > start and (i - start >= BLOCK_DOCS or chars + len(t) > BLOCK_CHARS):
-                yield number, batch.column(0).slice(start, i - start), texts[start:i]
-                number, start, chars = number + 1, i, 0
-            chars += len(t)
-        if start < len(texts):
-            yield number, batch.column(0).slice(start), texts[start:]
-            number += 1
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right"))), start + BLOCK_DOCS, batch.num_rows)
+            yield number, batch.column(0).slice(start, end - start), [t or "" for t in batch.column(1).slice(start, end - start).to_pylist()]
+            number, start = number + 1, end
 
 
 def to_ipc(batch: pa.RecordBatch) -> bytes:

@@ -55,12 +55,13 @@ def _send(path: str, buckets: int) -> Callable:
             for text in texts:
                 parts = apart.split(text) if apart else [text]
                 words = split(parts[0]) if len(parts) == 1 else [w for p in parts for w in split(p)]
-                tokens.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                tokens.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 extra.append(len(parts) - 1)
             n_bytes = [len(t.encode()) for t in texts]
             head = pa.record_batch([ids, pa.array(n_bytes, pa.int64()), pa.array(extra, pa.int64())], ["id", "n_bytes", "extra"])
             rows = [(-1 - block % buckets, block, to_ipc(head))]
             words = [w.encode() for w in number]
+            number.clear()
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(words), np.int64)
@@ -96,8 +97,10 @@ def _join(path: str) -> Callable:
                 blob, sizes, found, docs, freq = unpack(data)
                 ends, blob = np.cumsum(sizes, dtype=np.int64).tolist(), blob.tobytes()
                 words = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                if new := [w for w in words if w not in pieces]:
-                    pieces.update((w, len(e)) for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True))
+                new = [w for w in words if w not in pieces]
+                for i in range(0, len(new), 1024):
+                    found_now = tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 1024]], add_special_tokens=False)
+                    pieces.update(zip(new[i : i + 1024], map(len, found_now), strict=True))
                 per_word = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))
                 sums = np.bincount(docs, per_word.repeat(found) * freq).astype(np.int64)
                 some = np.flatnonzero(sums)
