@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
+from millrace.llm.merkle import compare_with_next
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
 
@@ -32,10 +33,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_merkle_fingerprints": op9_merkle_fingerprints,
 }
 
 SQL: dict[str, str] = {}
