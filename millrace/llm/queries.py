@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
+from millrace.llm import quality
 from millrace.llm.merkle import compare_with_next
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
+from millrace.llm.url_filter import canonical_edges, judge_urls
+
+#: A document is predicted good from this score on.
+GOOD = 0.3
+
+
+def held_out() -> Column:
+    """Whether a document's label is only for evaluation."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~held_out()))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +53,49 @@ def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+#: Fixed value: the rules of the query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, canonical_edges(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
+    "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_url_filter": r"""
+        WITH RECURSIVE tags AS (
+            SELECT url AS u, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>')) AS tag
+            FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')),
+        aims AS (
+            SELECT u, replace(CASE
+                WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^\s"''>]+)', 1)
+                WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^\s"''>]+)', 1) END, '&amp;', '&') AS v
+            FROM tags),
+        edges AS (SELECT u, v FROM aims WHERE contains(v, '://') UNION SELECT v, u FROM aims WHERE contains(v, '://')),
+        reach AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+        nodes AS (SELECT url FROM pages UNION SELECT u FROM edges),
+        parts AS (
+            SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM nodes),
+        rules(rule_host, rule_path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        best AS (
+            SELECT url, rule_host || rule_path AS rule, action FROM parts JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, action) = 1),
+        aliases AS (
+            SELECT r.u AS url FROM reach r JOIN best b ON b.url = r.v GROUP BY r.u
+            HAVING bool_or(action = 'block') AND NOT bool_or(action = 'allow'))
+        SELECT p.page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, b.rule, coalesce(b.action, CASE WHEN a.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM pages p LEFT JOIN parts s ON s.url = p.url LEFT JOIN best b ON b.url = p.url LEFT JOIN aliases a ON a.url = p.url
+    """,
+}
