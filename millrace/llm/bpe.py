@@ -10,9 +10,9 @@ again from the last sure boundary. Each piece is then encoded by itself. Decodin
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from millrace.ship import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern decides a match from its first three characters and the one after it.
 SIGHT = 3
-CACHED = 200_000
+CACHED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,21 +36,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of a piece, remembered for the pieces met lately."""
+    """Ids of a piece as int32 bytes, remembered for the pieces met lately."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        self[piece] = ids = self.bpe.encode_ordinary(piece)
+        self[piece] = ids = array("i", self.bpe.encode_ordinary(piece)).tobytes()
         return ids
 
     def ids(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
+
+    def counted(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes in characters, counts of ids and ids of the pieces."""
+        each = list(map(self.__getitem__, pieces))
+        return np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -92,11 +97,8 @@ def _split_chunk(path: str) -> Callable:
         for batch in batches:
             sizes, counts, ids = [], [], []
             for text in batch.column(4).to_pylist():
-                pieces = find(text)
-                sizes.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
-                each = [encoder[p] for p in pieces]
-                counts.append(np.fromiter(map(len, each), np.int32, len(each)))
-                ids.append(np.fromiter(chain.from_iterable(each), np.int32))
+                for column, found in zip((sizes, counts, ids), encoder.counted(find(text)), strict=True):
+                    column.append(found)
             yield pa.record_batch([*batch.columns, _lists(sizes), _lists(counts), _lists(ids)], [*batch.schema.names, "sizes", "counts", "ids"])
 
     return split
@@ -148,9 +150,7 @@ def stitch_chunks(chunks: list[dict], split: Callable[[str], tuple[np.ndarray, n
 def _stitch(path: str) -> Callable:
     def stitch(table: pa.Table) -> pa.Table:
         def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            encoder, pieces = encoder_of(path), regex.findall(PATTERN, text)
-            each = [encoder[p] for p in pieces]
-            return np.array([len(p) for p in pieces], np.int64), np.array([len(x) for x in each], np.int64), np.fromiter(chain.from_iterable(each), np.int64)
+            return encoder_of(path).counted(regex.findall(PATTERN, text))
 
         chunks = sorted(table.select(["start", "last", "text", "sizes", "counts", "ids"]).to_pylist(), key=lambda c: c["start"])
         return pa.table({"id": table.column("id").slice(0, 1), "ids": _lists([stitch_chunks(chunks, split)])})
@@ -178,10 +178,12 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken", id_col:
 
 def _bytes(path: str) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in read_ranks(path).items()}
+        ranks = read_ranks(path)
+        tokens = np.empty(max(ranks.values()) + 1, object)
+        tokens[list(ranks.values())] = list(ranks)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            out = [b"".join(map(tokens.__getitem__, ids[i].values.tolist())) if ids[i].is_valid else None for i in range(len(ids))]
+            out = [b"".join(tokens[ids[i].values.to_numpy(zero_copy_only=False)].tolist()) if ids[i].is_valid else None for i in range(len(ids))]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return decode
