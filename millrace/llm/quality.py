@@ -1,7 +1,7 @@
 """Quality classifier of supervised subword embeddings.
 
-Words and the 3 to 5 character n-grams of the words, ends included, are hashed to rows of one embedding table. A
-document is the mean of its rows, a softmax layer turns that into class probabilities, and both are trained by
+Words, the 3 to 5 character n-grams of the words, ends included, and whether a word repeats the one before are hashed
+to rows of one embedding table. A document is the mean of its rows, a softmax layer turns that into class probabilities, and both are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled rows. The layer is linear, so a trained model is
 folded into one number for each row and class, and scoring sums gathered numbers over a whole text.
 """
@@ -24,6 +24,8 @@ GRAMS = (3, 4, 5)
 #: The sample: at most so many labelled rows, and of them those of at most so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
 EPOCHS, RATE = 6, 0.5
+#: So many features without weight are added to each text: a few words alone don't decide.
+CALM = 16
 #: Odd multipliers of a 64-bit multiplicative hash and a prime base for polynomial hashes.
 MIX, BASE = 0x9E3779B97F4A7C15, 0x100000001B3
 PIECE = 1 << 19
@@ -54,7 +56,10 @@ class Features:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * self.up[:n], dtype=np.uint64)])
         starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
         ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        yield starts, self._ids((sums[ends] - sums[starts]) * self.down[starts], 0)
+        words = (sums[ends] - sums[starts]) * self.down[starts]
+        yield starts, self._ids(words, 0)
+        next_to = np.flatnonzero(starts[1:] - ends[:-1] == 1) + 1  # texts and pieces are two spaces apart
+        yield starts[next_to], self._ids((words[next_to] == words[next_to - 1]).astype(np.uint64), 1)
         for size in GRAMS:
             if n >= size:
                 # a space may only be the first or last character of an n-gram
@@ -124,7 +129,7 @@ class Model:
 
     def probabilities(self, features: Features, texts: list[str | None]) -> np.ndarray:
         total, number = features.sums(texts, self.weights)
-        logits = total / np.maximum(number, 1)[:, None] + self.bias
+        logits = total / (number + CALM)[:, None] + self.bias
         e = np.exp(logits - logits.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -145,7 +150,7 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, bits: int
             ids, counts = bags[i]
             step = rate * (1 - done / steps)
             done += 1
-            share = (counts / max(1, counts.sum())).astype(np.float32)
+            share = (counts / (counts.sum() + CALM)).astype(np.float32)
             rows = table[ids]
             hidden = share @ rows
             logits = hidden @ out + bias
