@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
-from millrace.llm import quality
+from millrace.llm import ann, quality
 from millrace.llm.merkle import compare_with_next
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
@@ -34,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_ann_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids_sha256 is taken over decimal ids joined by commas, decoded_sha256 over the decoded bytes."""
     return decode(encode(table(spark, sf_dir, "documents"))).select(
@@ -65,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
+    "op4_ann_multi_index": op4_ann_multi_index,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
