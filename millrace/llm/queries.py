@@ -11,6 +11,7 @@ from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
 from millrace.llm import ann, quality
 from millrace.llm.merkle import compare_with_next
+from millrace.llm.mixing import mix
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.url_filter import canonical_edges, judge_urls
@@ -49,6 +50,11 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattest mixture that reads every document at least once and no source more than twice."""
+    return mix(table(spark, sf_dir, "documents"), repeat_limit=2.0).select("doc_id", "source", "tokens", "pass", "block", "position")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_ann_multi_index": op4_ann_multi_index,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_url_filter": op10_url_filter,
