@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
 from millrace.llm import ann, quality
+from millrace.llm.lm_scoring import cross_entropy_difference
 from millrace.llm.merkle import compare_with_next
 from millrace.llm.mixing import mix
 from millrace.llm.simhash import near_duplicates
@@ -31,6 +32,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts are the target, all documents the background."""
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
@@ -75,6 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
     "op4_ann_multi_index": op4_ann_multi_index,
     "op5_bpe_round_trip": op5_bpe_round_trip,
