@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import decode, encode
 from millrace.llm.common import table
 from millrace.llm import ann, quality
+from millrace.llm.licenses import find_licenses
 from millrace.llm.lm_scoring import cross_entropy_difference
 from millrace.llm.merkle import compare_with_next
 from millrace.llm.mixing import mix
@@ -56,6 +57,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattest mixture that reads every document at least once and no source more than twice."""
     return mix(table(spark, sf_dir, "documents"), repeat_limit=2.0).select("doc_id", "source", "tokens", "pass", "block", "position")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_ann_multi_index": op4_ann_multi_index,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_license_scan": op6_license_scan,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
