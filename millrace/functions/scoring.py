@@ -106,6 +106,12 @@ def fit(row: dict[str, Column], years: float | None, accepted: list[str]) -> tup
     return delta, F.array_compact(F.array(geo_reason, years_reason, how_reason))
 
 
+def matched_skills(text: Column, skills: list[tuple[str, float, list[str]]]) -> Column:
+    """array of struct(name, weight) of the skills that lower-case text names as whole tokens, in the profile's order."""
+    hits = [F.when(text.rlike("|".join(token_pattern(t) for t in [name, *names])), F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"))) for name, weight, names in skills]
+    return F.array_compact(F.array(*hits))
+
+
 def score_job(row: dict[str, Column], profile: Profile, now: datetime) -> Column:
     """struct(score, reasons) of a posting.
 

@@ -186,7 +186,7 @@ def contains_adjacent(tokens: Column, phrase: list[str]) -> Column:
 
 
 def apply_email(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, rf"{START}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{END}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, rf"{START}(?=[A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{END}", 0), F.lit(""))
 
 
 def extract_address(raw: Column) -> Column:

@@ -16,8 +16,9 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def latest_child(children: DataFrame, parent: str, child: str) -> DataFrame:
-    """The child of the greatest id of each parent, with all its columns."""
-    return children.groupBy(parent).agg(F.max_by(F.struct(*[c for c in children.columns if c != parent]), child).alias("x")).select(parent, "x.*")
+    """The child of the greatest id of each parent, with all its columns; of repeated ids the greatest by the other columns."""
+    rest = [c for c in children.columns if c not in (parent, child)]
+    return children.groupBy(parent).agg(F.max(F.struct(child, *rest)).alias("x")).select(parent, "x.*")
 
 
 def merge_batch(rows: DataFrame, key: str, ord_col: str, richest: str = "description", first_filled: tuple[str, ...] = ("apply_email", "salary_text"), source: str = "source") -> DataFrame:
@@ -88,3 +89,20 @@ def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def one_active(rows: DataFrame, keys: list[str], order: list[Column], flag: str) -> DataFrame:
+    """flag: whether a row is the first of its key."""
+    return rows.withColumn(flag, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
+def revoke_then_insert(table: DataFrame, rows: DataFrame, keys: list[str], revoked_col: str, now: Column) -> DataFrame:
+    """The table with its open rows of the new rows' keys revoked, and the new rows."""
+    hit = rows.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    closed = table.join(hit, keys, "left").withColumn(revoked_col, F.when(F.col("__hit") & F.col(revoked_col).isNull(), now).otherwise(F.col(revoked_col)))
+    return closed.select(*table.columns).unionByName(rows.select(*table.columns))
+
+
+def fill_owner(rows: DataFrame, owner: int, column: str = "user_id") -> DataFrame:
+    """Rows without an owner get this one."""
+    return rows.withColumn(column, F.coalesce(column, F.lit(owner)))

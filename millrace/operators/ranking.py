@@ -41,6 +41,12 @@ def derived_bucket(status: Column, date: Column, now: datetime, days: int) -> Co
     return F.when(status.isin(L.ARCHIVED_STATUSES), "archive").when(status.isin(L.WORKING_STATUSES), "working").when(is_stale(date, now, days), "archive").otherwise("inbox")
 
 
+def badge_bucket(status: Column, date: Column, now: datetime, days: int) -> Column:
+    """The pile that badge counts put a row in: as listed, but without a date it is archived and an unknown status is untriaged."""
+    fresh = F.coalesce(date >= F.lit((now - timedelta(days=days)).replace(microsecond=0)), F.lit(False))
+    return F.when(status.isin(L.WORKING_STATUSES), "working").when(status.isin(L.ARCHIVED_STATUSES) | ~fresh, "archive").otherwise("inbox")
+
+
 def archive_reason(status: Column, date: Column, now: datetime, days: int) -> Column:
     stale = is_stale(date, now, days) & ~F.coalesce(status.isin(L.WORKING_STATUSES), F.lit(False))
     return F.when(status.isin(L.ARCHIVED_STATUSES), "dismissed").when(stale, "expired")
