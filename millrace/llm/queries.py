@@ -104,7 +104,7 @@ SQL: dict[str, str] = {
             FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')),
         aims AS (
             SELECT u, replace(CASE
-                WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^\s"''>]+)', 1)
+                WHEN regexp_matches(tag, '(?is)^<link\b.*\srel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|[^\s"''>]*\bcanonical\b)') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^\s"''>]+)', 1)
                 WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^\s"''>]+)', 1) END, '&amp;', '&') AS v
             FROM tags),
         edges AS (SELECT u, v FROM aims WHERE contains(v, '://') UNION SELECT v, u FROM aims WHERE contains(v, '://')),

@@ -38,7 +38,7 @@ def canonical_edges(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)(<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>)"), F.lit(1))
     link = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\s\"'>]+)", 1)
     refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\s\"'>]+)", 1)
-    is_link = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
+    is_link = F.col("tag").rlike(r"(?is)^<link\b.*\srel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|[^\s\"'>]*\bcanonical\b)")
     is_refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
     found = pages.filter(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("u"), F.explode(tags).alias("tag"))
     to = F.when(is_link, link).when(is_refresh, refresh)
