@@ -122,8 +122,8 @@ def mix(docs: DataFrame, repeat_limit: float | None = 2.0, entropy: float | None
 
 
 def row_keys(docs: DataFrame) -> list[Column]:
-    """Two hashes over all columns; rows that agree in both are taken for repeats of each other."""
-    values = [F.col(c) for c in docs.columns]
+    """Two hashes over all columns; rows that agree in both are taken for repeats of each other. Columns with maps count as JSON."""
+    values = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     return [F.xxhash64(F.lit(1), *values).alias("key"), F.xxhash64(F.lit(2), *values).alias("other")]
 
 
