@@ -8,10 +8,12 @@ pre-token once and joins; the block's task sums. A very common pre-token is one
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 AGREED = re.compile("[^\x00-՗‐-₀₠-鿿가-힣]")
 
 
-def splitter(path: str) -> tuple[Callable[[str], list[str]], list[str]]:
-    """The function that gives the pre-tokens of a text, as the tokenizer file at path splits it, and its special strings."""
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str):
+    """The tokenizer of a file, read once in a worker's life. It starts no threads of its own, as each core has a task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def splitter(path: str) -> tuple[Callable[[str], list[str]], list[str]]:
+    """The function that gives the pre-tokens of a text, as the tokenizer file at path splits it, and its special strings."""
+    tokenizer = tokenizer_of(path)
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     find = regex.compile(PATTERN).findall
 
@@ -84,9 +93,7 @@ def _send(path: str, buckets: int) -> Callable:
 
 def _join(path: str) -> Callable:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = tokenizer_of(path)
         pieces: dict[bytes, int] = {}
         for batch in batches:
             out = []
