@@ -75,8 +75,8 @@ def geo(location: Column) -> Column:
 
 
 def visa_geo(visa: Column) -> Column:
-    """Eligibility that a visa statement implies, or null."""
-    return F.when(visa.rlike("(?i)will sponsor"), "eligible").when(visa.rlike("(?i)us citizen|us citizenship|not required|visa only"), "restricted")
+    """restricted if a visa statement asks for citizens or visa holders, else null."""
+    return F.when(visa.rlike(r"(?i)us\s+citizen(?:ship)?/?visa\s+only"), "restricted")
 
 
 def row_arrangement(value: Column) -> Column:

@@ -260,3 +260,33 @@ def salary_text(low: Column, high: Column, currency: Column | None = None, perio
 
     text = F.when(low.isNotNull() & high.isNotNull(), F.concat(money(low), F.lit(" - "), money(high))).when(low.isNotNull(), F.concat(money(low), F.lit("+"))).when(high.isNotNull(), F.concat(F.lit("up to "), money(high)))
     return F.when(text.isNotNull(), F.concat_ws(" ", *[c for c in (currency, text, period) if c is not None]))
+
+
+# Badges at the end of a card, and lines that are badges.
+CARD_SEPARATOR = " · "
+_COUNTED = r"\d[\d,.]*\+?\s+(?:connections?|alumni|applicants?|people)"
+_AGE = r"\d+\s+(?:minutes?|hours?|days?|weeks?|months?)\s+ago"
+BADGES = rf"(?i)(?:\s+(?:easy apply|actively recruiting|actively reviewing applicants|be an early applicant|fast growing|promoted|reposted|verified|viewed|new|applied on [a-z]{{3}}\s+\d{{1,2}}|\d+\s+school alum(?:ni)?|{_COUNTED}|{_AGE}))+$"
+BADGE_LINE = rf"promoted|reposted|new|viewed|verified|easy apply|actively recruiting|actively reviewing applicants|be an early applicant|alumni work here|response time is typically .+|{_COUNTED}(?![A-Za-z0-9_]).*|{_AGE}|today|yesterday"
+
+
+def repair_card(raw: Column) -> Column:
+    """struct(title, location, easy_apply) of a card's text that was stored as a title."""
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " ")), BADGES, "")
+    at = F.instr(plain, CARD_SEPARATOR)
+    title = F.trim(F.when(at > 0, F.substring(plain, F.lit(1), at - 1)).otherwise(plain))
+    place = F.when(at > 0, F.nullif(F.trim(F.substring(plain, at + len(CARD_SEPARATOR), F.length(plain))), F.lit("")))
+    easy = F.coalesce(raw.rlike(f"(?i){START}easy apply{END}"), F.lit(False))
+    return F.struct(title.alias("title"), place.alias("location"), easy.alias("easy_apply"))
+
+
+def subtract_prefix(head: Column, prefix: Column) -> Column:
+    """What follows the prefix, whatever the case; null if it isn't one or nothing follows."""
+    h, p = F.trim(head), F.trim(prefix)
+    rest = F.nullif(F.trim(F.substring(h, F.length(p) + 1, F.length(h))), F.lit(""))
+    return F.when((p != "") & F.startswith(F.lower(h), F.lower(p)), rest)
+
+
+def remote_of(arrangement: Column) -> Column:
+    """Whether an arrangement is remote; null for an unknown one."""
+    return F.nullif(arrangement, F.lit("unknown")) == "remote"

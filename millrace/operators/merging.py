@@ -25,19 +25,18 @@ def merge_batch(rows: DataFrame, key: str, ord_col: str, richest: str = "descrip
     """One row for each key of a batch, the same however the batch is partitioned.
 
     The earliest row gives every column but these: richest is the most informative filled text (of equals the earliest),
-    first_filled are the earliest filled values, sources are the distinct sources in order.
+    first_filled are the earliest filled values, sources are the distinct sources in order. ord_col is of any ordered type
+    and tells rows apart.
     """
     others = [c for c in rows.columns if c not in (key, richest, *first_filled)]
     filled = F.trim(F.coalesce(F.col(richest), F.lit(""))) != ""
     aggregates = [
         F.min_by(F.struct(*others), ord_col).alias("__first"),
-        F.max_by(F.when(filled, F.col(richest)), F.when(filled, F.struct(informative_length(F.col(richest)).alias("n"), (-F.col(ord_col)).alias("o")))).alias(richest),
+        F.min_by(F.col(richest), F.when(filled, F.struct((-informative_length(F.col(richest))).alias("n"), F.col(ord_col).alias("o")))).alias(richest),
         *[F.min_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(ord_col))).alias(c) for c in first_filled],
-        # one entry for each source of a key, whatever the number of its rows
-        F.collect_set(source).alias("__set"),
     ]
     firsts = rows.groupBy(key, source).agg(F.min(ord_col).alias("o")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", source))), lambda s: s[source]).alias("sources"))
-    merged = rows.groupBy(key).agg(*aggregates).drop("__set")
+    merged = rows.groupBy(key).agg(*aggregates)
     return merged.join(firsts, key).select(key, "__first.*", richest, *first_filled, "sources")
 
 
@@ -106,3 +105,32 @@ def revoke_then_insert(table: DataFrame, rows: DataFrame, keys: list[str], revok
 def fill_owner(rows: DataFrame, owner: int, column: str = "user_id") -> DataFrame:
     """Rows without an owner get this one."""
     return rows.withColumn(column, F.coalesce(column, F.lit(owner)))
+
+
+#: Ids are dealt over so many buckets of keys, whose sizes are all that one task adds up.
+ID_BUCKETS = 1024
+
+
+def assign_ids(rows: DataFrame, keys: list[str], start: int, id_col: str = "id") -> DataFrame:
+    """Rows with ids from start on, without gaps and the same however the rows are partitioned; keys tell the rows apart."""
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(ID_BUCKETS)))
+    before = F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(*keys))
+    return dealt.withColumn("__p", place).join(offsets, "__b").withColumn(id_col, F.lit(start) + F.col("__before") + F.col("__p") - 1).drop("__b", "__p", "__before")
+
+
+def apply_reconciled(stored: DataFrame, batch: DataFrame, found: DataFrame, next_id: int) -> DataFrame:
+    """The stored rows after what reconcile() found for a batch; inserted rows get ids from next_id on.
+
+    A candidate whose source and source_id are stored already, under another fingerprint, is not inserted.
+    """
+    changed = ["description", "apply_email", "sources", "description_source", "stage", "min_years", "max_years"]
+    merges = found.filter("action = 'merge'").select(F.col("stored_id").alias("id"), *[F.col(c).alias(f"__{c}") for c in changed])
+    gained = F.col("__description_source").isNotNull()
+    always = {c: F.when(F.col("__sources").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)) for c in ("description", "apply_email", "sources")}
+    on_gain = {c: F.when(gained, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("description_source", "stage", "min_years", "max_years")}
+    kept = stored.join(merges, "id", "left").withColumns(always | on_gain).select(*stored.columns)
+    inserts = found.filter("action = 'insert'").select("fingerprint", "stage").join(batch.drop("stage"), "fingerprint")
+    fresh = keep_first(inserts, ["source", "source_id"], [F.col("fingerprint")]).join(stored.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    return kept.unionByName(assign_ids(fresh, ["fingerprint"], next_id).select(*[F.col(c) if c in fresh.columns or c == "id" else F.lit(None).cast(t).alias(c) for c, t in stored.dtypes]))
