@@ -10,6 +10,7 @@ a digit for its length.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -165,9 +166,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lower = sorted({ends[1], *ends[0]}) if ends[3] else []
     starts = ([None] if first_null else []) + lower  # of the buckets, in order
     kind = rows.dtypes[0][1]
-    bounds = F.array(*[F.lit(x).cast(kind) for x in lower]) if lower else F.array().cast(f"array<{kind}>")
-    own = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("id"))) - 1 + int(first_null)).cast("int")
-    opens = (F.col("id").isNull() if first_null else F.lit(False)) | F.coalesce(F.array_contains(bounds, F.col("id")), F.lit(False))
+    width = max(1, math.isqrt(len(lower)))  # a bucket is looked up among every width-th bound, then between two of these
+    every, some = ([F.lit(x).cast(kind) for x in b] for b in (lower, lower[::width]))
+    bounds, coarse = (F.array(*b) if b else F.array().cast(f"array<{kind}>") for b in (every, some))
+    far = F.size(F.filter(coarse, lambda b: b <= F.col("id"))) - 1
+    near = F.size(F.filter(F.slice(bounds, far * width + 1, width), lambda b: b <= F.col("id"))) - 1
+    at = (far * width + near).cast("int")
+    own = F.when(F.col("id").isNull(), 0).otherwise(at + int(first_null)).cast("int")
+    opens = F.when(F.col("id").isNull(), first_null).otherwise(F.coalesce(F.get(bounds, at) == F.col("id"), F.lit(False)))
     before = F.when(F.col("bucket") == 0, len(starts) - 1).otherwise(F.col("bucket") - 1).cast("int")
     places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), *[F.when(opens, F.struct(before.alias("bucket"), F.lit(True).alias("guest")))])
     placed = rows.withColumn("bucket", own).withColumn("place", F.explode(places)).filter("place is not null")
