@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Saved
+from millrace.llm.common import Saved, shuffle_partitions
 from millrace.ship import ship
 
 #: Codebooks are fitted on at most so many distinct vectors; there are at most so many centroids a half.
@@ -167,7 +167,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for cn in large.items() for x in cn]), F.col("cell")), F.lit(1)) if large else F.lit(1)
     part = F.pmod(F.xxhash64("v"), share.cast("long"))
     dealt = index.select(F.pmod(F.col("cell").cast("long") * DEAL + part, F.lit(slots).cast("long")).alias("slot"), "cell", "v", "ids")
-    sent = asked.distinct().select("id", "v").mapInArrow(visit, f"slot long, query_id long, q {v_kind}, cells array<int>")
+    # walks cost much more than their bytes, so queries are dealt over all tasks rather than gathered by size
+    spread = asked.distinct().repartition(shuffle_partitions(spark), "id").select("id", "v")
+    sent = spread.mapInArrow(visit, f"slot long, query_id long, q {v_kind}, cells array<int>")
 
     def rank(of: pa.Table, held: pa.Table) -> pa.Table:
         out = [[], [], [], []]
