@@ -8,7 +8,7 @@ A crowded table entry is covered again over its free bits, which halve each time
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import Saved
 from millrace.llm.components import connected_components
@@ -106,8 +105,11 @@ def _spanning(radius: int):
     return F.pandas_udf(links, "array<struct<u:long,v:long>>")
 
 
-def near_links(numbers: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """Links (u, v) that join the same distinct 64-bit numbers (column fp) as all pairs within the radius would."""
+def near_links(numbers: DataFrame, radius: int = RADIUS, crowd: int = CROWD, within: Callable | None = None) -> DataFrame:
+    """Links (u, v) that join the same distinct 64-bit numbers (column fp) as all pairs within the radius would.
+
+    within: a function of an entry's numbers and its mask that gives other links within the entry.
+    """
     ship(numbers.sparkSession)
     todo, links = numbers.select("fp", F.lit(0).cast("long").alias("mask")), None
     while True:
@@ -118,7 +120,8 @@ def near_links(numbers: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
         close = F.bit_count(F.bitwise_not("mask")) <= radius
         alike = many.filter(close).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
         few = many.filter(~close & (F.col("n") <= crowd)).groupBy("mask", "k").agg(F.collect_list("fp").alias("group"))
-        spanned = few.select(F.explode(_spanning(radius)("group")).alias("l")).select("l.u", "l.v")
+        inside = _spanning(radius)("group") if within is None else within("group", "mask")
+        spanned = few.select(F.explode(inside).alias("l")).select("l.u", "l.v")
         found = pairs.unionAll(alike).unionAll(spanned)
         links = found if links is None else links.unionAll(found)
         if sizes.filter((F.col("n") > crowd) & ~close).isEmpty():
@@ -139,22 +142,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = least.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     names = named.groupBy("part").agg(F.min("least").alias("component"))
     return rows.join(named.join(names, "part").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without those of a near-duplicate group but its first: by id, nulls last, then by a hash of the text.
-
-    Groups are chosen over ids and hashes alone; texts move once, to meet the rows that stay. Of rows that repeat each
-    other in id and text, one stays.
-    """
-    text_hash = F.xxhash64(text_col)
-    rows = Saved(fingerprints(docs, [F.col(id_col).alias("id"), text_hash.alias("h")], text_col)).df
-    fps = rows.select("fp").distinct()
-    parts = connected_components(near_links(fps, radius)).select(F.col("node").alias("fp"), "component")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("first")
-    by_fp = rows.groupBy("fp").agg(first)
-    part = by_fp.join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("part")).agg(F.min("first").alias("first"))
-    stay = part.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h")).distinct()
-    mine = docs.withColumn("__h", text_hash)
-    joined = mine.join(stay, mine[id_col].eqNullSafe(stay["__id"]) & (mine["__h"] == stay["__h"])).drop(stay["__h"])
-    return joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))).filter("__n = 1").select(*docs.columns)
