@@ -126,3 +126,16 @@ def career_start(text: Column, now: Column) -> Column:
 
     first = F.array_min(F.filter(F.transform(spans, day), lambda d: d.isNotNull()))
     return F.when(F.datediff(now, first) <= 50 * 365.25, first)
+
+
+#: A text with fewer characters tells too little of a person.
+LEAST_PROFILE = 200
+
+
+def extract_profile(text: Column, now: Column) -> Column:
+    """struct(skills, target_roles, career_start, low_confidence) of a résumé's text; a short text gives the default skills."""
+    low = F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_PROFILE
+    default = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, w, _ in L.DEFAULT_SKILLS])
+    body = F.lower(F.coalesce(text, F.lit("")))
+    own = skills(body)
+    return F.struct(F.when(low | (F.size(own) == 0), default).otherwise(own).alias("skills"), target_roles(body).alias("target_roles"), career_start(text, now).alias("career_start"), low.alias("low_confidence"))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import facts, lexicon, scoring, text
-from millrace.operators import merging, ranking, replies, stages
+from millrace.operators import drafting, merging, ranking, replies, stages
 from millrace.plans import adapters as A
+from millrace.plans import worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,16 @@ _FULL = sum(w for _, w, _ in SKILLS) * scoring.FULL_CREDIT
 _HITS = {name: f"regexp_matches(body, '(^|[^a-z0-9])({'|'.join(n.replace('.', '[.]') for n in [name, *names])})s?([^a-z0-9]|$)')" for name, _, names in SKILLS}
 _RAW = " + ".join(f"CASE WHEN {_HITS[name]} THEN {w} ELSE 0 END" for name, w, _ in SKILLS)
 
+_SCORED = f"""\
+    raws AS (
+        SELECT *, title_no = {VETO_TITLE} AS veto, title_no IN {ROLE_TITLES} AS is_role,
+            CAST({_RAW} AS DOUBLE) + CASE WHEN title_no IN {ROLE_TITLES} THEN 8 ELSE 0 END - CASE WHEN title_no = {INTERN_TITLE} THEN 15 ELSE 0 END AS raw FROM $rows),
+    scored AS (
+        SELECT *, greatest(0, least(100, CAST(floor(raw / CAST({_FULL!r} AS DOUBLE) * 100 + 0.5) AS INTEGER)))
+            + CASE geo_eligibility WHEN 'restricted' THEN -25 WHEN 'worldwide' THEN 10 WHEN 'eligible' THEN 10 ELSE 0 END
+            + CASE WHEN min_years = 8 THEN -20 WHEN min_years = 2 THEN 6 ELSE 0 END
+            + CASE WHEN arrangement IS NULL OR arrangement = 'unknown' THEN 0 WHEN arrangement = 'remote' THEN 5 ELSE -8 END AS fitted FROM raws)"""
+
 RANKED_SQL = f"""
     WITH {A.POOL_SQL}, {A.STATE_SQL},
     own AS (SELECT job_id, status FROM state WHERE user_id = {A.VIEWER}),
@@ -53,14 +64,7 @@ RANKED_SQL = f"""
     piled AS (
         SELECT *, CASE WHEN status IN ({_in(lexicon.WORKING_STATUSES)}) THEN 'working' WHEN status IN ({_in(lexicon.ARCHIVED_STATUSES)}) THEN 'archive'
             WHEN (status IS NULL OR status = 'found') AND (eff IS NULL OR eff >= {CUTOFF}) THEN 'inbox' WHEN status IS NULL OR status = 'found' THEN 'archive' END AS bucket FROM listed),
-    raws AS (
-        SELECT *, title_no = {VETO_TITLE} AS veto, title_no IN {ROLE_TITLES} AS is_role,
-            CAST({_RAW} AS DOUBLE) + CASE WHEN title_no IN {ROLE_TITLES} THEN 8 ELSE 0 END - CASE WHEN title_no = {INTERN_TITLE} THEN 15 ELSE 0 END AS raw FROM piled),
-    scored AS (
-        SELECT *, greatest(0, least(100, CAST(floor(raw / CAST({_FULL!r} AS DOUBLE) * 100 + 0.5) AS INTEGER)))
-            + CASE geo_eligibility WHEN 'restricted' THEN -25 WHEN 'worldwide' THEN 10 WHEN 'eligible' THEN 10 ELSE 0 END
-            + CASE WHEN min_years = 8 THEN -20 WHEN min_years = 2 THEN 6 ELSE 0 END
-            + CASE WHEN arrangement IS NULL OR arrangement = 'unknown' THEN 0 WHEN arrangement = 'remote' THEN 5 ELSE -8 END AS fitted FROM raws)
+    {_SCORED.replace('$rows', 'piled')}
     SELECT id, CAST(CASE WHEN veto THEN 0 ELSE greatest(0, least(100, fitted)) END AS INTEGER) AS score, coalesce(status, '') AS user_status,
         CASE WHEN status IN ({_in(lexicon.ARCHIVED_STATUSES)}) THEN 'dismissed' WHEN status IN ({_in(lexicon.WORKING_STATUSES)}) THEN '' WHEN eff <= {CUTOFF} THEN 'expired' ELSE '' END AS archived_because,
         coalesce(coalesce(fetched_at, posted_at) > TIMESTAMP '{A.LAST_SEEN}', false) AS is_new,
@@ -589,3 +593,66 @@ _EMPHASIZED = " UNION ALL ".join(f"SELECT doc_id, {-w} AS w, {i} AS i, {A.quoted
 def emphasized_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three heaviest words of a text, ties in the order of the list."""
     return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(facts.emphasized_skills(F.col("text"), 3, WORDS[:-1]), ",").alias("names"))
+
+
+# Whole runs.
+SENDER = drafting.Sender("Sam Sample", "an engineer", "many things", "I also mend bicycles.", ((("python", "sql"), "I also like data."), (("react",), "I also like pages.")))
+FETCHED = "React and SQL, at least 3 years"
+
+
+def _run(spark: SparkSession, sf_dir: str) -> worker.Run:
+    key = F.col("id")
+    rows = A.queue(spark, sf_dir).withColumns({
+        "url": F.when(key % 2 == 0, F.concat(F.lit("https://www.linkedin.com/jobs/view/"), key.cast("string"))).otherwise("https://x.org/"), "apply_email": F.when(key % 4 == 0, "a@b.org"),
+        "score": F.lit(None).cast("int"), "last_error": F.lit(None).cast("string"),
+    })
+    pages = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(F.col("o_orderkey") % 3 == 0, "ok").otherwise("not_found").alias("outcome"), F.lit(FETCHED).alias("description"), F.lit("").alias("company"))
+    cache, fetched = pages.filter("job_id % 3 <> 2"), pages.filter("job_id % 3 = 2").withColumn("outcome", F.lit("ok"))
+    return worker.run_once(rows, cache, fetched, PROFILE, SENDER, A.NOW, threshold=20, fetch_cap=40)
+
+
+_RUN = f"""
+    WITH {A.QUEUE_SQL},
+    marked AS (
+        SELECT *, (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '{A.NOW}') AND status NOT IN ({_in(lexicon.TERMINAL_JOB_STATUSES)}) AS due, id % 2 = 0 AND id % 3 = 2 AS asks FROM queue),
+    asked AS (SELECT id FROM marked WHERE due AND stage = 'enrich' AND asks ORDER BY id LIMIT 40),
+    enriched AS (
+        SELECT m.* REPLACE (CASE WHEN gains THEN {A.quoted(FETCHED)} ELSE description END AS description, CASE WHEN gains THEN 3 ELSE min_years END AS min_years, CASE WHEN gains THEN NULL ELSE max_years END AS max_years,
+            CASE WHEN due AND stage = 'enrich' AND (NOT asks OR got) THEN 'score' ELSE stage END AS stage)
+        FROM (SELECT m.*, a.id IS NOT NULL AS got, due AND stage = 'enrich' AND id % 2 = 0 AND (id % 3 = 0 OR a.id IS NOT NULL) AS gains FROM marked m LEFT JOIN asked a USING (id)) m),
+    bodies AS (SELECT * EXCLUDE (sparse), coalesce(description, '') = '' AS sparse, lower(concat_ws(chr(32) || chr(10) || chr(32), title, company, description)) AS body FROM enriched),
+    {_SCORED.replace("$rows", "bodies")}
+    ,
+    graded AS (SELECT *, due AND stage = 'score' AS graded, CASE WHEN veto THEN 0 ELSE greatest(0, least(100, fitted)) END >= 20 AS good FROM scored),
+    settled AS (SELECT *, due AND (stage = 'dispatch' OR graded AND good) AS settled FROM graded)"""
+
+
+@query(f"""{_RUN} SELECT id, CASE WHEN settled THEN 'done' WHEN graded THEN 'done' ELSE stage END AS stage,
+    CASE WHEN settled THEN CASE WHEN id % 4 = 0 THEN 'sent' ELSE 'ready_for_review' END WHEN graded THEN 'rejected' ELSE status END AS status FROM settled""")
+def worker_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row after a run of all stages."""
+    return _run(spark, sf_dir).rows.select("id", "stage", "status")
+
+
+@query(f"""{_RUN} SELECT id, CASE WHEN id % 4 = 0 THEN 'send' ELSE 'queue' END AS decision,
+    'Hi,' || chr(10) || chr(10) || 'I am Sam Sample, an engineer, and I would like to apply for the ' || title || ' role at ' || company || '.' || chr(10) AS opening FROM settled WHERE settled""")
+def worker_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run would send or queue, with the first lines of each letter."""
+    return _run(spark, sf_dir).drafts.select("id", "decision", F.substring_index("letter", "\n", 3).alias("start")).select("id", "decision", F.concat("start", F.lit("\n")).alias("opening"))
+
+
+@query(f"""WITH {A.POOL_SQL}, told AS (SELECT id, title, company, CASE id % 5 WHEN 1 THEN 'react, node.js, sql' WHEN 2 THEN 'react, python' WHEN 3 THEN '' WHEN 4 THEN '' ELSE '' END AS names FROM pool)
+    SELECT id, 'Hi,' || chr(10) || 'I saw your post "' || title || '" (' || company || ') and can help.' || chr(10) || 'I am Sam Sample, an engineer.' || CASE WHEN names <> '' THEN chr(10) || 'Most relevant: ' || names || '.' ELSE '' END
+        || chr(10) || 'Shall we talk about scope and time?' || chr(10) || 'Best,' || chr(10) || 'Sam Sample' AS pitch FROM told""")
+def lead_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer to each posting, as if it were a lead, with the skills that its description stresses."""
+    taxonomy = [("react", 3.0, ["reactjs"]), ("node.js", 3.0, ["node"]), ("python", 2.0, []), ("sql", 2.0, [])]
+    stressed = facts.emphasized_skills(F.coalesce("description", F.lit("")), 5, taxonomy)
+    return A.pool(spark, sf_dir).select("id", drafting.pitch(F.col("title"), F.col("company"), stressed, SENDER).alias("pitch"))
+
+
+@query("""SELECT doc_id, length(trim(coalesce(text, ''))) < 200 AS low_confidence, CASE WHEN length(trim(coalesce(text, ''))) < 200 THEN 46 END AS default_skills FROM documents""")
+def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts too short to tell a person's skills get the default ones."""
+    found = facts.extract_profile(F.col("text"), F.lit(A.NOW))
+    return A.table(spark, sf_dir, "documents").select("doc_id", found["low_confidence"].alias("low_confidence"), F.when(found["low_confidence"], F.size(found["skills"])).alias("default_skills"))
