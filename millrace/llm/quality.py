@@ -8,6 +8,7 @@ folded into one number for each row and class, and scoring sums gathered numbers
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,11 +144,18 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, bits: int
     if not len(classes):
         return Model([], np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32))
     features = Features(bits)
-    bags = [np.unique(features.bag(t), return_counts=True) for t in texts]
-    steps, done = epochs * len(bags), 0
+    # one array for all texts takes the least memory, and all of it goes back at the end
+    held, times, cuts = array("i"), array("I"), [0]
+    for t in texts:
+        ids, counts = np.unique(features.bag(t), return_counts=True)
+        held.frombytes(ids.astype(np.int32).tobytes())
+        times.frombytes(counts.astype(np.uint32).tobytes())
+        cuts.append(len(held))
+    all_ids, all_counts = np.frombuffer(held, np.int32), np.frombuffer(times, np.uint32)
+    steps, done = epochs * len(texts), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(bags)):
-            ids, counts = bags[i]
+        for i in rng.permutation(len(texts)):
+            ids, counts = all_ids[cuts[i] : cuts[i + 1]], all_counts[cuts[i] : cuts[i + 1]]
             step = rate * (1 - done / steps)
             done += 1
             share = (counts / (counts.sum() + CALM)).astype(np.float32)
