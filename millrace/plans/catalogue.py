@@ -15,6 +15,7 @@ from millrace.functions import facts, lexicon, scoring, text
 from millrace.operators import drafting, merging, ranking, replies, stages
 from millrace.plans import adapters as A
 from millrace.plans import worker
+from millrace.sources.registry import union_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -656,3 +657,54 @@ def profile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts too short to tell a person's skills get the default ones."""
     found = facts.extract_profile(F.col("text"), F.lit(A.NOW))
     return A.table(spark, sf_dir, "documents").select("doc_id", found["low_confidence"].alias("low_confidence"), F.when(found["low_confidence"], F.size(found["skills"])).alias("default_skills"))
+
+
+@query("""SELECT 0 AS source_ord, 'region' AS source, r_regionkey::BIGINT AS pos, r_name AS name, CAST(NULL AS DOUBLE) AS balance FROM region
+    UNION ALL SELECT 1, 'nation', n_nationkey, n_name, NULL FROM nation UNION ALL SELECT 2, 'supplier', s_suppkey, s_name, s_acctbal FROM supplier""")
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources one after another in their order, with nulls for what one of them lacks."""
+    parts = []
+    for name, key, more in (("region", "r_regionkey", {}), ("nation", "n_nationkey", {}), ("supplier", "s_suppkey", {"balance": "s_acctbal"})):
+        rows = A.table(spark, sf_dir, name)
+        parts.append(rows.select(F.lit("").alias("payload"), F.col(key).cast("long").alias("pos"), F.lit(name).alias("source"), F.col(f"{name[0]}_name").alias("name"), *[F.col(c).alias(n) for n, c in more.items()]))
+    return union_sources(parts).select("ord.source_ord", "source", "ord.pos", "name", "balance")
+
+
+@query(f"""WITH {A.POOL_SQL}, old AS (SELECT company AS email, id, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS was FROM pool), asked AS (SELECT DISTINCT company AS email FROM pool WHERE id % 50 = 0)
+    SELECT email, id, CASE WHEN was = 1 THEN 'before' WHEN email IN (SELECT email FROM asked) THEN 'now' ELSE 'open' END AS state FROM old
+    UNION ALL SELECT company, -id, 'open' FROM pool WHERE id % 50 = 0""")
+def invite_reissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new invitation revokes the open ones of its address."""
+    rows = A.pool(spark, sf_dir).select(F.col("company").alias("email"), "id", F.when(F.col("id") % 4 == 0, F.lit(A.LAST_SEEN)).alias("revoked_at"))
+    new = rows.filter("id % 50 = 0").select("email", (-F.col("id")).alias("id"), F.lit(None).cast("timestamp").alias("revoked_at"))
+    done = merging.revoke_then_insert(rows, new, ["email"], "revoked_at", F.lit(A.NOW))
+    return done.select("email", "id", F.when(F.col("revoked_at") == F.lit(A.NOW), "now").when(F.col("revoked_at").isNotNull(), "before").otherwise("open").alias("state"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN user_id END, 1) AS user_id FROM events")
+def owner_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("user_id"))
+    return merging.fill_owner(rows, 1)
+
+
+CARD_FORMS = [("Dev # Acme · Pune (Remote) Easy Apply 3 days ago", "Dev # Acme", "Pune (Remote)"), ("Go Dev # promoted  new", "Go Dev #", None), ("Lead # · Berlin 1,200 applicants", "Lead #", "Berlin"), ("", "", None), ("New # School", "New # School", None)]
+
+
+@query(f"""SELECT event_id, {A.form_sql("event_id", [(c[0], c[1]) for c in CARD_FORMS], 1)} AS title, {A.pick_sql("event_id", [c[2] for c in CARD_FORMS])} AS place, event_id % {len(CARD_FORMS)} = 0 AS easy_apply FROM events""")
+def card_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that were stored whole as titles, taken apart."""
+    card = text.repair_card(A.form(F.col("event_id"), [(c[0], c[1]) for c in CARD_FORMS]))
+    return A.table(spark, sf_dir, "events").select("event_id", card["title"].alias("title"), card["location"].alias("place"), card["easy_apply"].alias("easy_apply"))
+
+
+LINK_FORMS = [("https://www.linkedin.com/comm/jobs/view/#?x=1", True), ("https://x.org/?a=1&currentJobId=#", True), ("https://x.org/jobs/#", False), ("", False)]
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(event_id AS VARCHAR) END AS page_id, 'acme-' || event_id || '-co' AS slug, CASE WHEN event_id % 2 = 0 THEN 'Acme' END AS company,
+    CASE WHEN event_id % 2 = 0 THEN 'Dev: ' || event_id ELSE 'Dev ' || event_id END AS title, 'Dev ' || event_id || repeat(' word', 31)[: 160 - length('Dev ' || event_id)] || '…' AS snippet FROM events""")
+def small_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers, slugs, split titles and snippets."""
+    key = F.col("event_id").cast("string")
+    parts = text.split_title(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" Acme : Dev: "), key)).otherwise(F.concat(F.lit(" Dev "), key)))
+    long = F.concat(F.lit("  Dev\n"), key, F.repeat(F.lit("  word"), 40))
+    return A.table(spark, sf_dir, "events").select("event_id", text.job_page_id(A.form(F.col("event_id"), [(f, "") for f, _ in LINK_FORMS])).alias("page_id"), text.slug(F.concat(F.lit("(Acme "), key, F.lit(" & Co.)"))).alias("slug"), parts["company"].alias("company"), parts["title"].alias("title"), text.snippet(long).alias("snippet"))
