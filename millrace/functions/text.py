@@ -94,8 +94,11 @@ def _mapping(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def location_bucket(location: Column, remote: Column) -> Column:
-    """remote unless remote is false; else a country or region code, unknown, or the last part of the place."""
+def location_bucket(location: Column, remote: Column, tables: tuple[dict[str, str], ...] = (L.COUNTRIES, L.STATES, L.CITIES)) -> Column:
+    """remote unless remote is false; else a country or region code, unknown, or the last part of the place.
+
+    tables: names and their codes; a hit in an earlier table counts before one in a later table.
+    """
     folded = F.regexp_replace(F.replace(fold(location), F.lit("."), F.lit("")), r"[^a-z0-9,/|;()\-–\s]+", " ")
     flat = F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
     parts = F.transform(F.split(folded, r"[,/|;()]|\s[-–]\s", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
@@ -108,11 +111,12 @@ def location_bucket(location: Column, remote: Column) -> Column:
         return F.concat(F.array(segment), joined, F.filter(plain, lambda t: F.length(t) > 2))
 
     every = F.flatten(F.transform(segments, keys))
+
     def first_hit(table: dict[str, str]) -> Column:
         codes = F.transform(every, lambda k: F.try_element_at(_mapping(table), k))
         return F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0))
 
-    hits = [first_hit(t) for t in (L.COUNTRIES, L.STATES, L.CITIES)]
+    hits = [first_hit(t) for t in tables]
     known = F.coalesce(*hits, F.try_element_at(segments, F.lit(-1)), F.lit("unknown"))
     return (
         F.when(F.coalesce(remote, F.lit(True)), "remote").when(flat == "", "unknown")
