@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Saved
+from millrace.llm.common import Saved, shuffle_partitions
 from millrace.llm.components import connected_components
 from millrace.ship import ship
 
@@ -113,7 +113,9 @@ def near_links(numbers: DataFrame, radius: int = RADIUS, crowd: int = CROWD, wit
     ship(numbers.sparkSession)
     todo, links = numbers.select("fp", F.lit(0).cast("long").alias("mask")), None
     while True:
-        keyed = todo.mapInArrow(_cover(radius), "fp long, mask long, k long")
+        # each row becomes one a mask, so the few bytes that go in are dealt over all tasks
+        dealt = todo.repartition(shuffle_partitions(numbers.sparkSession), "fp")
+        keyed = dealt.mapInArrow(_cover(radius), "fp long, mask long, k long")
         sizes = Saved(keyed.groupBy("mask", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1")).df
         pairs = sizes.filter("n = 2").filter(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         many = keyed.join(sizes.filter("n > 2").select("mask", "k", "n", "lo"), ["mask", "k"])
