@@ -6,10 +6,15 @@ texts of a language alike. Four fingerprints of independent hashes are kept, and
 any of them meets in some covering table. There each text names its nearest neighbours and the least, so a group of any size
 gives a few pairs a text. Every pair is then held against the shingles of its texts; of the texts that pairs join, each
 is also held against the one with most confirmed pairs. Confirmed pairs are joined up.
+
+That finds most copies early, but not those with a long stretch added or cut, nor all in large families. So each text also
+has bands of least shingle hashes: two texts at the similarity agree on none with a chance of at most MISS, whatever the
+kind of edit. All pairs of texts that agree on a band and are not in one group yet are held against each other.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +39,10 @@ _WORD = re.compile(r"\w+")
 
 #: A text is held against so many nearest neighbours of each table entry.
 NEAREST = 4
+#: A band is so many least hashes; there are as many bands as leave a pair at the similarity this chance to agree on none.
+LEAST, MISS = 5, 1e-9
+#: Entries of at most FEW texts give pairs; larger ones are compared in blocks of at most so many texts and, unless one has more, shingles.
+FEW, BLOCK_TEXTS, BLOCK_SHINGLES = 32, 1024, 1 << 20
 #: Columns of the fingerprints.
 PRINTS = ["f0", "f1", "f2", "f3"]
 
@@ -51,12 +60,42 @@ def word_fingerprints(text: str | None) -> np.ndarray:
     return np.packbits(2 * ones > weights.sum()).view(np.int64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = np.array([word_fingerprints(t) for t in part.column(part.num_columns - 1).to_pylist()], np.int64).reshape(-1, len(PRINTS))
-            yield pa.record_batch([*part.columns[:-1], *map(pa.array, found.T.copy())], [*part.schema.names[:-1], *PRINTS])
+def _fingerprints(words: int, bands: int):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found = np.array([word_fingerprints(t) for t in texts], np.int64).reshape(-1, len(PRINTS))
+                keys = pa.ListArray.from_arrays(np.arange(0, bands * len(texts) + 1, bands, dtype=np.int32), band_keys([shingles(t, words) for t in texts], bands).ravel())
+                yield pa.record_batch([*part.columns[:-1], *map(pa.array, found.T.copy()), keys], [*part.schema.names[:-1], *PRINTS, "keys"])
+
+    return prints
+
+
+def bands_for(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - min(similarity, 0.99) ** LEAST))
+
+
+def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
+    """For each non-empty set of 32-bit hashes, the keys of its bands."""
+    r = np.random.default_rng(7)
+    times, plus = r.integers(0, 1 << 32, (2, bands * LEAST), np.uint32)
+    times |= np.uint32(1)
+    mix = r.integers(0, 1 << 64, (bands, LEAST), np.uint64) | np.uint64(1)
+    out, at = [], 0
+    while at < len(sets):
+        end, size = at + 1, len(sets[at])
+        while end < len(sets) and size + len(sets[end]) <= 65536:
+            size += len(sets[end])
+            end += 1
+        x, sizes = np.concatenate(sets[at:end]).view(np.uint32), np.array([len(s) for s in sets[at:end]])
+        starts = np.cumsum(sizes) - sizes
+        least = np.stack([np.minimum.reduceat(x * t + p, starts) for t, p in zip(times, plus, strict=True)], 1)
+        keys = (least.reshape(-1, bands, LEAST).astype(np.uint64) * mix).sum(2, dtype=np.uint64) + mix[:, 0]
+        out.append(keys.view(np.int64))
+        at = end
+    return np.concatenate(out) if out else np.empty((0, bands), np.int64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -110,19 +149,55 @@ def neighbours(radius: int):
     return F.pandas_udf(links, "array<struct<u:long,v:long>>")
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a has in common with each of b."""
+    values, column = np.unique(np.concatenate(a + b), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    in_a, in_b = (np.bincount(column[side], minlength=len(values)) > 0 for side in (row < len(a), row >= len(a)))
+    both = in_a & in_b
+    place = np.cumsum(both) - 1
+    keep = both[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for c in range(0, int(both.sum()), 4096):
+        some = slice(*np.searchsorted(column, (c, c + 4096)))
+        dense = np.zeros((len(a) + len(b), 4096), np.float32)
+        dense[row[some], column[some] - c] = 1
+        common += dense[: len(a)] @ dense[len(a) :].T
+    return common.astype(np.int64)
+
+
+def _across(similarity: float):
+    def links(table: pa.Table) -> pa.Table:
+        """(u, v) of the groups that a pair of texts joins, of a block's texts with those of another block, or with each other."""
+        sets = [np.asarray(s.values.to_numpy(), np.int32) for s in table.column("s")]
+        group, left = table.column("g").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        two = two if len(two) else one
+        common = _common([sets[i] for i in one], [sets[i] for i in two])
+        size = np.array([len(s) for s in sets])
+        alike = common >= similarity * (size[one][:, None] + size[two][None, :] - common)
+        x, y = np.nonzero(alike & (group[one][:, None] != group[two][None, :]))
+        found = np.unique(np.stack([group[one][x], group[two][y]], 1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return links
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(id, h, group) of every row: h is a hash of its text, group that of the group's texts, null texts being empty ones.
 
-    A group joins equal texts and, over any number of steps, texts that share the given part of their shingles. Pairs
-    are sought by the fingerprints, which differ in more than the radius for some pairs near the threshold; no pair
-    below it is joined. Repeated rows and null ids have a row each; an empty table gives none; other columns are not
-    read.
+    A group joins equal texts and, over any number of steps, texts that share the given part of their shingles. Each
+    pair at the similarity or above is missed with a chance of at most MISS, over the choice of hashes; no pair below it
+    is joined. Repeated rows and null ids have a row each; an empty table gives none; other columns are not read.
     """
     ship(docs.sparkSession)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), F.col(text_col).alias("t"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    prints = Saved(rows.mapInArrow(_fingerprints, kinds + "".join(f", {c} long" for c in PRINTS))).df
+    prints = Saved(rows.mapInArrow(_fingerprints(words, bands_for(similarity)), kinds + "".join(f", {c} long" for c in PRINTS) + ", keys array<long>")).df
     texts = Saved(prints.groupBy("h").agg(*[F.min(c).alias(c) for c in PRINTS])).df
     # all fingerprints are one pool: two of different hashes are close by chance alone, and the check drops such pairs
     pool = texts.select("h", F.explode(F.array(*PRINTS)).alias("fp"))
@@ -131,11 +206,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     far = close.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
     pairs = far.unionAll(pool.join(least, "fp").select(F.col("h").alias("a"), F.col("least").alias("b")))
     pairs = Saved(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).df
-    asked = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    chosen = docs.select(F.xxhash64(body).alias("h"), F.col(text_col).alias("t")).join(asked, "h", "left_semi")
-    sets = Saved(chosen.mapInArrow(_shingle_sets(words), "h long, s array<int>").groupBy("h").agg(F.first("s").alias("s"))).df
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def sets_of(asked: DataFrame) -> DataFrame:
+        chosen = docs.select(F.xxhash64(body).alias("h"), F.col(text_col).alias("t")).join(asked.distinct(), "h", "left_semi")
+        return Saved(chosen.mapInArrow(_shingle_sets(words), "h long, s array<int>").groupBy("h").agg(F.first("s").alias("s"))).df
+
+    sets = sets_of(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))))
+
+    def confirmed(some: DataFrame, sets: DataFrame = sets) -> DataFrame:
         held = some.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return held.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -146,7 +224,29 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = Saved(connected_components(pairs, "a", "b").select(F.col("node").alias("h"), "component")).df
     hubs = near.join(degree, "h").groupBy("component").agg(F.max(F.struct("n", "h")).alias("hub")).select("component", F.col("hub.h").alias("hub"))
     more = near.join(hubs, "component").filter("h != hub").select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    sure = sure.unionAll(confirmed(more))
+    sure = Saved(sure.unionAll(confirmed(more))).df
+    parts = Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g"))).df
+
+    # texts that agree on a band, where these are not all of one group
+    entry = Window.partitionBy("key")
+    keyed = prints.groupBy("h").agg(F.first("keys").alias("keys")).join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), F.explode("keys").alias("key"))
+    counted = keyed.withColumns({"lo": F.min("g").over(entry), "hi": F.max("g").over(entry), "n": F.count("*").over(entry)})
+    unsettled = Saved(counted.filter("lo != hi").select("key", "n", "h", "g")).df
+    sets = sets_of(unsettled.select("h"))
+    few, many = unsettled.filter(F.col("n") <= FEW), unsettled.filter(F.col("n") > FEW)
+    two = few.select("key", F.col("h").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb")), "key")
+    sure = sure.unionAll(confirmed(two.filter("a > b and ga != gb").select("a", "b").distinct(), sets))
+    # in the order of groups, so that two blocks of one group, which are not compared, are most of a large group's
+    running = entry.orderBy("g", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = many.join(sets.select("h", F.size("s").alias("size")), "h")
+    at = F.greatest(F.floor((F.count("*").over(running) - 1) / BLOCK_TEXTS), F.floor(F.sum("size").over(running) / BLOCK_SHINGLES))
+    dealt = Saved(sized.select("key", "h", "g", at.alias("block"))).df
+    ends = dealt.groupBy("key", "block").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    other = ends.select("key", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = ends.join(other, "key").filter("block <= other and (lo != hi or lo2 != hi2 or lo != lo2)").select("key", "block", "other")
+    sides = meet.select("key", "block", "other", F.lit(True).alias("left"), F.col("block").alias("at")).unionAll(meet.filter("block != other").select("key", "block", "other", F.lit(False).alias("left"), F.col("other").alias("at")))
+    placed = sides.join(dealt.withColumnRenamed("block", "at"), ["key", "at"]).join(sets, "h").select("key", "block", "other", "left", "g", "s")
+    sure = sure.unionAll(placed.groupBy("key", "block", "other").applyInArrow(_across(similarity), "a long, b long"))
     parts = connected_components(sure, "a", "b").select(F.col("node").alias("h"), "component")
     return prints.select("id", "h").join(parts, "h", "left").select(F.col("id").alias(id_col), "h", F.coalesce("component", "h").alias("group"))
 

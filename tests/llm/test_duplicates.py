@@ -141,6 +141,29 @@ def test_near_copies_by_brute_force(spark):
     assert near_copies.near_copy_groups(documents(spark, EDGE).filter("doc_id < 0")).count() == 0
 
 
+def groups_of(got):
+    found = {}
+    for r in got:
+        found.setdefault(r["group"], []).append(r["doc_id"])
+    return sorted(sorted(v) for v in found.values())
+
+
+def slow_groups_of(rows):
+    by = {}
+    for (k, _), g in zip(rows, slow_groups([t for _, t in rows]), strict=True):
+        by.setdefault(g, []).append(k)
+    return sorted(sorted(v) for v in by.values())
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK_TEXTS, 16])
+def test_families_that_touch_are_settled_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", block)
+    base = prose(77, 200)
+    origins = [base] + [edited(base, 8, 300 + f) for f in range(3)]
+    rows = [(100 * f + i, edited(origin, 4 if i else 0, 40000 + 100 * f + i)) for f, origin in enumerate(origins) for i in range(90)]
+    assert groups_of(near_copies.near_copy_groups(documents(spark, rows)).collect()) == slow_groups_of(rows)
+
+
 def test_a_large_family_gives_few_pairs():
     r = np.random.default_rng(5)
     base = int(r.integers(0, 2**62))
