@@ -155,6 +155,17 @@ def slow_groups_of(rows):
     return sorted(sorted(v) for v in by.values())
 
 
+def test_near_copies_with_a_stretch_added_or_cut(spark):
+    rows = []
+    for i in range(120):
+        n = (40, 100, 300)[i % 3]
+        more = n * (10, 15, 20)[i // 3 % 3] // 100
+        rows += [(2 * i, prose(5000 + i, n)), (2 * i + 1, prose(5000 + i, n) + " " + prose(6000 + i, more) if i % 2 else prose(5000 + i, n).rsplit(" ", more)[0])]
+    want = slow_groups_of(rows)
+    assert len(want) < 200
+    assert groups_of(near_copies.near_copy_groups(documents(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("block", [near_copies.BLOCK_TEXTS, 16])
 def test_families_that_touch_are_settled_whole(spark, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK_TEXTS", block)
@@ -164,6 +175,14 @@ def test_families_that_touch_are_settled_whole(spark, monkeypatch, block):
     assert groups_of(near_copies.near_copy_groups(documents(spark, rows)).collect()) == slow_groups_of(rows)
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    r, bands = np.random.default_rng(3), near_copies.bands_for(0.8)
+    pool = r.integers(-(2**31), 2**31, (400, 120), np.int64).astype(np.int32)
+    one, two = (near_copies.band_keys([np.unique(x[side]) for x in pool], bands) for side in (slice(0, 108), slice(12, 120)))
+    agree = (one == two).mean()
+    assert abs(agree - 0.8**near_copies.LEAST) < 0.03 and (one == two).any(1).all()
+
+
 def test_a_large_family_gives_few_pairs():
     r = np.random.default_rng(5)
     base = int(r.integers(0, 2**62))
