@@ -1,7 +1,7 @@
-"""Merkle fingerprints of documents: a tree of digests over sentences, paragraphs and sections.
+"""Merkle fingerprints of documents: a tree of digests over words, paragraphs and sections.
 
-A line is a paragraph and its sentences or long runs are the leaves; sections end at blank lines or every SECTION
-paragraphs. The root tests equality, and comparing two trees from the root down visits only the branches that differ.
+A line is a paragraph and its words are the leaves, whatever the text's length; sections end at blank lines or every
+SECTION paragraphs. The root tests equality, and comparing two trees from the root down visits only the branches that differ.
 A fingerprint is text: the root's digest and the leaves in order, `.` between leaves, `,` between paragraphs and `;`
 between sections; the digests of the branches follow from those of the leaves. A leaf is eight hexadecimal digits and
 a digit for its length.
@@ -26,10 +26,8 @@ from millrace.ship import ship
 
 #: A section has at most so many paragraphs.
 SECTION = 16
-#: Sentences, or runs of at most 96 characters without an end mark, with the white space after them.
-LEAVES = re.compile(r"[^.!?|\s]?[^.!?|]{0,95}[.!?|]*\s*", re.S)
-#: Texts of at most so many characters have words for leaves.
-SHORT, WORDS = 512, re.compile(r"\S*\s*", re.S)
+#: Words, or runs of at most 16 characters of longer ones, with the white space after them.
+LEAVES = re.compile(r"\S{0,16}\s*", re.S)
 LENGTHS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,8 +35,24 @@ def _digest(parts: list[str], size: int) -> str:
     return hashlib.blake2b("\n".join(parts).encode(), digest_size=size).hexdigest()
 
 
-def _leaf(text: str) -> str:
-    return hashlib.blake2b(text.encode(), digest_size=4).hexdigest() + LENGTHS[min(len(text) // 4, 35)]
+class Leaves(dict):
+    """Leaf and 16-byte digest of a word; forgets all when it holds many."""
+
+    def __missing__(self, text: str) -> tuple[str, bytes]:
+        own = hashlib.blake2b(text.encode(), digest_size=16).digest()
+        found = own[:4].hex() + LENGTHS[min(len(text) // 4, 35)], own
+        if len(text) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[text] = found
+        return found
+
+
+_LEAVES = Leaves()
+
+
+def _joined(digests: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"".join(digests), digest_size=16).digest()
 
 
 @dataclass
@@ -51,17 +65,20 @@ class Tree:
     @classmethod
     def of(cls, text: str) -> Tree:
         sections: list[list[list[str]]] = []
+        digests: list[bytes] = []
         now: list[list[str]] = []
-        find = (WORDS if len(text) <= SHORT else LEAVES).findall
-        for line in text.splitlines(keepends=True):
-            now.append([_leaf(x) for x in find(line) if x])
-            if len(now) == SECTION or not line.strip():
+        below: list[bytes] = []
+        lines = text.splitlines(keepends=True)
+        for i, line in enumerate(lines, 1):
+            leaves = [_LEAVES[x] for x in LEAVES.findall(line) if x]
+            now.append([x for x, _ in leaves])
+            below.append(_joined([x for _, x in leaves]))
+            if len(now) == SECTION or not line.strip() or i == len(lines):
                 sections.append(now)
-                now = []
-        if now:
-            sections.append(now)
-        # 16 bytes over the text itself: equal texts and no others, whatever the short leaf digests do
-        return cls(sections, hashlib.blake2b(text.encode(), digest_size=16).hexdigest())
+                digests.append(_joined(below))
+                now, below = [], []
+        # over 16-byte digests all the way up: equal texts and no others, whatever the short leaf digests do
+        return cls(sections, _joined(digests).hex())
 
     @classmethod
     def parse(cls, fingerprint: str) -> Tree:

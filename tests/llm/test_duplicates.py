@@ -253,6 +253,15 @@ def test_trees_tell_equality_and_place_edits():
     assert str(merkle.Tree.parse(str(y))) == str(y)
 
 
+@pytest.mark.parametrize("size", [40, 120, 500, 512, 513, 641, 3000])
+def test_texts_of_any_two_lengths_have_common_leaves(size):
+    text = " ".join(prose(i, 12) + "." for i in range(60))[:size]
+    whole = merkle.Tree.of(text)
+    for n in (size - 1, size - 4, 3 * size // 4):
+        assert merkle.likeness(whole, merkle.Tree.of(text[:n])) > 0.6
+    assert merkle.likeness(whole, merkle.Tree.of(text[: size - size // 4] + "q" * (size // 2))) > 0.4
+
+
 def test_fingerprints_of_equal_texts_are_equal(spark):
     got = {}
     for r in merkle.fingerprint(documents(spark, EDGE)).collect():
