@@ -2,13 +2,14 @@
 
 A block of text that quotes a license compresses far better when the license is the dictionary. Candidate blocks, the
 sentences that use words of licenses and runs of them, are compressed plain and with each template as a raw zstandard
-dictionary; templates are ranked by the reduction, and the best are confirmed by an exact alignment of words, which
-also gives the words that the block leaves out and those that it puts in.
+dictionary; all templates that reduce it are confirmed by an exact alignment of words, which also gives the words that the
+block leaves out and those that it puts in. Of those confirmed, the one with most words in place less such differences is the find.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -86,7 +87,7 @@ def candidate_blocks(text: str, longest: int) -> list[list[tuple[str, int, int]]
     return [b for b in out if b]
 
 
-def scan(text: str | None, templates: list[Template], covered: float = COVERED, best: int = 3) -> list[dict]:
+def scan(text: str | None, templates: list[Template], covered: float = COVERED) -> list[dict]:
     """Licenses in a text, each with its place, sizes, coverage and wording differences; overlapping finds keep the best."""
     plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
     found = []
@@ -97,22 +98,28 @@ def scan(text: str | None, templates: list[Template], covered: float = COVERED,
         data = " ".join(words).encode()
         size = len(plain.compress(data))
         ranked = sorted(((size - len(t.compressor.compress(data)), -i) for i, t in enumerate(templates)), reverse=True)
-        for saved, i in ranked[:best]:
+        held, confirmed = Counter(words), []
+        for saved, i in ranked:
             template = templates[-i]
             if saved <= 0:
                 break
+            if (Counter(template.words) & held).total() < covered * len(template.words):
+                continue  # no alignment can reach it
             parts = [p for p in SequenceMatcher(None, template.words, words, autojunk=False).get_matching_blocks() if p.size]
             same = sum(p.size for p in parts)
-            if same < covered * len(template.words):
-                continue
-            first, last = parts[0].b, parts[-1].b + parts[-1].size
+            if same >= covered * len(template.words):
+                first, last = parts[0].b, parts[-1].b + parts[-1].size
+                differences = len(template.words) - same + last - first - same
+                confirmed.append((same - differences, saved, i, parts, same, first, last))
+        if confirmed:
+            _, saved, i, parts, same, first, last = max(confirmed, key=lambda c: c[:3])
+            template = templates[-i]
             kept_a, kept_b = ({x for p in parts for x in range(getattr(p, side), getattr(p, side) + p.size)} for side in "ab")
             found.append({
                 "license": template.name, "start": block[first][1], "end": block[last - 1][2], "plain_size": size, "size": size - saved, "coverage": same / len(template.words),
                 "missing": [w for x, w in enumerate(template.words) if x not in kept_a], "added": [words[x] for x in range(first, last) if x not in kept_b],
             })
             todo += [rest for rest in (block[:first], block[last:]) if rest]
-            break
     found.sort(key=lambda f: (-f["coverage"] * (f["end"] - f["start"]), len(f["added"]), f["start"], f["license"]))
     out: list[dict] = []
     for f in found:

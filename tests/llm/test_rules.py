@@ -43,6 +43,13 @@ def test_two_licenses_in_a_long_text():
     assert [f["license"] for f in licenses.scan(text, known())] == ["ISC", "MIT notice"]
 
 
+def test_a_license_after_several_shortened_ones_is_found():
+    for share in (0.6, 0.7):
+        short = [" ".join(licenses.TEMPLATES[n].split()[: int(share * len(licenses.TEMPLATES[n].split()))]) + "." for n in ("MIT", "BSD-2-Clause", "Apache-2.0")]
+        text = " ".join([*short, licenses.TEMPLATES["MPL-2.0"]])
+        assert [f["coverage"] for f in licenses.scan(text, known()) if f["license"] == "MPL-2.0"] == [1.0]
+
+
 def test_license_rows_of_edge_cases(spark):
     rows = EDGE + [(30, licenses.TEMPLATES["MIT notice"])] * 2 + [(None, licenses.TEMPLATES["BSD notice"])]
     got = licenses.find_licenses(documents(spark, rows)).collect()
