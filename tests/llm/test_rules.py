@@ -43,6 +43,14 @@ def test_two_licenses_in_a_long_text():
     assert [f["license"] for f in licenses.scan(text, known())] == ["ISC", "MIT notice"]
 
 
+def test_variants_of_a_license_are_told_apart():
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-3.0", "LGPL-3.0", "AGPL-3.0"):
+        (found,) = licenses.scan(f"{prose(1)}.\n{licenses.TEMPLATES[name]}\n{prose(2)}.", known())
+        assert (found["license"], found["coverage"], found["missing"], found["added"]) == (name, 1.0, [], [])
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        assert licenses.TEMPLATES[name].endswith(("DAMAGE.", "THIS SOFTWARE."))
+
+
 def test_a_license_after_several_shortened_ones_is_found():
     for share in (0.6, 0.7):
         short = [" ".join(licenses.TEMPLATES[n].split()[: int(share * len(licenses.TEMPLATES[n].split()))]) + "." for n in ("MIT", "BSD-2-Clause", "Apache-2.0")]
