@@ -1,22 +1,25 @@
-"""Merkle fingerprints of documents: a tree of digests over words, paragraphs and sections.
+"""Merkle fingerprints of documents: a tree of digests over leaves, paragraphs and sections.
 
-A line is a paragraph and its words are the leaves, whatever the text's length; sections end at blank lines or every
-SECTION paragraphs. The root tests equality, and comparing two trees from the root down visits only the branches that differ.
-A fingerprint is text: the root's digest and the leaves in order, `.` between leaves, `,` between paragraphs and `;`
-between sections; the digests of the branches follow from those of the leaves. A leaf is eight hexadecimal digits and
-a digit for its length.
+A line is a paragraph. A section ends at a blank line and after every paragraph whose digest's last byte is a multiple
+of SECTION. Leaves are short stretches of a paragraph that end where its own characters say so, at every length of text
+by the same rule, so an edit changes the leaves around it and no others. A paragraph's digest is that of its leaves'
+digests, a section's that of its paragraphs', the root that of the sections': equal roots are equal texts.
+
+A fingerprint is text: the root, the level of its sample, and sections of paragraphs, each with its digest; a paragraph
+also has its length and its sampled leaves. The sample is the SKETCH distinct leaves of least value, all leaves
+of a text that has no more, so a comparison is exact on short texts and within some hundredths on long ones.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,107 +27,180 @@ from pyspark.sql import functions as F
 from millrace.llm.common import shuffle_partitions
 from millrace.ship import ship
 
-#: A section has at most so many paragraphs.
+#: A section has about so many paragraphs, unless a blank line ends it.
 SECTION = 16
-#: Words, or runs of at most 16 characters of longer ones, with the white space after them.
-LEAVES = re.compile(r"\S{0,16}\s*", re.S)
-LENGTHS = "0123456789abcdefghijklmnopqrstuvwxyz"
+#: A leaf has about MEAN code points, and never more than LONGEST; the last WINDOW ones say whether it ends.
+MEAN, LONGEST, WINDOW = 14, 40, 4
+#: So many distinct leaves are kept for comparison.
+SKETCH = 512
+#: Odd multipliers of a 32-bit hash of a window.
+BASE, MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+#: A leaf's value is its digest's first 25 bits, then its length in 7; the level of a sample that has all leaves.
+LENGTH, ALL = 127, (1 << 32) - 1
+
+
+def _digest(parts: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16, person=b"branch").digest()
 
 
-def _digest(parts: list[str], size: int) -> str:
-    return hashlib.blake2b("\n".join(parts).encode(), digest_size=size).hexdigest()
+def _text(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest[:6]).decode()
 
 
 class Leaves(dict):
-    """Leaf and 16-byte digest of a word; forgets all when it holds many."""
-
-    def __missing__(self, text: str) -> tuple[str, bytes]:
-        own = hashlib.blake2b(text.encode(), digest_size=16).digest()
-        found = own[:4].hex() + LENGTHS[min(len(text) // 4, 35)], own
-        if len(text) <= 64:
-            if len(self) > 300_000:
-                self.clear()
-            self[text] = found
+    """Digest of a leaf's UTF-32 bytes; forgets all when it holds many."""
+
+    def __missing__(self, data: bytes) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        self[data] = found = hashlib.blake2b(data, digest_size=16).digest()
         return found
 
 
 _LEAVES = Leaves()
 
 
-def _joined(digests: list[bytes]) -> bytes:
-    return hashlib.blake2b(b"".join(digests), digest_size=16).digest()
+def leaf_ends(codes: np.ndarray, paragraphs: np.ndarray) -> np.ndarray:
+    """Where the leaves of a text's code points end, given where its paragraphs end."""
+    end = np.zeros(len(codes) + WINDOW, bool)
+    if len(codes) >= WINDOW:
+        hashed = codes[: len(codes) - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            hashed *= BASE
+            hashed += codes[k : len(codes) - WINDOW + 1 + k]
+        hashed *= MIX
+        end[WINDOW : len(codes) + 1] = hashed < np.uint32((1 << 32) // MEAN)
+    for k in range(1, WINDOW):
+        end[paragraphs + k] = False  # a window never reaches into the paragraph before
+    end[paragraphs] = True
+    ends = np.flatnonzero(end[: len(codes) + 1])
+    sizes = np.diff(ends, prepend=0)
+    for e, n in zip(ends[sizes > LONGEST].tolist(), sizes[sizes > LONGEST].tolist(), strict=True):
+        end[range(e - n + LONGEST, e, LONGEST)] = True
+    return np.flatnonzero(end[: len(codes) + 1])
 
 
 @dataclass
-class Tree:
-    """sections: of paragraphs, of leaf digests."""
+class Paragraph:
+    """digest; n: length in code points; sample: values of the leaves kept, in order, four bytes each."""
+
+    digest: str
+    n: int
+    sample: bytes
 
-    sections: list[list[list[str]]]
+
+@dataclass
+class Section:
+    digest: str
+    paragraphs: list[Paragraph]
+
+
+@dataclass
+class Tree:
     root: str
+    level: int
+    sections: list[Section]
 
     @classmethod
     def of(cls, text: str) -> Tree:
-        sections: list[list[list[str]]] = []
-        digests: list[bytes] = []
-        now: list[list[str]] = []
-        below: list[bytes] = []
         lines = text.splitlines(keepends=True)
-        for i, line in enumerate(lines, 1):
-            leaves = [_LEAVES[x] for x in LEAVES.findall(line) if x]
-            now.append([x for x, _ in leaves])
-            below.append(_joined([x for _, x in leaves]))
-            if len(now) == SECTION or not line.strip() or i == len(lines):
-                sections.append(now)
-                digests.append(_joined(below))
+        data = text.encode("utf-32-le", "surrogatepass")
+        borders = np.cumsum([len(x) for x in lines], dtype=np.int64)
+        ends = leaf_ends(np.frombuffer(data, np.uint32), borders)
+        cuts = (4 * ends).tolist()
+        own = [_LEAVES[data[a:b]] for a, b in zip([0, *cuts], cuts, strict=False)]
+        values = np.frombuffer(b"".join(own), ">u4")[::4] & ~np.uint32(LENGTH) | np.diff(ends, prepend=0).astype(np.uint32)
+        level = ALL
+        if len(own) > SKETCH and len(distinct := np.unique(values)) > SKETCH:
+            level = int(distinct[SKETCH - 1])
+        kept = values <= level
+        starts = (4 * np.concatenate([[0], np.cumsum(kept)])).tolist()
+        sample = values[kept].astype(">u4").tobytes()
+        sections: list[Section] = []
+        now: list[Paragraph] = []
+        below: list[bytes] = []
+        above: list[bytes] = []
+        at = 0
+        for i, (line, to) in enumerate(zip(lines, (np.searchsorted(ends, borders) + 1).tolist(), strict=True), 1):
+            digest = _digest(own[at:to])
+            now.append(Paragraph(_text(digest), len(line), sample[starts[at] : starts[to]]))
+            below.append(digest)
+            at = to
+            if i == len(lines) or digest[-1] % SECTION == 0 or not line.strip():
+                above.append(_digest(below))
+                sections.append(Section(_text(above[-1]), now))
                 now, below = [], []
-        # over 16-byte digests all the way up: equal texts and no others, whatever the short leaf digests do
-        return cls(sections, _joined(digests).hex())
+        return cls(_digest(above).hex(), level, sections)
 
     @classmethod
     def parse(cls, fingerprint: str) -> Tree:
-        root, _, rest = fingerprint.partition(":")
-        return cls([[p.split(".") if p else [] for p in s.split(",")] for s in rest.split(";")] if rest else [], root)
+        root, level, rest = fingerprint.split(":")
+        sections = []
+        for section in rest.split(";") if rest else []:
+            digest, _, body = section.partition("/")
+            paragraphs = [p.split(".") for p in body.split(",")]
+            sections.append(Section(digest, [Paragraph(d, int(n), base64.urlsafe_b64decode(s + "=" * (-len(s) % 4))) for d, n, s in paragraphs]))
+        return cls(root, int(level, 16), sections)
 
     def __str__(self) -> str:
-        return f"{self.root}:{';'.join(','.join('.'.join(p) for p in s) for s in self.sections)}"
+        def text(p: Paragraph) -> str:
+            return f"{p.digest}.{p.n}.{base64.urlsafe_b64encode(p.sample).decode().rstrip('=')}"
 
-    @cached_property
-    def branches(self) -> list[tuple[str, list[str]]]:
-        """Each section's digest and its paragraphs' digests."""
-        out = []
-        for s in self.sections:
-            paragraphs = [_digest(p, 8) for p in s]
-            out.append((_digest(paragraphs, 8), paragraphs))
-        return out
+        return f"{self.root}:{self.level:x}:" + ";".join(f"{s.digest}/{','.join(map(text, s.paragraphs))}" for s in self.sections)
 
-    @cached_property
-    def leaves(self) -> Counter:
-        return Counter(x for s in self.sections for p in s for x in p)
 
+Place = tuple[int, int, Paragraph]
 
-def _weight(leaves: Counter) -> int:
-    return sum(n * (4 * LENGTHS.index(leaf[-1]) + 2) for leaf, n in leaves.items())
+
+def _differing(a: list, b: list) -> tuple[list, list]:
+    """Of two lists of branches, last in their tuples, those without an equal one on the other side; repeats pair off one by one."""
+    common = Counter(x[-1].digest for x in a) & Counter(x[-1].digest for x in b)
+    out = []
+    for side in (a, b):
+        left, rest = common.copy(), []
+        for x in side:
+            if left[x[-1].digest]:
+                left[x[-1].digest] -= 1
+            else:
+                rest.append(x)
+        out.append(rest)
+    return out[0], out[1]
+
+
+def differing_paragraphs(a: Tree, b: Tree) -> tuple[list[Place], list[Place]]:
+    """(section, paragraph, branch) of each tree below which the other has nothing equal, found from the root down."""
+    if a.root == b.root:
+        return [], []
+    sides = _differing(list(enumerate(a.sections)), list(enumerate(b.sections)))
+    x, y = ([(i, j, p) for i, s in side for j, p in enumerate(s.paragraphs)] for side in sides)
+    return _differing(x, y)
+
+
+def _length(leaves: Counter) -> int:
+    return sum((v & LENGTH) * n for v, n in leaves.items())
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """Twice the length of the leaves that both have over that of all leaves: 1 for equal texts, 0 without a common leaf."""
+    """Twice the length of the leaves that both have over that of all leaves: 1 for equal texts, 0 without a common leaf.
+
+    Equal sections and paragraphs count whole; below those that differ, sampled leaves are matched, whatever their
+    places, and stand for all leaves there.
+    """
     if a.root == b.root:
         return 1.0
-    total = _weight(a.leaves) + _weight(b.leaves)
-    return 2 * _weight(a.leaves & b.leaves) / total if total else 0.0
+    x, y = differing_paragraphs(a, b)
+    total = sum(p.n for t in (a, b) for s in t.sections for p in s.paragraphs)
+    differing = sum(p.n for side in (x, y) for _, _, p in side)
+    level = min(a.level, b.level)
+    u, v = (Counter(v for v in np.frombuffer(b"".join(p.sample for _, _, p in side), ">u4").tolist() if v <= level) for side in (x, y))
+    sampled = _length(u) + _length(v)
+    share = 2 * _length(u & v) / sampled if sampled else 0.0
+    return (total - differing + share * differing) / total
 
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of fingerprint a that b does not have at the same place, found from the root down."""
-    x, y = Tree.parse(a), Tree.parse(b)
-    if x.root == y.root:
-        return []
-    found = []
-    for i, (digest, paragraphs) in enumerate(x.branches):
-        other = y.branches[i] if i < len(y.branches) else ("", [])
-        if digest != other[0]:
-            found += [(i, j) for j, p in enumerate(paragraphs) if j >= len(other[1]) or p != other[1][j]]
-    return found
+    """(section, paragraph) of fingerprint a that b has nowhere, found from the root down."""
+    return [(i, j) for i, j, _ in differing_paragraphs(Tree.parse(a), Tree.parse(b))[0]]
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +246,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has the last quarter (rounded down) of its code points replaced by as many first ones of the next
     row's, or all of them. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     A null text is empty, null ids come first, repeated rows follow each other, a lone row follows itself, an empty
-    table gives none. Texts move once, into ranges of ids whose lower ends are ids of the table; the first row of a
+    table gives none. Ids are numbers; others are refused, as ranges are cut by approximate quantiles of them. Texts move once, into ranges of ids whose lower ends are ids of the table; the first row of a
     range is also the guest of the range before, which gives its last row a next one.
     """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if rows.dtypes[0][1].split("(")[0] not in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}:
+        raise TypeError(f"ids of {id_col} must be numbers, not {rows.dtypes[0][1]}")
     buckets = buckets or 4 * shuffle_partitions(spark)
     ends = rows.agg(F.percentile_approx("id", [i / buckets for i in range(buckets)], 20 * buckets), F.min("id"), F.count("*"), F.count("id")).first()
     if not ends[2]:
