@@ -206,3 +206,32 @@ def test_walk_is_in_order_of_summed_distance():
     cells = ann.walk(a, b, sizes, int(sizes.sum()))
     sums = [a[c // 7] + b[c % 7] for c in cells]
     assert sums == sorted(sums) and sorted(cells) == np.flatnonzero(sizes).tolist()
+
+
+def exact_ids(x, ids, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    return [i for i in np.lexsort((ids, d)) if i != q][:k]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clusters", 0.1), ("one cloud", 0.9)])
+def test_recall_of_walks_that_pass_a_part(spark, kind, most):
+    """20,000 vectors in 200 clusters, and as many without clusters: walks pass a part of the entries and find nearly all neighbours."""
+    r = np.random.default_rng(3)
+    n, dim = 20_000, 16
+    x = r.normal(size=(200, dim))[r.integers(0, 200, n)] * 3 + r.normal(size=(n, dim)) * 0.3 if kind == "clusters" else r.normal(size=(n, dim))
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()})).repartition(8)
+    index = ann.build(table)
+    assert index.entries < most * n and len(index.left) > 40
+    index.classes.drop()
+    got = {}
+    for row in ann.search(table, table.filter("vec_id % 200 = 0")).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row
+    assert len(got) == n // 200
+    hits = 0
+    for q, rows in got.items():
+        assert sorted(rows) == list(range(1, 11)) and [rows[i]["score"] for i in range(1, 11)] == sorted(rows[i]["score"] for i in range(1, 11))
+        hits += len({v["vec_id"] for v in rows.values()} & set(exact_ids(x, np.arange(n), q, 10)))
+    print(kind, "entries", index.entries, "recall", hits / 10 / len(got))
+    assert hits / 10 / len(got) >= 0.9
