@@ -41,19 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A folder that was written for later steps goes when the driver ends, if nothing drops it before."""
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 class Saved:
-    """A DataFrame written to the shared folder, so that what reads it has no lineage; drop() deletes the files."""
+    """A DataFrame written to the shared folder, so that what reads it has no lineage; drop() deletes the files.
+
+    Results are lazy, so files that a result still reads stay until the driver ends.
+    """
 
     def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/millrace-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        until_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = _files(self.spark, self.path)
+        files.delete(at, True)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
