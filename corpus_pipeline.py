@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality
 from millrace.llm.bpe import decode, encode
-from millrace.llm.common import shared_folder, table
+from millrace.llm.common import shared_folder, table, until_exit
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.near_copies import one_of_each
 from millrace.llm.queries import GOOD, held_out
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        until_exit(spark, f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
