@@ -4,203 +4,185 @@ Both are word bigram models of the same form over one shared vocabulary, so thei
 token: P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU), with P(w) from unigram counts plus ADD. A document's score is the
 mean over its tokens of the target's loss less the background's; the lower, the more it is like the target.
 
-The vocabulary is words hashed to a fixed number of ids, so unigram counts are arrays of a known size that every task
-may hold. Bigrams grow with the corpus and stay distributed: a block of documents sends, for each bucket of bigrams,
-one row with its distinct bigrams and their (document, frequency) postings; the bucket's task adds up the counts of all
-blocks of both corpora, scores each distinct bigram once and returns sums for each block's documents.
+The vocabulary is all words of both corpora, and neither words nor bigrams are ever gathered in one place. A block of
+documents sends one row to each bucket of a 48-bit hash, with its distinct words and bigrams and how often it has them;
+the bucket's task adds up the counts of all blocks of both corpora and sends each block the totals of its own entries;
+the block's task scores its documents with them. There are as many buckets as the corpora are large, and a very common
+word or bigram is one entry a block.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, from_ipc, pack, shuffle_partitions, to_ipc, unpack
+from millrace.llm.common import Saved, blocks, from_ipc, pack, shuffle_partitions, to_ipc, unpack
 from millrace.ship import ship
 
-#: Words have 2 ** BITS ids. The two after them mark the beginning and the end of a document.
-BITS = 20
 MU, ADD = 8.0, 0.5
-#: Fixed value: an odd multiplier that permutes bigram codes, so that their high bits deal them evenly over buckets.
-MIX = 0x9E3779B97F4A7C15
-#: Unigram counts travel in slices of so many ids.
-SLICE = 1 << 14
+#: A bucket gets the entries of about so many bytes of text.
+BUCKET_BYTES = 8_000_000
+#: Odd multipliers of a 64-bit hash of two words.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Hashes of words and bigrams have so many bits.
+BITS = 48
 
 
-class WordIds(dict):
-    """Id of a word, in lower case; forgets all when it holds many."""
+def _pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = v * np.uint64(FIRST) + w
+    x ^= x >> np.uint64(29)
+    return x * np.uint64(SECOND) >> np.uint64(64 - BITS)
 
-    def __init__(self, bits: int) -> None:
-        self.mask = (1 << bits) - 1
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = i = zlib.crc32(word.encode()) & self.mask
-        return i
+@dataclass
+class Block:
+    """Texts as word numbers of their own, one after the other with the mark of the beginning before and that of the end after each."""
 
+    hashes: np.ndarray
+    numbers: np.ndarray
+    sizes: np.ndarray
 
-def _ids(words: WordIds, text: str) -> np.ndarray:
-    found = text.lower().split()
-    return np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+    @classmethod
+    def of(cls, texts: list[str]) -> Block:
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        each = [np.fromiter(map(number.__getitem__, t.lower().split()), np.int64) for t in texts]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) >> (64 - BITS) for w in number), np.uint64, len(number))
+        return cls(hashes, np.concatenate(each), np.array([len(x) for x in each], np.int64))
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the first and second words of all bigrams; a text of n words has n + 1. The marks follow the words."""
+        n, begin = len(self.hashes), np.cumsum(self.sizes + 1) - self.sizes - 1
+        v, w = (np.empty(len(self.numbers) + len(self.sizes), np.int64) for _ in range(2))
+        last = begin + self.sizes
+        inside_v, inside_w = np.ones(len(v), bool), np.ones(len(v), bool)
+        inside_v[begin], inside_w[last] = False, False
+        v[begin], v[inside_v], w[last], w[inside_w] = n, self.numbers, n + 1, self.numbers
+        return v, w
 
-def _unigrams(bits: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One pass over a task's texts, then its non-zero slices; the number of documents is the count of the end mark."""
-        words, total = WordIds(bits), np.zeros((1 << bits) + SLICE, np.int64)
-        for _, _, texts in blocks(batches):
-            each = [_ids(words, t) for t in texts]
-            total += np.bincount(np.concatenate(each), minlength=len(total))
-            total[1 << bits] += len(texts)
-        some = [i for i in range(len(total) // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([pack(total[i * SLICE : (i + 1) * SLICE]) for i in some], pa.binary())], ["slice", "counts"])
+    def with_marks(self) -> np.ndarray:
+        return np.concatenate([self.hashes, np.array([(1 << BITS) + 1, (1 << BITS) + 2], np.uint64)])
 
-    return count
 
+def _halves(hashes: np.ndarray) -> list[np.ndarray]:
+    """High and low parts; the high ones of sorted hashes compress to nothing."""
+    return [hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)]
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = np.zeros(SLICE, np.int64)
-    for data in table.column("counts"):
-        total += unpack(data.as_py())[0].astype(np.int64)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
 
+def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
 
-def unigram_counts(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> np.ndarray:
-    """Counts of all word ids over all documents, and last the number of documents."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(_unigrams(bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary")
-    total = np.zeros((1 << bits) + SLICE, np.int64)
-    for r in parts.collect():  # at most 2 ** bits / SLICE + 1 rows, of at most 8 * SLICE bytes
-        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpack(r["counts"])[0]
-    return total[: (1 << bits) + 1]
-
-
-def _send(bits: int, buckets: int, is_target: bool) -> Callable:
-    code_bits = 2 * (bits + 1)
 
+def _send(buckets: int, is_target: bool) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, begin, end = WordIds(bits), 1 << bits, (1 << bits) + 1
-        mix, mask, down = np.uint64(MIX), np.uint64((1 << code_bits) - 1), np.uint64(code_bits - 8)
-        for block, ids, texts in blocks(batches):
-            out, sizes = [], []
-            for text in texts:
-                own = _ids(words, text)
-                row = np.empty(len(own) + 1, np.uint64)
-                row[0], row[1:] = begin, own
-                row <<= np.uint64(bits + 1)
-                row[:-1] |= own.astype(np.uint64)
-                row[-1] |= np.uint64(end)
-                out.append(row)
-                sizes.append(len(row))
-            codes = (np.concatenate(out) * mix) & mask  # a permutation of the codes
-            docs = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
-            pairs, freq = np.unique((codes << np.uint64(13)) | docs, return_counts=True)
-            docs, codes = (pairs & np.uint64(8191)).astype(np.int64), pairs >> np.uint64(13)
-            fresh = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            found = np.diff(np.concatenate([fresh, [len(codes)]]))
-            distinct = codes[fresh]
-            bucket = ((distinct >> down) * np.uint64(buckets)) >> np.uint64(8)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            at = np.concatenate([fresh, [len(codes)]])
-            rows = []
-            if not is_target:
-                head = pa.record_batch([ids, pa.array([s - 1 for s in sizes], pa.int64())], ["id", "n"])
-                rows.append((block % buckets, block, 0, to_ipc(head)))
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                if i < j:
-                    steps = np.diff(distinct[i:j], prepend=np.uint64(0))
-                    body = [steps[:1], steps[1:], found[i:j], freq[at[i] : at[j]]]
-                    if is_target:
-                        body[2:] = [np.add.reduceat(freq[at[i] : at[j]], at[i:j] - at[i])]
-                    else:
-                        body.append(docs[at[i] : at[j]])
-                    rows.append((b, block, 2 if is_target else 1, pack(*body)))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "block", "kind", "data"])
+        """For each block, a home row (bucket -1) with its ids and texts as numbers, and a row for each bucket of its entries."""
+        for number, ids, texts in blocks(batches):
+            block = Block.of(texts)
+            v, w = block.pairs()
+            marked = block.with_marks()
+            pairs, of_pair = np.unique(_pair_hashes(marked[v], marked[w]), return_counts=True)
+            words, inverse = np.unique(block.hashes, return_inverse=True)
+            of_word = np.bincount(inverse, np.bincount(block.numbers, minlength=len(block.hashes)), len(words)).astype(np.int64)
+            home = b"" if is_target else pack(np.frombuffer(to_ipc(pa.record_batch([ids], ["id"])), np.uint8), *_halves(block.hashes), block.numbers, block.sizes)
+            rows = [(-1, len(texts), len(block.numbers), home)]
+            cuts = []
+            for hashes in (words, pairs):
+                bucket = (hashes >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts.append(np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)))
+            for b in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
+                some = [x[slice(*c[b : b + 2])] for x, c in ((words, cuts[0]), (of_word, cuts[0]), (pairs, cuts[1]), (of_pair, cuts[1]))]
+                rows.append((b, 0, 0, pack(*_halves(some[0]), some[1], *_halves(some[2]), some[3])))
+            bucket, n_docs, n_words, data = zip(*rows, strict=True)
+            same = [pa.array([x] * len(rows), t) for x, t in ((number, pa.int64()), (is_target, pa.bool_()))]
+            yield pa.record_batch([pa.array(bucket, pa.int32()), *same, pa.array(n_docs, pa.int64()), pa.array(n_words, pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "aim", "n_docs", "n_words", "data"])
 
     return send
 
 
-def _score(bits: int, counts) -> Callable:
-    code_bits = 2 * (bits + 1)
-    back, mask = np.uint64(pow(MIX, -1, 1 << 64)), np.uint64((1 << code_bits) - 1)
-
-    def losses(codes: np.ndarray, pairs: np.ndarray, unigrams: np.ndarray, shared: int) -> np.ndarray:
-        v, w = (codes >> np.uint64(bits + 1)).astype(np.int64), (codes & np.uint64((2 << bits) - 1)).astype(np.int64)
-        n_docs = unigrams[-1]
-        of_v = unigrams[v]  # the count of the beginning is that of documents, the last entry
-        of_w = np.where(w > 1 << bits, n_docs, unigrams[np.minimum(w, 1 << bits)])
-        prior = (of_w + ADD) / (unigrams.sum() + ADD * shared)
-        return -np.log((pairs + MU * prior) / (of_v + MU))
-
+def _count(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's words and bigrams for each background block that has them, and the number of different words."""
+    aims, rows = table.column("aim").to_pylist(), [unpack(x.as_py()) for x in table.column("data")]
+    out: list[list[np.ndarray]] = [[] for _ in rows]
+    n_words = 0
+    for first in (0, 3):
+        hashes = [_whole(r[first], r[first + 1]) for r in rows]
+        distinct, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        n_words = n_words or len(distinct)
+        ends = np.cumsum([len(h) for h in hashes])
+        of = [where[e - len(h) : e] for e, h in zip(ends, hashes, strict=True)]
+        totals = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+        for aim, mine, r in zip(aims, of, rows, strict=True):
+            totals[not aim][mine] += r[first + 2].astype(np.int64)
+        for mine, o in zip(of, out, strict=True):
+            o += [t[mine] for t in totals]
+    kept = [i for i, aim in enumerate(aims) if not aim]
+    block = table.column("block").take(pa.array(kept, pa.int64())).to_pylist()
+    bucket = table.column("bucket")[0].as_py()
+    rows_out = [(bucket, b, 0, pack(*out[i])) for i, b in zip(kept, block, strict=True)] + [(bucket, None, n_words, None)]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "n_words", "data"])
+
+
+@dataclass
+class Sizes:
+    """Of the target and of the background: words and documents; shared: different words of both."""
+
+    words: tuple[int, int]
+    docs: tuple[int, int]
+    shared: int
+
+
+def _score(sizes: Sizes) -> Callable:
     def score(table: pa.Table) -> pa.Table:
-        target, background = counts.value
-        shared = int(((target + background) > 0).sum())
-        kinds, rows = table.column("kind").to_numpy(), []
-        heads = [(table.column("block")[i].as_py(), True, table.column("data")[i].as_py()) for i in np.flatnonzero(kinds == 0)]
-        for i in np.flatnonzero(kinds > 0):
-            first, steps, *rest = unpack(table.column("data")[i].as_py())
-            codes = np.cumsum(np.concatenate([first.astype(np.uint64), steps.astype(np.uint64)]), dtype=np.uint64)
-            rows.append((table.column("block")[i].as_py(), int(kinds[i]), codes, rest))
-        out = []
-        if rows:
-            distinct, where = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-            per_kind = {1: np.zeros(len(distinct)), 2: np.zeros(len(distinct))}
-            at, own = 0, []
-            for _, kind, codes, rest in rows:
-                mine = where[at : at + len(codes)]
-                at += len(codes)
-                own.append(mine)
-                n = rest[0] if kind == 2 else np.add.reduceat(rest[1].astype(np.int64), np.cumsum(rest[0], dtype=np.int64) - rest[0].astype(np.int64))
-                per_kind[kind][mine] += n
-            plain = (distinct * back) & mask
-            diff = losses(plain, per_kind[2], target, shared) - losses(plain, per_kind[1], background, shared)
-            for (block, kind, _, rest), mine in zip(rows, own, strict=True):
-                if kind == 1:
-                    found, freq, docs = rest
-                    sums = np.bincount(docs.astype(np.int64), np.repeat(diff[mine], found.astype(np.int64)) * freq)
-                    some = np.unique(docs)
-                    out.append((block, False, pack(some, sums[some].astype(np.float32))))
-        out += heads
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], ["block", "head", "data"])
+        order = np.argsort(table.column("bucket").to_numpy(), kind="stable")  # the home row is first
+        home, *rest = (unpack(table.column("data")[i].as_py()) for i in order.tolist())
+        ids = from_ipc(home[0].tobytes()).column("id")
+        block = Block(_whole(home[1], home[2]), home[3].astype(np.int64), home[4].astype(np.int64))
+        v, w = block.pairs()
+        marked = block.with_marks()
+        of_pair = np.unique(_pair_hashes(marked[v], marked[w]), return_inverse=True)[1]
+        of_word = np.unique(block.hashes, return_inverse=True)[1]
+        diff = np.zeros(len(v))
+        for i, sign in ((0, 1.0), (1, -1.0)):
+            words = np.concatenate([r[i] for r in rest]).astype(np.float64)[of_word] if len(of_word) else np.empty(0)
+            words = np.append(words, [sizes.docs[i]] * 2)  # a mark is as frequent as documents are
+            prior = (words + ADD) / (sizes.words[i] + sizes.docs[i] + ADD * sizes.shared)
+            pairs = np.concatenate([r[2 + i] for r in rest]).astype(np.float64)[of_pair]
+            diff -= sign * np.log((pairs + MU * prior[w]) / (words[v] + MU))
+        n = block.sizes + 1
+        mean = np.add.reduceat(diff, np.cumsum(n) - n) / n
+        return pa.table({"id": ids, "n_words": pa.array(block.sizes), "score": pa.array(np.round(mean, 6))})
 
     return score
 
 
-def _total(table: pa.Table) -> pa.Table:
-    heads = table.column("head").to_pylist()
-    head = from_ipc(table.column("data")[heads.index(True)].as_py())
-    total = np.zeros(len(head))
-    for is_head, data in zip(heads, table.column("data"), strict=True):
-        if not is_head:
-            docs, sums = unpack(data.as_py())
-            total[docs] += sums
-    n = head.column("n").to_numpy()
-    return pa.table({"id": head.column("id"), "n_words": head.column("n"), "score": pa.array(np.round(total / (n + 1), 4))})
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, buckets: int | None = None) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, n_words, score) of every row of docs, which is also the background corpus; target is the target corpus.
 
-    Counts are taken over all documents of both. The score, rounded to 4 digits, is the mean loss difference in nats over the
-    words and the end of the document; single precision sums make further digits depend on the order of rows. A null
-    or empty text has no words and the score of an end alone; repeated rows give a row each; an empty target leaves the
-    uniform model; an empty table gives no rows; other columns are not read.
+    Counts are taken over all documents of both. The score, rounded to 6 digits, is the mean loss difference in nats
+    over the words and the end of the document. A null or empty text has no words and the score of an end alone;
+    repeated rows give a row each; an empty target leaves the uniform model; an empty table gives no rows; other
+    columns are not read. Blocks are written down before they are counted, so ids and texts of a block stay together
+    whatever task is lost and however the input's rows are ordered when it is read again.
     """
     spark = ship(docs.sparkSession)
-    buckets = buckets or min(256, max(64, shuffle_partitions(spark)))
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    counts = spark.sparkContext.broadcast((unigram_counts(target, text_col, bits), unigram_counts(docs, text_col, bits)))
-    schema = "bucket int, block long, kind int, data binary"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(bits, buckets, False), schema)
-    aims = target.select(F.lit(None).cast(kind).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(bits, buckets, True), schema)
-    scored = rows.unionAll(aims).groupBy("bucket").applyInArrow(_score(bits, counts), "block long, head boolean, data binary")
-    return scored.groupBy("block").applyInArrow(_total, f"id {kind}, n_words long, score double").withColumnRenamed("id", id_col)
+    if not buckets:
+        n_bytes = sum(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0 for df in (docs, target))
+        buckets = max(64, shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
+    schema = "bucket int, block long, aim boolean, n_docs long, n_words long, data binary"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(buckets, False), schema)
+    aims = target.select(F.lit(None).cast(kind).alias("id"), F.col(text_col).alias("text")).mapInArrow(_send(buckets, True), schema)
+    sent = Saved(rows.unionAll(aims)).df
+    counted = Saved(sent.filter("bucket >= 0").select("bucket", "block", "aim", "data").groupBy("bucket").applyInArrow(_count, "bucket int, block long, n_words long, data binary")).df
+    totals = {r["aim"]: r for r in sent.filter("bucket < 0").groupBy("aim").agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).collect()}
+    shared = counted.filter("block is null").agg(F.sum("n_words")).first()[0] or 0
+    sizes = Sizes(*(tuple(totals[a][c] if a in totals else 0 for a in (True, False)) for c in ("words", "docs")), shared + 1)  # and the end
+    found = sent.filter("bucket < 0 and not aim").select("bucket", "block", "data").unionAll(counted.filter("block is not null").select("bucket", "block", "data"))
+    return found.groupBy("block").applyInArrow(_score(sizes), f"id {kind}, n_words long, score double").withColumnRenamed("id", id_col)
