@@ -43,6 +43,21 @@ def test_counts_of_a_whole_table(spark, tokenizer):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 512)
 
 
+def test_counts_by_a_file_with_a_normaliser(spark):
+    """Words of this file are lower-cased, composed and end with a mark of their own."""
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [*EDGE, (40, "cafe\u0301 na\u0308ive"), (41, "ÉCOLE <|startoftext|>It's 12345!!"), (42, "a\u3000b ﬁne \u1e9b\u0323")]
+    rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    got = map(tuple, count_tokens(documents(spark, rows), vocab="word_bpe_49k.json").collect())
+    want = [(k, len((t or "").encode()), len(other.encode(t or "", add_special_tokens=False).ids)) for k, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_files_of_other_libraries_are_refused(spark):
+    with pytest.raises(ValueError, match="no tokenizers file"):
+        count_tokens(documents(spark, EDGE), vocab="piece_bpe_32k.model")
+
+
 def test_counts_with_few_buckets_and_an_empty_table(spark, tokenizer):
     docs = documents(spark, [(i, prose(i % 3) + " the the the") for i in range(60)])
     by_id = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, buckets=2).collect()}
