@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,24 @@ class Saved:
         files.delete(at, True)
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer such keys than this.
+HOT = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined to unique, which has one row a key and, in column n, how many rows have the key; n is dropped.
+
+    Rows of hot keys stay where they are: fewer than HOT rows of unique are broadcast for them. All others are shuffled.
+    """
+    total, most = unique.agg(F.sum(n), F.max(n)).first()
+    rest = unique.drop(n)
+    if not total or most * HOT <= total:
+        return rows.join(rest, key, how)
+    hot = unique.filter(F.col(n) * HOT > total)
+    theirs = rows.join(F.broadcast(hot.drop(n)), key)
+    return theirs.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer or float arrays in few bytes: the narrowest type that holds them, then zstandard."""
     parts = []

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Saved
+from millrace.llm.common import Saved, join_unique
 
 
-def _hook(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with the least v of each u as m; minima are combined before the shuffle, so a hub is one row a task."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u")
+def _star(pairs: DataFrame, shape: Callable[[DataFrame], DataFrame]) -> Saved:
+    """Links that shape makes of (u, v) pairs with the least v of each u as m. The pairs of a hub stay dealt over all tasks."""
+    least = Saved(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    done = Saved(shape(join_unique(pairs, least.df, ["u"])).filter("u != v").distinct())
+    least.drop()
+    return done
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _hook(both).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("was")).filter("u > was and u != v").select("u", "v").distinct()
+def _large(hooked: DataFrame) -> DataFrame:
+    return hooked.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    hooked = _hook(links)
-    return hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(hooked.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+def _small(hooked: DataFrame) -> DataFrame:
+    return hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(hooked.select("u", F.col("m").alias("v")))
 
 
 def connected_components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -37,6 +39,7 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v") -> DataFr
         if seen == mark or seen[0] == 0:
             return current.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(current.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = seen
-        stars = Saved(_small_star(_large_star(current.df)))
+        large = _star(current.df.select("u", "v").unionAll(current.df.select(F.col("v").alias("u"), F.col("u").alias("v"))), _large)
         current.drop()
-        current = stars
+        current = _star(large.df, _small)
+        large.drop()

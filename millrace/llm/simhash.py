@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Saved, shuffle_partitions
+from millrace.llm.common import Saved, join_unique, shuffle_partitions
 from millrace.llm.components import connected_components
 from millrace.ship import ship
 
@@ -118,7 +118,7 @@ def near_links(numbers: DataFrame, radius: int = RADIUS, crowd: int = CROWD, wit
         keyed = dealt.mapInArrow(_cover(radius), "fp long, mask long, k long")
         sizes = Saved(keyed.groupBy("mask", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1")).df
         pairs = sizes.filter("n = 2").filter(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        many = keyed.join(sizes.filter("n > 2").select("mask", "k", "n", "lo"), ["mask", "k"])
+        many = join_unique(keyed, sizes.filter("n > 2").select("mask", "k", "lo", "n", F.col("n").alias("size")), ["mask", "k"]).withColumnRenamed("size", "n")
         close = F.bit_count(F.bitwise_not("mask")) <= radius
         alike = many.filter(close).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
         few = many.filter(~close & (F.col("n") <= crowd)).groupBy("mask", "k").agg(F.collect_list("fp").alias("group"))
@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are not read.
     """
     rows = Saved(fingerprints(docs, [F.col(id_col).alias("id")], text_col)).df
-    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    least = Saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))).df
     parts = connected_components(near_links(least.select("fp"), radius, crowd)).select(F.col("node").alias("fp"), "component")
-    named = least.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    names = named.groupBy("part").agg(F.min("least").alias("component"))
-    return rows.join(named.join(names, "part").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
+    named = Saved(least.join(parts, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("part"))).df
+    names = Saved(named.groupBy("part").agg(F.min("least").alias("component"), F.count("*").alias("n"))).df
+    of_print = Saved(join_unique(named.withColumnRenamed("n", "rows"), names, ["part"]).select("fp", "component", F.col("rows").alias("n"))).df
+    return join_unique(rows, of_print, ["fp"]).select(F.col("id").alias(id_col), "fp", "component")
