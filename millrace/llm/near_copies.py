@@ -2,21 +2,19 @@
 
 Texts that share four fifths of their five-word shingles differ in a few words, so the SimHash for them is over single
 words, weighted by the square root of their count: a changed word moves few bits, and very common words don't make all
-texts of a language alike. Four fingerprints of independent hashes are kept, and a pair that is within the radius in
-any of them meets in some covering table. There each text names its nearest neighbours and the least, so a group of any size
-gives a few pairs a text. Every pair is then held against the shingles of its texts; of the texts that pairs join, each
-is also held against the one with most confirmed pairs. Confirmed pairs are joined up.
+texts of a language alike. A pair within the radius meets in some covering table. There each text names its nearest
+neighbours and the least, so a group of any size gives a few pairs a text. Every pair is then held against the shingles
+of its texts. Confirmed pairs are joined up.
 
 That finds most copies early, but not those with a long stretch added or cut, nor all in large families. So each text also
 has bands of least shingle hashes: two texts at the similarity agree on none with a chance of at most MISS, whatever the
-kind of edit. All pairs of texts that agree on a band and are not in one group yet are held against each other.
+kind of edit. Texts that agree on a band and are not in one group yet are first held against the least of them; all pairs
+that are in different groups still are then held against each other, in blocks where the entry is large.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,48 +25,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Saved
+from millrace.llm.common import HOT, Saved, join_unique
 from millrace.llm.components import connected_components
 from millrace.llm.simhash import RADIUS, covering_masks, near_links
 from millrace.ship import ship
 
 #: A near copy shares so large a part of the shingles of so many words.
 WORDS, SIMILARITY = 5, 0.8
-_WORD = re.compile(r"\w+")
-
 
 #: A text is held against so many nearest neighbours of each table entry.
 NEAREST = 4
 #: A band is so many least hashes; there are as many bands as leave a pair at the similarity this chance to agree on none.
-LEAST, MISS = 5, 1e-9
+LEAST, MISS = 4, 1e-6
 #: Entries of at most FEW texts give pairs; larger ones are compared in blocks of at most so many texts and, unless one has more, shingles.
 FEW, BLOCK_TEXTS, BLOCK_SHINGLES = 32, 1024, 1 << 20
-#: Columns of the fingerprints.
-PRINTS = ["f0", "f1", "f2", "f3"]
-
-
-def word_fingerprints(text: str | None) -> np.ndarray:
-    """Signed 64-bit fingerprints; a text without words or other characters has zeros."""
-    lowered, digest = (text or "").lower(), xxhash.xxh3_128_digest
-    counts = Counter(_WORD.findall(lowered) or lowered.split())
-    weights, words = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts))), list(counts)
-    ones = np.zeros(64 * len(PRINTS), np.float32)
-    for at in range(0, len(words), 4096):
-        data = b"".join(digest(w, seed) for w in map(str.encode, words[at : at + 4096]) for seed in (0, 1))
-        bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 8 * len(PRINTS)), axis=1)
+#: Shingles of a text that very many pairs ask for are kept so many times, each for its share of the pairs.
+COPIES = 32
+#: Odd multipliers of 64-bit hashes.
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Words(dict):
+    """64-bit hash of a word; forgets all when it holds many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_WORDS = Words()
+
+
+def hashes(text: str | None) -> np.ndarray:
+    """Of the lower-case words of a text, in order."""
+    own = (text or "").lower().split()
+    return np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
+
+
+def word_fingerprint(words: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashed words, each weighted by the square root of its count; no words give zero."""
+    distinct, counts = np.unique(words, return_counts=True)
+    weights, ones = np.sqrt(counts.astype(np.float32)), np.zeros(64, np.float32)
+    for at in range(0, len(distinct), 4096):
+        bits = np.unpackbits(distinct[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1)
         ones += weights[at : at + 4096] @ bits.astype(np.float32)
-    return np.packbits(2 * ones > weights.sum()).view(np.int64)
+    return int(np.packbits(2 * ones > weights.sum()).view(np.int64)[0])
+
 
+def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Distinct 32-bit hashes of the shingles of n hashed words; a shorter text is one shingle."""
+    n = max(1, min(n, len(words)))
+    x = np.zeros(max(1, len(words) - n + 1), np.uint64)
+    for k in range(min(n, len(words))):
+        x = (x ^ x >> np.uint64(29)) * STEP + words[k : k + len(x)]
+    x = (x ^ x >> np.uint64(32)) * MIX
+    return np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
-def _fingerprints(words: int, bands: int):
+
+def _prints(words: int, bands: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In place of the text: its fingerprint, its shingles and the keys of its bands."""
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                found = np.array([word_fingerprints(t) for t in texts], np.int64).reshape(-1, len(PRINTS))
-                keys = pa.ListArray.from_arrays(np.arange(0, bands * len(texts) + 1, bands, dtype=np.int32), band_keys([shingles(t, words) for t in texts], bands).ravel())
-                yield pa.record_batch([*part.columns[:-1], *map(pa.array, found.T.copy()), keys], [*part.schema.names[:-1], *PRINTS, "keys"])
+                own = [hashes(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                fps, sets = np.array([word_fingerprint(x) for x in own], np.int64), [shingles(x, words) for x in own]
+                keys = pa.ListArray.from_arrays(np.arange(0, bands * len(own) + 1, bands, dtype=np.int32), band_keys(sets, bands).ravel())
+                yield pa.record_batch([*part.columns[:-1], pa.array(fps), pa.array(sets, pa.list_(pa.int32())), keys], [*part.schema.names[:-1], "fp", "s", "keys"])
 
     return prints
 
@@ -98,23 +123,6 @@ def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, bands), np.int64)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct 32-bit hashes of the shingles of lower-case words; a shorter text is one shingle."""
-    own = (text or "").lower().split()
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(" ".join(own[i : i + words])) for i in range(max(1, len(own) - words + 1))), np.uint32)).view(np.int32)
-
-
-def _shingle_sets(words: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = pa.array([shingles(t, words) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.record_batch([part.column(0), found], ["h", "s"])
-
-    return sets
-
-
 def neighbours(radius: int):
     """Per entry, each member with its nearest neighbours and the least within the radius; of equally near ones the least.
 
@@ -194,61 +202,87 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is joined. Repeated rows and null ids have a row each; an empty table gives none; other columns are not read.
     """
     ship(docs.sparkSession)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("t"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    prints = Saved(rows.mapInArrow(_fingerprints(words, bands_for(similarity)), kinds + "".join(f", {c} long" for c in PRINTS) + ", keys array<long>")).df
-    texts = Saved(prints.groupBy("h").agg(*[F.min(c).alias(c) for c in PRINTS])).df
-    # all fingerprints are one pool: two of different hashes are close by chance alone, and the check drops such pairs
-    pool = texts.select("h", F.explode(F.array(*PRINTS)).alias("fp"))
-    least = Saved(pool.groupBy("fp").agg(F.min("h").alias("least"))).df
+    prints = Saved(rows.mapInArrow(_prints(words, bands_for(similarity)), kinds + ", fp long, s array<int>, keys array<long>").withColumn("row", F.monotonically_increasing_id())).df
+    # one row of each text, by numbers that are written down; rows of a text that very many have are counted where they are
+    copies = Saved(prints.groupBy("h").agg(F.min("row").alias("row"), F.count("*").alias("n"))).df
+    texts = Saved(prints.select("h", "row", "fp", "s", "keys").join(copies.select("h", "row"), ["h", "row"]).drop("row")).df
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        return _confirmed(some, texts.select("h", "s"), similarity)
+
+    def grouped(sure: DataFrame) -> DataFrame:
+        return connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g"))
+
+    least = Saved(texts.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n"))).df
     close = near_links(least.select("fp"), radius, within=neighbours(radius))
-    far = close.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
-    pairs = far.unionAll(pool.join(least, "fp").select(F.col("h").alias("a"), F.col("least").alias("b")))
+    named = least.select("fp", "least")
+    far = close.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select("a", "b")
+    same = join_unique(texts.select("h", "fp"), least, ["fp"]).select(F.col("h").alias("a"), F.col("least").alias("b"))
+    sure = Saved(confirmed(far.unionAll(same))).df
+    parts = Saved(grouped(sure)).df
+
+    # texts that agree on a band, where these are not all of one group
+    keyed = texts.join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), F.explode("keys").alias("key"))
+    unsettled = Saved(_of_several_groups(keyed)).df
+    sure = Saved(sure.unionAll(confirmed(unsettled.filter("h != first").select(F.col("h").alias("a"), F.col("first").alias("b"))))).df
+    parts = Saved(grouped(sure)).df
+    unsettled = Saved(_of_several_groups(unsettled.select("h", "key").join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "key"))).df
+    few = unsettled.filter(F.col("of") <= FEW)
+    two = few.select("key", F.col("h").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb")), "key").filter("a > b and ga != gb")
+    sure = sure.unionAll(confirmed(two.select("a", "b"))).unionAll(_in_blocks(unsettled.filter(F.col("of") > FEW), texts.select("h", "s"), similarity))
+    parts = grouped(sure)
+    named = copies.join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("group"), "n")
+    return join_unique(prints.select("id", "h"), Saved(named).df, ["h"]).select(F.col("id").alias(id_col), "h", "group")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs (a, b) of texts whose shingles are so similar. Sets that very many pairs ask for are kept in several copies."""
     pairs = Saved(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).df
+    asked = Saved(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n"))).df
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(asked.filter(F.col("n") * HOT > total).select("h", F.lit(COPIES).alias("copies"))) if total > HOT * FEW else asked.filter("false").select("h", F.lit(COPIES).alias("copies"))
+    kept = Saved(sets.join(asked.select("h"), "h", "left_semi").join(hot, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "s")).df
 
-    def sets_of(asked: DataFrame) -> DataFrame:
-        chosen = docs.select(F.xxhash64(body).alias("h"), F.col(text_col).alias("t")).join(asked.distinct(), "h", "left_semi")
-        return Saved(chosen.mapInArrow(_shingle_sets(words), "h long, s array<int>").groupBy("h").agg(F.first("s").alias("s"))).df
+    def meets(side: str, other: str, out: str, held: DataFrame) -> DataFrame:
+        copy = F.coalesce(F.pmod(F.xxhash64(other), F.col("copies").cast("long")), F.lit(0)).cast("int").alias("copy")
+        dealt = held.join(hot.withColumnRenamed("h", side), side, "left").select(*held.columns, copy)
+        return dealt.join(kept.select(F.col("h").alias(side), "copy", F.col("s").alias(out)), [side, "copy"]).drop("copy")
 
-    sets = sets_of(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))))
+    held = meets("b", "a", "sb", meets("a", "b", "sa", pairs))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return held.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    def confirmed(some: DataFrame, sets: DataFrame = sets) -> DataFrame:
-        held = some.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return held.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    sure = Saved(confirmed(pairs)).df
-    # the text with most confirmed pairs among texts that candidates join is often the one that the others were copied from
-    degree = sure.select(F.col("a").alias("h")).unionAll(sure.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n"))
-    near = Saved(connected_components(pairs, "a", "b").select(F.col("node").alias("h"), "component")).df
-    hubs = near.join(degree, "h").groupBy("component").agg(F.max(F.struct("n", "h")).alias("hub")).select("component", F.col("hub.h").alias("hub"))
-    more = near.join(hubs, "component").filter("h != hub").select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    sure = Saved(sure.unionAll(confirmed(more))).df
-    parts = Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g"))).df
+def _of_several_groups(keyed: DataFrame) -> DataFrame:
+    """Of (h, g, key), the rows of keys that texts of more than one group have, with the least text and the number of texts."""
+    entries = keyed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("h").alias("first"), F.count("*").alias("n")).filter("lo != hi")
+    return join_unique(keyed, Saved(entries.select("key", "first", "n", F.col("n").alias("of"))).df, ["key"])
 
-    # texts that agree on a band, where these are not all of one group
-    entry = Window.partitionBy("key")
-    keyed = prints.groupBy("h").agg(F.first("keys").alias("keys")).join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), F.explode("keys").alias("key"))
-    counted = keyed.withColumns({"lo": F.min("g").over(entry), "hi": F.max("g").over(entry), "n": F.count("*").over(entry)})
-    unsettled = Saved(counted.filter("lo != hi").select("key", "n", "h", "g")).df
-    sets = sets_of(unsettled.select("h"))
-    few, many = unsettled.filter(F.col("n") <= FEW), unsettled.filter(F.col("n") > FEW)
-    two = few.select("key", F.col("h").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb")), "key")
-    sure = sure.unionAll(confirmed(two.filter("a > b and ga != gb").select("a", "b").distinct(), sets))
-    # in the order of groups, so that two blocks of one group, which are not compared, are most of a large group's
-    running = entry.orderBy("g", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = many.join(sets.select("h", F.size("s").alias("size")), "h")
-    at = F.greatest(F.floor((F.count("*").over(running) - 1) / BLOCK_TEXTS), F.floor(F.sum("size").over(running) / BLOCK_SHINGLES))
-    dealt = Saved(sized.select("key", "h", "g", at.alias("block"))).df
-    ends = dealt.groupBy("key", "block").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+
+def _in_blocks(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of groups that a pair of texts joins, among all pairs of an entry's texts in different groups.
+
+    An entry's texts are dealt over blocks by a hash; a group that is larger than a block has blocks of its own, which
+    are not compared with each other.
+    """
+    sized = Saved(many.join(sets.select("h", F.size("s").alias("size")), "h").select("key", "h", "g", "size")).df
+
+    n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    own = Saved(sized.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("size").alias("size")).withColumn("blocks", n_blocks)).df
+    large = own.filter("blocks > 1").select("key", "g", "blocks", "n")
+    small = [F.sum(F.when(F.col("blocks") > 1, 0).otherwise(F.col(c))).alias(c) for c in ("n", "size")]
+    shared = own.groupBy("key").agg(F.sum("n").alias("all"), *small).select("key", F.greatest(n_blocks, F.lit(1)).alias("shared"), F.col("all").alias("n"))
+    dealt = join_unique(join_unique(sized, Saved(large).df, ["key", "g"], how="left"), Saved(shared).df, ["key"])
+    block = F.when(F.col("blocks").isNull(), F.concat(F.lit("/"), F.pmod(F.xxhash64("g"), "shared"))).otherwise(F.concat("g", F.lit("/"), F.pmod(F.xxhash64("h"), "blocks")))
+    dealt = Saved(dealt.select("key", "h", "g", block.alias("block"))).df
+    ends = Saved(dealt.groupBy("key", "block").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))).df
     other = ends.select("key", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = ends.join(other, "key").filter("block <= other and (lo != hi or lo2 != hi2 or lo != lo2)").select("key", "block", "other")
     sides = meet.select("key", "block", "other", F.lit(True).alias("left"), F.col("block").alias("at")).unionAll(meet.filter("block != other").select("key", "block", "other", F.lit(False).alias("left"), F.col("other").alias("at")))
     placed = sides.join(dealt.withColumnRenamed("block", "at"), ["key", "at"]).join(sets, "h").select("key", "block", "other", "left", "g", "s")
-    sure = sure.unionAll(placed.groupBy("key", "block", "other").applyInArrow(_across(similarity), "a long, b long"))
-    parts = connected_components(sure, "a", "b").select(F.col("node").alias("h"), "component")
-    return prints.select("id", "h").join(parts, "h", "left").select(F.col("id").alias(id_col), "h", F.coalesce("component", "h").alias("group"))
+    return placed.groupBy("key", "block", "other").applyInArrow(_across(similarity), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
