@@ -17,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import pack, unpack
 from millrace.ship import ship
 
 BITS, DIM = 17, 16
 #: Lengths of character n-grams.
 GRAMS = (3, 4, 5)
-#: The sample: at most so many labelled rows, and of them those of at most so many characters.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+#: The sample: at most so many labelled rows, whatever the length of their texts.
+TRAIN_ROWS = 4000
 EPOCHS, RATE = 6, 0.5
 #: So many features without weight are added to each text: a few words alone don't decide.
 CALM = 16
 #: Odd multipliers of a 64-bit multiplicative hash and a prime base for polynomial hashes.
 MIX, BASE = 0x9E3779B97F4A7C15, 0x100000001B3
+#: A text is scored in pieces of so many code points, or of one longer word.
 PIECE = 1 << 19
 
 
@@ -46,12 +48,18 @@ class Features:
     def __init__(self, bits: int = BITS) -> None:
         self.shift, self.up, self.down = np.uint64(64 - bits), *_powers(PIECE + 64)
 
+    def _reach(self, n: int) -> None:
+        """Powers for n code points: more than usual where a word is longer than a piece."""
+        if n > len(self.up):
+            self.up, self.down = _powers(n)
+
     def _ids(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         return (((hashes + np.uint64(kind * 2 + 1)) * np.uint64(MIX)) >> self.shift).astype(np.int32)
 
     def _of(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position, id) of features in code points that begin and end with a space, no longer than PIECE."""
+        """(position, id) of features in code points that begin and end with a space."""
         n = len(codes)
+        self._reach(n)
         space = codes == 32
         gaps = np.cumsum(space, dtype=np.int32)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * self.up[:n], dtype=np.uint64)])
@@ -68,25 +76,22 @@ class Features:
                 at = np.flatnonzero(inner == 0)
                 yield at, self._ids((sums[at + size] - sums[at]) * self.down[at], size)
 
-    def pieces(self, text: str | None) -> Iterator[np.ndarray]:
+    def pieces(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         """The text's code points with every run of white space as one space, in pieces cut at spaces.
 
-        A word longer than a piece is cut inside.
+        A piece begins with the last word of the piece before, which says whether its first word repeats it; features
+        from the given position on are the piece's own. A word longer than a piece is a piece.
         """
         codes = np.frombuffer(" ".join(["", *(text or "").split(), ""]).encode("utf-32-le"), np.uint32)
-        at = 0
-        while at < len(codes) - 1:
-            end = min(at + PIECE, len(codes))
-            if end < len(codes):
-                spaces = np.flatnonzero(codes[at + 1 : end] == 32)
-                end = at + 2 + int(spaces[-1]) if len(spaces) else end
-            yield codes[at:end]
-            at = end - 1
-            if end == len(codes):
-                break
+        spaces = np.flatnonzero(codes == 32)
+        last, before = 0, 0  # numbers of the space that the piece begins with, and of the one before
+        while last < len(spaces) - 1:
+            end = max(last + 1, int(np.searchsorted(spaces, spaces[last] + PIECE, "right")) - 1)
+            yield int(spaces[last] - spaces[before]), codes[spaces[before] : spaces[end] + 1]
+            last, before = end, end - 1
 
     def bag(self, text: str | None) -> np.ndarray:
-        found = [ids for codes in self.pieces(text) for _, ids in self._of(codes)]
+        found = [ids[at >= own] for own, codes in self.pieces(text) for at, ids in self._of(codes)]
         return np.concatenate(found) if found else np.empty(0, np.int32)
 
     def sums(self, texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,27 +99,34 @@ class Features:
         total, number = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
         group: list[np.ndarray] = []
         owners: list[int] = []
+        skipped: list[int] = []
 
         def flush() -> None:
             if group:
                 codes = np.concatenate(group)
                 bounds = np.cumsum([0, *map(len, group)])
+                first = bounds[:-1] + np.asarray(skipped)
                 for at, ids in self._of(codes):
-                    own = np.asarray(owners)[np.searchsorted(bounds, at, "right") - 1]
+                    part = np.searchsorted(bounds, at, "right") - 1
+                    if any(skipped):
+                        mine = at >= first[part]
+                        part, ids = part[mine], ids[mine]
+                    own = np.asarray(owners)[part]
                     number[:] += np.bincount(own, minlength=len(texts))
                     for c in range(weights.shape[1]):
                         total[:, c] += np.bincount(own, weights[ids, c], len(texts))
-                group.clear()
-                owners.clear()
+                for held in (group, owners, skipped):
+                    held.clear()
 
         size = 0
         for i, text in enumerate(texts):
-            for codes in self.pieces(text):
+            for skip, codes in self.pieces(text):
                 if size + len(codes) > PIECE:
                     flush()
                     size = 0
                 group.append(codes)
                 owners.append(i)
+                skipped.append(skip)
                 size += len(codes)
         flush()
         return total, number
@@ -135,26 +147,29 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = DIM, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
-    """Stochastic gradient descent over shuffled documents; the rate falls to nothing. One class alone is certain."""
+def bag_of(features: Features, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature ids of a text and their counts."""
+    return np.unique(features.bag(text), return_counts=True)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
+    """Stochastic gradient descent over shuffled documents, given by their bags; the rate falls to nothing. One class alone is certain."""
     classes, y = np.unique(np.asarray(labels, np.int64), return_inverse=True)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     if not len(classes):
         return Model([], np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32))
-    features = Features(bits)
     # one array for all texts takes the least memory, and all of it goes back at the end
     held, times, cuts = array("i"), array("I"), [0]
-    for t in texts:
-        ids, counts = np.unique(features.bag(t), return_counts=True)
+    for ids, counts in bags:
         held.frombytes(ids.astype(np.int32).tobytes())
         times.frombytes(counts.astype(np.uint32).tobytes())
         cuts.append(len(held))
     all_ids, all_counts = np.frombuffer(held, np.int32), np.frombuffer(times, np.uint32)
-    steps, done = epochs * len(texts), 0
+    steps, done = epochs * len(labels), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(texts)):
+        for i in rng.permutation(len(labels)):
             ids, counts = all_ids[cuts[i] : cuts[i + 1]], all_counts[cuts[i] : cuts[i + 1]]
             step = rate * (1 - done / steps)
             done += 1
@@ -172,21 +187,35 @@ def train(texts: list[str | None], labels: list[int], dim: int = DIM, bits: int
     return Model(classes.tolist(), table @ out, bias)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels of the labelled rows that come first by a hash of their id: at most rows, none over chars.
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features = Features()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            data = [pack(*bag_of(features, t)) for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*part.columns[:-1], pa.array(data, pa.binary())], [*part.schema.names[:-1], "bag"])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """Bags and labels of the labelled rows that come first by a hash of their id, at most so many.
 
-    The labels are ranked alone, so only the chosen ids, bounded by rows, meet the documents.
+    The labels are ranked alone, so only the chosen ids, bounded by rows, meet the documents; whole texts become bags
+    where they are, and a bag has at most 2 ** BITS ids whatever the text. Of labels and of texts that repeat an id
+    the least counts, of texts by a hash.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= chars)
-    found = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").select("text", "label").toArrow()
-    return found.column("text").to_pylist(), found.column("label").to_pylist()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", F.xxhash64("text").alias("h"), "text")
+    kinds = ", ".join(f"{c} {t}" for c, t in own.dtypes[:-1])
+    bags = own.mapInArrow(_bags, f"{kinds}, bag binary").groupBy("id").agg(F.min(F.struct("h", "label", "bag")).alias("first"))
+    found = bags.orderBy("id").select("first.label", "first.bag").toArrow()
+    return [tuple(x.astype(np.int64) for x in unpack(b.as_py())) for b in found.column("bag")], found.column("label").to_pylist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model of the labels, from at most rows labelled rows of at most chars characters each."""
-    return train(*training_sample(docs, labels, label_col, id_col, text_col, rows, chars))
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
+    """A model of the labels, from at most rows labelled rows. A null text is an empty one."""
+    return train(*training_sample(docs, labels, label_col, id_col, text_col, rows))
 
 
 def score(docs: DataFrame, model: Model, label: int = 1, text_col: str = "text", score_col: str = "score") -> DataFrame:

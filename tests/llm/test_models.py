@@ -42,7 +42,8 @@ def test_held_out_labels_do_not_reach_the_model(spark):
 @pytest.fixture(scope="module")
 def model():
     texts = [prose(i, 30) for i in range(40)] + [f"spam {prose(i, 5)} buy now buy now" for i in range(40)]
-    return quality.train(texts, [1] * 40 + [0] * 40)
+    features = quality.Features()
+    return quality.train([quality.bag_of(features, t) for t in texts], [1] * 40 + [0] * 40)
 
 
 def test_scores_of_edge_cases(spark, model):
@@ -65,14 +66,71 @@ def test_whole_text_counts(model):
     assert a > b
 
 
-def test_pieces_do_not_change_the_features(monkeypatch):
-    text = prose(9, 3000)
-    whole = np.sort(quality.Features().bag(text))
-    monkeypatch.setattr(quality, "PIECE", 500)
-    cut = np.sort(quality.Features().bag(text))
-    counts = Counter(whole.tolist())
-    counts.subtract(cut.tolist())
-    assert sum(map(abs, counts.values())) < 200  # only word pairs over a cut
+def slow_features(text, bits):
+    """Feature ids one by one: words, whether a word repeats the one before, and 3 to 5 characters of words with a space at either end."""
+
+    def id_of(value, kind):
+        return (value + 2 * kind + 1) * quality.MIX % 2**64 >> (64 - bits)
+
+    def polynomial(part):
+        return sum((ord(c) + 7) * pow(quality.BASE, i, 2**64) for i, c in enumerate(part)) % 2**64
+
+    words = (text or "").split()
+    out = [id_of(polynomial(w), 0) for w in words] + [id_of(int(a == b), 1) for a, b in zip(words, words[1:])]  # noqa: B905
+    for n in (3, 4, 5):
+        out += [id_of(polynomial(p[i : i + n]), n) for p in (f" {w} " for w in words) for i in range(len(p) - n + 1)]
+    return out
+
+
+@pytest.mark.parametrize("piece", [quality.PIECE, 500, 7])
+def test_features_by_brute_force(monkeypatch, piece):
+    """However a text is cut; words longer than a piece are whole."""
+    features = quality.Features(12)
+    texts = [t for _, t in EDGE] + [prose(9, 300), "a a a b b", "w" * 900 + " " + "w" * 900 + " x"]
+    want = [sorted(slow_features(t, 12)) for t in texts]
+    monkeypatch.setattr(quality, "PIECE", piece)
+    assert [sorted(features.bag(t).tolist()) for t in texts] == want
+    weights = np.random.default_rng(1).normal(size=(1 << 12, 2))
+    sums, number = features.sums(texts, weights)
+    assert number.tolist() == [len(w) for w in want]
+    assert np.allclose(sums, [weights[w].sum(0) for w in want])
+
+
+def test_training_and_scores_by_brute_force():
+    """Plain loops over documents, features and dimensions."""
+    dim, bits, epochs, rate = 3, 8, 4, 0.5
+    texts = [prose(i, 12) for i in range(10)] + [prose(i, 6) + " buy now now" for i in range(10)] + ["", None]
+    labels = [1] * 10 + [0] * 10 + [0, 1]
+    features = quality.Features(bits)
+    model = quality.train([quality.bag_of(features, t) for t in texts], labels, dim, bits, epochs, rate, seed=5)
+    rng = np.random.default_rng(5)
+    table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32).astype(float).tolist()
+    out, bias, done = [[0.0] * 2 for _ in range(dim)], [0.0, 0.0], 0
+
+    def predict(counts):
+        n = sum(counts.values()) + quality.CALM
+        hidden = [sum(k / n * table[f][d] for f, k in counts.items()) for d in range(dim)]
+        logits = [sum(hidden[d] * out[d][c] for d in range(dim)) + bias[c] for c in (0, 1)]
+        e = [math.exp(x) for x in logits]
+        return hidden, [x / sum(e) for x in e], n
+
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            counts = Counter(slow_features(texts[i], bits))
+            step = rate * (1 - done / (epochs * len(texts)))
+            done += 1
+            hidden, p, n = predict(counts)
+            p[labels[i]] -= 1
+            back = [sum(out[d][c] * p[c] for c in (0, 1)) for d in range(dim)]
+            for c in (0, 1):
+                bias[c] -= 0.1 * step * p[c]
+                for d in range(dim):
+                    out[d][c] -= step * hidden[d] * p[c]
+            for f, k in counts.items():
+                for d in range(dim):
+                    table[f][d] -= step * math.sqrt(len(counts)) * k / n * back[d]
+    want = [predict(Counter(slow_features(t, bits)))[1] for t in texts]
+    assert np.allclose(model.probabilities(features, texts), want, atol=1e-4)
 
 
 def test_models_of_no_and_of_one_class(spark):
@@ -84,11 +142,15 @@ def test_models_of_no_and_of_one_class(spark):
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, one), label=7).collect()} == {0.0}
 
 
-def test_training_sample_is_bounded(spark):
-    docs = documents(spark, [(i, "x " * i) for i in range(60)])
+def test_training_sample_is_bounded_and_fixed(spark):
+    """At most so many rows, the same whatever the order of rows, of whole texts however long; of a repeated id one row."""
+    rows = [(i, "x " * (1 + i * i)) for i in range(60)] + [(3, "other"), (3, None), (4, "more")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    texts, _ = quality.training_sample(docs, labels, "quality", "doc_id", "text", rows=20, chars=60)
-    assert 0 < len(texts) <= 20 and max(map(len, texts)) <= 60
+    got = [quality.training_sample(documents(spark, r, parts=p), labels, "quality", "doc_id", "text", rows=20) for r, p in ((rows, 3), (rows[::-1], 5))]
+    assert len(got[0][0]) == len(got[0][1]) == 20 and got[0][1] == got[1][1]
+    assert all(np.array_equal(a, b) for x, y in zip(got[0][0], got[1][0], strict=True) for a, b in zip(x, y, strict=True))
+    whole = quality.training_sample(documents(spark, rows), labels, "quality", "doc_id", "text")
+    assert len(whole[0]) == 60 and max(int(c.sum()) for _, c in whole[0]) > 3481
 
 
 END = object()
