@@ -8,8 +8,7 @@ folded into one number for each row and class, and scoring sums gathered numbers
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,30 +146,28 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def bag_of(features: Features, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature ids of a text and their counts."""
-    return np.unique(features.bag(text), return_counts=True)
+def bag_of(features: Features, text: str | None) -> bytes:
+    """Distinct feature ids of a text, as steps from each to the next, and their counts, packed."""
+    ids, counts = np.unique(features.bag(text), return_counts=True)
+    return pack(np.diff(ids, prepend=np.int32(0)), counts)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
-    """Stochastic gradient descent over shuffled documents, given by their bags; the rate falls to nothing. One class alone is certain."""
+def train(bags: Sequence[bytes], labels: list[int], dim: int = DIM, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
+    """Stochastic gradient descent over shuffled documents, given by their bags; the rate falls to nothing. One class alone is certain.
+
+    Bags stay packed but for the one in use, which bounds the driver's memory.
+    """
     classes, y = np.unique(np.asarray(labels, np.int64), return_inverse=True)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     if not len(classes):
         return Model([], np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32))
-    # one array for all texts takes the least memory, and all of it goes back at the end
-    held, times, cuts = array("i"), array("I"), [0]
-    for ids, counts in bags:
-        held.frombytes(ids.astype(np.int32).tobytes())
-        times.frombytes(counts.astype(np.uint32).tobytes())
-        cuts.append(len(held))
-    all_ids, all_counts = np.frombuffer(held, np.int32), np.frombuffer(times, np.uint32)
     steps, done = epochs * len(labels), 0
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
-            ids, counts = all_ids[cuts[i] : cuts[i + 1]], all_counts[cuts[i] : cuts[i + 1]]
+            steps_between, counts = unpack(bags[i])
+            ids = np.cumsum(steps_between, dtype=np.int64)
             step = rate * (1 - done / steps)
             done += 1
             share = (counts / (counts.sum() + CALM)).astype(np.float32)
@@ -192,11 +189,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            data = [pack(*bag_of(features, t)) for t in part.column(part.num_columns - 1).to_pylist()]
+            data = [bag_of(features, t) for t in part.column(part.num_columns - 1).to_pylist()]
             yield pa.record_batch([*part.columns[:-1], pa.array(data, pa.binary())], [*part.schema.names[:-1], "bag"])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[int]]:
     """Bags and labels of the labelled rows that come first by a hash of their id, at most so many.
 
     The labels are ranked alone, so only the chosen ids, bounded by rows, meet the documents; whole texts become bags
@@ -210,7 +207,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     kinds = ", ".join(f"{c} {t}" for c, t in own.dtypes[:-1])
     bags = own.mapInArrow(_bags, f"{kinds}, bag binary").groupBy("id").agg(F.min(F.struct("h", "label", "bag")).alias("first"))
     found = bags.orderBy("id").select("first.label", "first.bag").toArrow()
-    return [tuple(x.astype(np.int64) for x in unpack(b.as_py())) for b in found.column("bag")], found.column("label").to_pylist()
+    return found.column("bag").to_pylist(), found.column("label").to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
