@@ -15,7 +15,7 @@ that are in different groups still are then held against each other, in blocks w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -204,71 +204,79 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("t"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    prints = Saved(rows.mapInArrow(_prints(words, bands_for(similarity)), kinds + ", fp long, s array<int>, keys array<long>").withColumn("row", F.monotonically_increasing_id())).df
-    # one row of each text, by numbers that are written down; rows of a text that very many have are counted where they are
-    copies = Saved(prints.groupBy("h").agg(F.min("row").alias("row"), F.count("*").alias("n"))).df
-    texts = Saved(prints.select("h", "row", "fp", "s", "keys").join(copies.select("h", "row"), ["h", "row"]).drop("row")).df
+    prints = Saved(rows.mapInArrow(_prints(words, bands_for(similarity)), kinds + ", fp long, s array<int>, keys array<long>")).df
+    copies = Saved(prints.groupBy("h").agg(F.count("*").alias("n"))).df
 
-    def confirmed(some: DataFrame) -> DataFrame:
-        return _confirmed(some, texts.select("h", "s"), similarity)
+    def sets(asked: DataFrame) -> DataFrame:
+        """(h, s) of the texts asked for; rows of a text that very many have are not gathered before they are one a task."""
+        return join_unique(prints.select("h", "s"), copies.join(asked, "h", "left_semi"), ["h"]).groupBy("h").agg(F.first("s").alias("s"))
 
-    def grouped(sure: DataFrame) -> DataFrame:
-        return connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g"))
+    def grouped(sure: DataFrame) -> Saved:
+        return Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g")))
 
-    least = Saved(texts.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n"))).df
-    close = near_links(least.select("fp"), radius, within=neighbours(radius))
-    named = least.select("fp", "least")
+    least = Saved(prints.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n")))
+    close = near_links(least.df.select("fp"), radius, within=neighbours(radius))
+    named = least.df.select("fp", "least")
     far = close.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select("a", "b")
-    same = join_unique(texts.select("h", "fp"), least, ["fp"]).select(F.col("h").alias("a"), F.col("least").alias("b"))
-    sure = Saved(confirmed(far.unionAll(same))).df
-    parts = Saved(grouped(sure)).df
-
-    # texts that agree on a band, where these are not all of one group
-    keyed = texts.join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), F.explode("keys").alias("key"))
-    unsettled = Saved(_of_several_groups(keyed)).df
-    sure = Saved(sure.unionAll(confirmed(unsettled.filter("h != first").select(F.col("h").alias("a"), F.col("first").alias("b"))))).df
-    parts = Saved(grouped(sure)).df
-    unsettled = Saved(_of_several_groups(unsettled.select("h", "key").join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "key"))).df
-    few = unsettled.filter(F.col("of") <= FEW)
+    same = join_unique(prints.select("h", "fp"), least.df, ["fp"]).select(F.col("h").alias("a"), F.col("least").alias("b"))
+    # texts that agree on a band are first held against the least of them; equal texts are one from here on
+    alike = _of_several_groups(prints.select("h", F.col("h").alias("g"), F.explode("keys").alias("key")))
+    sure = _confirmed(far.unionAll(same).unionAll(alike.df.select(F.col("h").alias("a"), F.col("first").alias("b"))), sets, similarity).df
+    least.drop()
+    # then all pairs of those that are in different groups still
+    parts = grouped(sure)
+    left = _of_several_groups(alike.df.select("h", "key").join(parts.df, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "key"))
+    for done in (parts, alike):
+        done.drop()
+    few = left.df.filter(F.col("of") <= FEW)
     two = few.select("key", F.col("h").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb")), "key").filter("a > b and ga != gb")
-    sure = sure.unionAll(confirmed(two.select("a", "b"))).unionAll(_in_blocks(unsettled.filter(F.col("of") > FEW), texts.select("h", "s"), similarity))
+    sure = sure.unionAll(_confirmed(two.select("a", "b"), sets, similarity).df).unionAll(_in_blocks(left.df.filter(F.col("of") > FEW), sets, similarity))
     parts = grouped(sure)
-    named = copies.join(parts, "h", "left").select("h", F.coalesce("g", "h").alias("group"), "n")
-    return join_unique(prints.select("id", "h"), Saved(named).df, ["h"]).select(F.col("id").alias(id_col), "h", "group")
+    named = Saved(copies.join(parts.df, "h", "left").select("h", F.coalesce("g", "h").alias("group"), "n"))
+    for done in (parts, left):
+        done.drop()
+    return join_unique(prints.select("id", "h"), named.df, ["h"]).select(F.col("id").alias(id_col), "h", "group")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> Saved:
     """The different pairs (a, b) of texts whose shingles are so similar. Sets that very many pairs ask for are kept in several copies."""
-    pairs = Saved(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).df
-    asked = Saved(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n"))).df
-    total = asked.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(asked.filter(F.col("n") * HOT > total).select("h", F.lit(COPIES).alias("copies"))) if total > HOT * FEW else asked.filter("false").select("h", F.lit(COPIES).alias("copies"))
-    kept = Saved(sets.join(asked.select("h"), "h", "left_semi").join(hot, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "s")).df
+    asking = Saved(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = asking.df
+    asked = Saved(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n")))
+    total = asked.df.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(asked.df.filter(F.col("n") * HOT > total).select("h", F.lit(COPIES).alias("copies"))) if total > HOT * FEW else asked.df.filter("false").select("h", F.lit(COPIES).alias("copies"))
+    kept = Saved(sets(asked.df.select("h")).join(hot, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "s"))
 
     def meets(side: str, other: str, out: str, held: DataFrame) -> DataFrame:
         copy = F.coalesce(F.pmod(F.xxhash64(other), F.col("copies").cast("long")), F.lit(0)).cast("int").alias("copy")
         dealt = held.join(hot.withColumnRenamed("h", side), side, "left").select(*held.columns, copy)
-        return dealt.join(kept.select(F.col("h").alias(side), "copy", F.col("s").alias(out)), [side, "copy"]).drop("copy")
+        return dealt.join(kept.df.select(F.col("h").alias(side), "copy", F.col("s").alias(out)), [side, "copy"]).drop("copy")
 
     held = meets("b", "a", "sb", meets("a", "b", "sa", pairs))
     common = F.size(F.array_intersect("sa", "sb"))
-    return held.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    found = Saved(held.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    for done in (asking, asked, kept):
+        done.drop()
+    return found
 
 
-def _of_several_groups(keyed: DataFrame) -> DataFrame:
-    """Of (h, g, key), the rows of keys that texts of more than one group have, with the least text and the number of texts."""
+def _of_several_groups(keyed: DataFrame) -> Saved:
+    """Of (h, g, key), the different rows of keys that texts of more than one group have, with the least text and about the number of texts."""
     entries = keyed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("h").alias("first"), F.count("*").alias("n")).filter("lo != hi")
-    return join_unique(keyed, Saved(entries.select("key", "first", "n", F.col("n").alias("of"))).df, ["key"])
+    kept = Saved(entries.select("key", "first", "n", F.col("n").alias("of")))
+    found = Saved(join_unique(keyed, kept.df, ["key"]).distinct())
+    kept.drop()
+    return found
 
 
-def _in_blocks(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _in_blocks(many: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(a, b) of groups that a pair of texts joins, among all pairs of an entry's texts in different groups.
 
     An entry's texts are dealt over blocks by a hash; a group that is larger than a block has blocks of its own, which
     are not compared with each other.
     """
-    sized = Saved(many.join(sets.select("h", F.size("s").alias("size")), "h").select("key", "h", "g", "size")).df
-
+    own_sets = Saved(sets(many.select("h").distinct()))
+    sized = Saved(many.join(own_sets.df.select("h", F.size("s").alias("size")), "h").select("key", "h", "g", "size")).df
     n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_SHINGLES))
     own = Saved(sized.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("size").alias("size")).withColumn("blocks", n_blocks)).df
     large = own.filter("blocks > 1").select("key", "g", "blocks", "n")
@@ -281,8 +289,10 @@ def _in_blocks(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     other = ends.select("key", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = ends.join(other, "key").filter("block <= other and (lo != hi or lo2 != hi2 or lo != lo2)").select("key", "block", "other")
     sides = meet.select("key", "block", "other", F.lit(True).alias("left"), F.col("block").alias("at")).unionAll(meet.filter("block != other").select("key", "block", "other", F.lit(False).alias("left"), F.col("other").alias("at")))
-    placed = sides.join(dealt.withColumnRenamed("block", "at"), ["key", "at"]).join(sets, "h").select("key", "block", "other", "left", "g", "s")
-    return placed.groupBy("key", "block", "other").applyInArrow(_across(similarity), "a long, b long")
+    placed = sides.join(dealt.withColumnRenamed("block", "at"), ["key", "at"]).join(own_sets.df, "h").select("key", "block", "other", "left", "g", "s")
+    found = Saved(placed.groupBy("key", "block", "other").applyInArrow(_across(similarity), "a long, b long")).df
+    own_sets.drop()
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
