@@ -49,19 +49,16 @@ class Words(dict):
     """64-bit hash of a word; forgets all when it holds many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-_WORDS = Words()
-
-
-def hashes(text: str | None) -> np.ndarray:
+def hashes(text: str | None, known: Words) -> np.ndarray:
     """Of the lower-case words of a text, in order."""
     own = (text or "").lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
+    return np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
 
 
 def word_fingerprint(words: np.ndarray) -> int:
@@ -87,10 +84,11 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
 def _prints(words: int, bands: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In place of the text: its fingerprint, its shingles and the keys of its bands."""
+        known = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = [hashes(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                own = [hashes(t, known) for t in part.column(part.num_columns - 1).to_pylist()]
                 fps, sets = np.array([word_fingerprint(x) for x in own], np.int64), [shingles(x, words) for x in own]
                 keys = pa.ListArray.from_arrays(np.arange(0, bands * len(own) + 1, bands, dtype=np.int32), band_keys(sets, bands).ravel())
                 yield pa.record_batch([*part.columns[:-1], pa.array(fps), pa.array(sets, pa.list_(pa.int32())), keys], [*part.schema.names[:-1], "fp", "s", "keys"])
@@ -111,7 +109,7 @@ def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
     out, at = [], 0
     while at < len(sets):
         end, size = at + 1, len(sets[at])
-        while end < len(sets) and size + len(sets[end]) <= 65536:
+        while end < len(sets) and size + len(sets[end]) <= 32768:
             size += len(sets[end])
             end += 1
         x, sizes = np.concatenate(sets[at:end]).view(np.uint32), np.array([len(s) for s in sets[at:end]])

@@ -30,7 +30,7 @@ CALM = 16
 #: Odd multipliers of a 64-bit multiplicative hash and a prime base for polynomial hashes.
 MIX, BASE = 0x9E3779B97F4A7C15, 0x100000001B3
 #: A text is scored in pieces of so many code points, or of one longer word.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +228,8 @@ def score(docs: DataFrame, model: Model, label: int = 1, text_col: str = "text",
     def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, features = sent.value, Features()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 if not model.classes:
                     found = np.full(part.num_rows, 0.5)
                 elif label not in model.classes:
