@@ -9,7 +9,7 @@ from millrace.functions import lexicon as L
 from millrace.functions.text import END, START, token_pattern
 
 YEARS = r"(?:years?|yrs?)(?![a-zA-Z])"
-#: Patterns by rule: the first group is the least number of years, the second the most.
+#: Fixed values, patterns by rule: the first group is the least number of years, the second the most.
 EXPERIENCE_RULES = [
     rf"(?i)(?<!\d)(\d{{1,2}})\s*[-–—]\s*(\d{{1,2}})\s*{YEARS}",
     rf"(?i)(?<!\d)(\d{{1,2}})\s+to\s+(\d{{1,2}})\s*{YEARS}",
@@ -24,7 +24,8 @@ def _mentions(text: Column, names: str) -> Column:
 
 
 def arrangement(location: Column, tags: Column, remote: Column) -> Column:
-    """hybrid, onsite, remote or unknown: from the place, else the tags, else the flag."""
+    """hybrid, onsite, remote or unknown: from the place, else the tags, else the flag. The patterns are fixed values."""
+
     def stated(text: Column) -> Column:
         return (
             F.when(_mentions(text, "hybrid"), "hybrid").when(_mentions(text, r"on[\s-]?site|onsite|in[\s-]?office|in\s+person"), "onsite")
@@ -89,7 +90,7 @@ def skills(text: Column, taxonomy: list[tuple[str, float, list[str]]] = L.SKILLS
     """array of struct(name, weight) mentioned in lower-case text; three mentions or more add 1, up to 5."""
     found = []
     for name, weight, names in taxonomy:
-        hits = sum((F.regexp_count(text, F.lit(token_pattern(t))) for t in [name, *names]), F.lit(0))
+        hits = sum((F.when(text.contains(t.lower()), F.regexp_count(text, F.lit(token_pattern(t)))).otherwise(0) for t in [name, *names]), F.lit(0))
         found.append(F.when(hits > 0, F.struct(F.lit(name).alias("name"), F.when(hits >= 3, F.lit(min(weight + 1, 5.0))).otherwise(F.lit(weight)).alias("weight"))))
     return F.filter(F.array(*found), lambda s: s.isNotNull())
 

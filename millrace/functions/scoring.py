@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon as L
-from millrace.functions.text import contains_adjacent, contains_in_order, haystack, title_clauses, token_pattern
+from millrace.functions.text import contains_adjacent, contains_in_order, haystack, let, names_any, title_clauses
 
 #: Parts of a score.
 FULL_CREDIT, ROLE_BONUS, INTERN_PENALTY = 0.35, 8, 15
@@ -108,8 +108,10 @@ def fit(row: dict[str, Column], years: float | None, accepted: list[str]) -> tup
 
 def matched_skills(text: Column, skills: list[tuple[str, float, list[str]]]) -> Column:
     """array of struct(name, weight) of the skills that lower-case text names as whole tokens, in the profile's order."""
-    hits = [F.when(text.rlike("|".join(token_pattern(t) for t in [name, *names])), F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"))) for name, weight, names in skills]
-    return F.array_compact(F.array(*hits))
+    def hits(t: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(names_any(t, [name, *names]), F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"))) for name, weight, names in skills]))
+
+    return let(text, hits)
 
 
 def score_job(row: dict[str, Column], profile: Profile, now: datetime) -> Column:
@@ -118,29 +120,37 @@ def score_job(row: dict[str, Column], profile: Profile, now: datetime) -> Column
     row has title, company, description, tags, sparse and what fit() needs. A vetoed title scores 0 with the veto first.
     """
     text = haystack(row["title"], row["company"], row["description"], F.array_join(row["tags"], " \n "))
-    hits = [(text.rlike("|".join(token_pattern(t) for t in [name, *names])), name, weight) for name, weight, names in profile.skills]
-    raw = sum((F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0)) for test, _, weight in hits), F.lit(0.0))
-    vetoed = veto(row["title"], profile.veto_phrases)
-    is_role = vetoed.isNull() & role_match(row["title"], profile.target_roles)
     intern = F.coalesce(F.lower(row["title"]).rlike("(?<![a-z0-9_])(?:intern|internship)(?![a-z0-9_])"), F.lit(False))
-    raw = raw + F.when(is_role, ROLE_BONUS).otherwise(0) - F.when(intern, INTERN_PENALTY).otherwise(0)
     full = max(sum(w for _, w, _ in profile.skills) * FULL_CREDIT, 1.0)
-    normal = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(raw / F.lit(full) * 100 + 0.5).cast("double")))
     delta, fit_reasons = fit(row, profile.years(now), profile.accepted)
     sparse = F.when(F.coalesce(row["sparse"], F.lit(False)), "scored on title only - no job description could be recovered for this job")
-    own = [F.when(test, f"matches skill: {name}") for test, name, _ in hits]
-    own += [F.when(is_role, "title matches a targeted role"), F.when(intern, "looks like an internship - deprioritized")]
-    veto_reason = F.concat(F.lit('title is a non-engineering role ("'), vetoed, F.lit('") - excluded regardless of the skills below'))
-    reasons = F.array_compact(F.array(veto_reason, sparse, *own))
-    score = F.when(vetoed.isNotNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), (normal + delta).cast("int"))))
-    return F.struct(score.cast("int").alias("score"), F.when(vetoed.isNotNull(), reasons).otherwise(F.concat(reasons, fit_reasons)).alias("reasons"))
+
+    def judged(seen: Column) -> Column:
+        """seen: a flag for each skill, the phrase that vetoes the title, whether the title is a role sought and an internship."""
+        tests, vetoed, is_role, intern = [F.get(seen["skills"], F.lit(i)) for i in range(len(profile.skills))], seen["vetoed"], seen["is_role"], seen["intern"]
+        raw = sum((F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0)) for test, (_, weight, _) in zip(tests, profile.skills, strict=True)), F.lit(0.0))
+        raw = raw + F.when(is_role, ROLE_BONUS).otherwise(0) - F.when(intern, INTERN_PENALTY).otherwise(0)
+        normal = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(raw / F.lit(full) * 100 + 0.5).cast("double")))
+        own = [F.when(test, f"matches skill: {name}") for test, (name, _, _) in zip(tests, profile.skills, strict=True)]
+        own += [F.when(is_role, "title matches a targeted role"), F.when(intern, "looks like an internship - deprioritized")]
+        veto_reason = F.concat(F.lit('title is a non-engineering role ("'), vetoed, F.lit('") - excluded regardless of the skills below'))
+        reasons = F.array_compact(F.array(veto_reason, sparse, *own))
+        score = F.when(vetoed.isNotNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), (normal + delta).cast("int"))))
+        return F.struct(score.cast("int").alias("score"), F.when(vetoed.isNotNull(), reasons).otherwise(F.concat(reasons, fit_reasons)).alias("reasons"))
+
+    flags = let(text, lambda t: F.array(*[names_any(t, [name, *names]) for name, _, names in profile.skills]))
+    role = let(veto(row["title"], profile.veto_phrases), lambda v: F.struct(v.alias("vetoed"), (v.isNull() & role_match(row["title"], profile.target_roles)).alias("is_role")))
+    return let(let(role, lambda r: F.struct(flags.alias("skills"), r["vetoed"].alias("vetoed"), r["is_role"].alias("is_role"), intern.alias("intern"))), judged)
 
 
 def score_lead(title: Column, client: Column, description: Column, budget: Column) -> Column:
     """struct(score, reasons) of a lead: points for each keyword inside the text and for a budget."""
-    text = haystack(title, client, description)
-    points = sum((F.when(text.contains(k), KEYWORD_POINTS).otherwise(0) for k in L.CONTRACT_KEYWORDS), F.lit(0))
     has_budget = F.coalesce(budget != "", F.lit(False))
-    reasons = [F.when(text.contains(k), f"matches: {k}") for k in L.CONTRACT_KEYWORDS] + [F.when(has_budget, F.concat(F.lit("budget listed: "), budget))]
-    total = F.least(F.lit(100), points + F.when(has_budget, BUDGET_POINTS).otherwise(0))
-    return F.struct(total.cast("int").alias("score"), F.array_compact(F.array(*reasons)).alias("reasons"))
+    found = let(haystack(title, client, description), lambda text: F.array_compact(F.array(*[F.when(text.contains(k), f"matches: {k}") for k in L.CONTRACT_KEYWORDS])))
+
+    def judged(reasons: Column) -> Column:
+        total = F.least(F.lit(100), F.size(reasons) * KEYWORD_POINTS + F.when(has_budget, BUDGET_POINTS).otherwise(0))
+        budget_reason = F.array_compact(F.array(F.when(has_budget, F.concat(F.lit("budget listed: "), budget))))
+        return F.struct(total.cast("int").alias("score"), F.concat(reasons, budget_reason).alias("reasons"))
+
+    return let(found, judged)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ def _decompositions() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _decompositions()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; null is empty."""
     out = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN), "[\\u0300-\\u036f]", "")
@@ -68,26 +75,32 @@ def _decorative(tokens: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """The role in a title, without places, contract forms, gender tags and other decoration."""
-    text = fold(title)
     bracket = r"[(\[{]([^)\]}]*)[)\]}]"
-    groups = F.regexp_extract_all(text, F.lit(bracket), F.lit(1))
+    edge = "|".join(L.EDGE_TOKENS)
 
     def kept(inner: Column) -> Column:
-        tokens = _tokens(squeezed(inner))
-        return F.when(inner.isNull(), "").when((F.size(tokens) > 0) & ~_decorative(tokens), F.concat(F.lit(" "), inner, F.lit(" "))).otherwise(" ")
+        useful = let(_tokens(squeezed(inner)), lambda tokens: (F.size(tokens) > 0) & ~_decorative(tokens))
+        return F.when(inner.isNull(), "").when(useful, F.concat(F.lit(" "), inner, F.lit(" "))).otherwise(" ")
+
+    def outside(text: Column) -> Column:
+        groups = F.regexp_extract_all(text, F.lit(bracket), F.lit(1))
+        return F.array_join(F.zip_with(F.split(text, bracket, -1), groups, lambda part, inner: F.concat(part, kept(inner))), "")
 
-    text = F.array_join(F.zip_with(F.split(text, bracket, -1), groups, lambda part, inner: F.concat(part, kept(inner))), "")
-    text = F.regexp_replace(text, rf"{START}[mwfdhvx](?:\s*[/\-–]\s*[mwfdhvx])+{END}", " ")
+    def chosen(segments: Column) -> Column:
+        good = F.filter(segments, lambda s: (F.size(s) > 0) & ~_decorative(s))
+        longest = F.aggregate(segments, F.array().cast("array<string>"), lambda best, s: F.when(F.size(s) > F.size(best), s).otherwise(best))
+        return let(good, lambda g: F.when(F.size(g) > 0, F.flatten(g)).otherwise(longest))
+
+    def bare(words: Column) -> Column:
+        stripped = F.regexp_replace(F.regexp_replace(words, f"^(?:(?:{edge}) )+(?=.)", ""), f"(?: (?:{edge}))+$", "")
+        return F.when(_decorative(_tokens(words)), words).otherwise(stripped)
+
+    text = F.regexp_replace(let(fold(title), outside), rf"{START}[mwfdhvx](?:\s*[/\-–]\s*[mwfdhvx])+{END}", " ")
     segments = F.transform(F.split(text, r"\s[-–—]\s|[|,:;•·]", -1), lambda s: _tokens(squeezed(s)))
-    good = F.filter(segments, lambda s: (F.size(s) > 0) & ~_decorative(s))
-    longest = F.aggregate(segments, F.array().cast("array<string>"), lambda best, s: F.when(F.size(s) > F.size(best), s).otherwise(best))
-    words = F.concat(F.lit(" "), F.array_join(F.when(F.size(good) > 0, F.flatten(good)).otherwise(longest), " "), F.lit(" "))
+    words = F.concat(F.lit(" "), F.array_join(let(segments, chosen), " "), F.lit(" "))
     for phrase, word in L.PHRASE_RULES:
         words = F.regexp_replace(words, f"(?<![a-z0-9]){phrase}(?![a-z0-9])", word)
-    words = F.trim(words)
-    edge = "|".join(L.EDGE_TOKENS)
-    stripped = F.regexp_replace(F.regexp_replace(words, f"^(?:(?:{edge}) )+(?=.)", ""), f"(?: (?:{edge}))+$", "")
-    return F.when(_decorative(_tokens(words)), words).otherwise(stripped)
+    return let(F.trim(words), bare)
 
 
 def _mapping(table: dict[str, str]) -> Column:
@@ -99,29 +112,32 @@ def location_bucket(location: Column, remote: Column, tables: tuple[dict[str, st
 
     tables: names and their codes; a hit in an earlier table counts before one in a later table.
     """
-    folded = F.regexp_replace(F.replace(fold(location), F.lit("."), F.lit("")), r"[^a-z0-9,/|;()\-–\s]+", " ")
-    flat = F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
-    parts = F.transform(F.split(folded, r"[,/|;()]|\s[-–]\s", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    segments = F.filter(parts, lambda s: s != "")
-
     def keys(segment: Column) -> Column:
-        tokens = _tokens(segment)
-        plain = F.filter(tokens, lambda t: ~t.isin(L.LOCATION_NOISE))
-        joined = F.when((F.size(plain) > 0) & (F.size(plain) != F.size(tokens)), F.array(F.array_join(plain, " "))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(segment), joined, F.filter(plain, lambda t: F.length(t) > 2))
+        def of(tokens: Column) -> Column:
+            def with_plain(plain: Column) -> Column:
+                joined = F.when((F.size(plain) > 0) & (F.size(plain) != F.size(tokens)), F.array(F.array_join(plain, " "))).otherwise(F.array().cast("array<string>"))
+                return F.concat(F.array(segment), joined, F.filter(plain, lambda t: F.length(t) > 2))
+
+            return let(F.filter(tokens, lambda t: ~t.isin(L.LOCATION_NOISE)), with_plain)
 
-    every = F.flatten(F.transform(segments, keys))
+        return let(_tokens(segment), of)
 
-    def first_hit(table: dict[str, str]) -> Column:
-        codes = F.transform(every, lambda k: F.try_element_at(_mapping(table), k))
-        return F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0))
+    def first_hit(every: Column, table: dict[str, str]) -> Column:
+        return F.get(F.filter(F.transform(every, lambda k: F.try_element_at(_mapping(table), k)), lambda c: c.isNotNull()), F.lit(0))
 
-    hits = [first_hit(t) for t in tables]
-    known = F.coalesce(*hits, F.try_element_at(segments, F.lit(-1)), F.lit("unknown"))
-    return (
-        F.when(F.coalesce(remote, F.lit(True)), "remote").when(flat == "", "unknown")
-        .when(flat.rlike(rf"{START}(?:{'|'.join(L.REMOTE_HINTS)}){END}"), "remote").when(flat.isin(L.MEANINGLESS_LOCATIONS), "unknown").otherwise(known)
-    )
+    def known(segments: Column) -> Column:
+        hit = let(F.flatten(F.transform(segments, keys)), lambda every: F.coalesce(*[first_hit(every, t) for t in tables]))
+        return F.coalesce(hit, F.try_element_at(segments, F.lit(-1)), F.lit("unknown"))
+
+    def bucket(folded: Column) -> Column:
+        parts = F.transform(F.split(folded, r"[,/|;()]|\s[-–]\s", -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+        place = let(F.filter(parts, lambda s: s != ""), known)
+        return let(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " ")), lambda flat: (
+            F.when(flat == "", "unknown").when(flat.rlike(rf"{START}(?:{'|'.join(L.REMOTE_HINTS)}){END}"), "remote").when(flat.isin(L.MEANINGLESS_LOCATIONS), "unknown").otherwise(place)
+        ))
+
+    folded = F.regexp_replace(F.replace(fold(location), F.lit("."), F.lit("")), r"[^a-z0-9,/|;()\-–\s]+", " ")
+    return F.when(F.coalesce(remote, F.lit(True)), "remote").otherwise(let(folded, bucket))
 
 
 def _or(text: Column, other: str) -> Column:
@@ -129,8 +145,8 @@ def _or(text: Column, other: str) -> Column:
 
 
 def fingerprint_job(title: Column, company: Column, location: Column, remote: Column) -> Column:
-    name = normalize_company(company)
-    return F.concat_ws("|", F.when(is_placeholder_company(name), "anon").otherwise(name), _or(normalize_title(title), "untitled"), location_bucket(location, remote))
+    name = let(normalize_company(company), lambda n: F.when(is_placeholder_company(n), "anon").otherwise(n))
+    return F.concat_ws("|", name, let(normalize_title(title), lambda t: _or(t, "untitled")), location_bucket(location, remote))
 
 
 def fingerprint_lead(title: Column, client: Column) -> Column:
@@ -167,6 +183,12 @@ def token_pattern(token: str) -> str:
     return left + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", token) + right
 
 
+def names_any(text: Column, tokens: list[str]) -> Column:
+    """Whether lower-case text has one of the words; a text without their letters is not searched for patterns."""
+    plain = [text.contains(t.lower()) for t in tokens]
+    return reduce(lambda a, b: a | b, plain) & text.rlike("|".join(token_pattern(t) for t in tokens))
+
+
 def haystack(*parts: Column) -> Column:
     """The parts that are not empty, in lower case, between line breaks."""
     return F.lower(F.concat_ws(" \n ", *[F.nullif(p, F.lit("")) for p in parts]))
