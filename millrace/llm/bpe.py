@@ -95,11 +95,13 @@ def _split_chunk(path: str) -> Callable:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, find = encoder_of(path), regex.compile(PATTERN).findall
         for batch in batches:
-            sizes, counts, ids = [], [], []
-            for text in batch.column(4).to_pylist():
-                for column, found in zip((sizes, counts, ids), encoder.counted(find(text)), strict=True):
-                    column.append(found)
-            yield pa.record_batch([*batch.columns, _lists(sizes), _lists(counts), _lists(ids)], [*batch.schema.names, "sizes", "counts", "ids"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sizes, counts, ids = [], [], []
+                for text in part.column(4).to_pylist():
+                    for column, found in zip((sizes, counts, ids), encoder.counted(find(text)), strict=True):
+                        column.append(found)
+                yield pa.record_batch([*part.columns, _lists(sizes), _lists(counts), _lists(ids)], [*part.schema.names, "sizes", "counts", "ids"])
 
     return split
 
@@ -152,7 +154,11 @@ def _stitch(path: str) -> Callable:
         def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return encoder_of(path).counted(regex.findall(PATTERN, text))
 
-        chunks = sorted(table.select(["start", "last", "text", "sizes", "counts", "ids"]).to_pylist(), key=lambda c: c["start"])
+        chunks = sorted(table.select(["start", "last", "text"]).to_pylist(), key=lambda c: c["start"])
+        order = np.argsort(table.column("start").to_numpy(), kind="stable").tolist()
+        for name in ("sizes", "counts", "ids"):  # as arrays, not as lists of numbers
+            for c, i in zip(chunks, order, strict=True):
+                c[name] = table.column(name)[i].values.to_numpy()
         return pa.table({"id": table.column("id").slice(0, 1), "ids": _lists([stitch_chunks(chunks, split)])})
 
     return stitch
