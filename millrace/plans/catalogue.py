@@ -5,6 +5,7 @@ Where an operator normalises text, the rows are built from known forms and the S
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -578,11 +579,42 @@ def inbound_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select("event_id", F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-@query(None)
+RESUME_LINES = ["Worked as a full-stack engineer since Mar 2014 with React, React and React.", "Python, Kubernetes; from Sept. 1979 and Jan 2001 on.", "Backend engineer, sales.", ""]
+
+
+def _token_sql(token: str) -> str:
+    """A word with an optional plural and the characters beside it, in lower-case text."""
+    token = token.lower()
+    plain = re.sub(r"([.*+?^${}()|\[\]\\])", r"[\1]", token)
+    return ("(?:^|[^a-z0-9])" if re.match("[a-z0-9]", token) else "") + plain + ("s?(?:[^a-z0-9]|$)" if re.search("[a-z0-9]$", token) else "")
+
+
+def _count_sql(names: list[str]) -> str:
+    return " + ".join(f"len(regexp_extract_all(body, {A.quoted(_token_sql(n))}))" for n in names)
+
+
+def _role_sql(role: str) -> str:
+    """The role's words in order, at most 20 characters apart, of which the outermost are no letters."""
+    words = [re.sub(r"([.*+?^${}()|\[\]\\])", r"[\1]", w) + "s?" for w in role.split()]
+    return "(?:^|[^a-z0-9])" + r"(?:[\s_.,/-](?:[\s\w.,/-]{0,18}[\s_.,/-])?)".join(words) + "(?:[^a-z0-9]|$)"
+
+
+_ROLES = [r for r in lexicon.ROLE_VOCABULARY if not any(v in r for v in lexicon.VETO_PHRASES)]
+_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{4})\b"
+_COUNTS = ", ".join(f"{_count_sql([name, *names])} AS n{i}" for i, (name, _, names) in enumerate(lexicon.SKILLS))
+_NAMED = ", ".join(f"CASE WHEN n{i} >= 3 THEN {A.quoted(f'{name}:{min(w + 1, 5.0)}')} WHEN n{i} > 0 THEN {A.quoted(f'{name}:{w}')} END" for i, (name, w, _) in enumerate(lexicon.SKILLS))
+
+
+@query(f"""WITH told AS (SELECT doc_id, {A.pick_sql("doc_id", RESUME_LINES)} || chr(10) || coalesce(text, '') AS whole, lower(whole) AS body FROM documents),
+    counted AS (SELECT doc_id, body, regexp_extract_all(whole, '{_MONTH}', 1) AS months, regexp_extract_all(whole, '{_MONTH}', 2) AS years, {_COUNTS} FROM told),
+    days AS (SELECT doc_id, min(make_date(CAST(y AS INTEGER), CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(m)) + 2) // 3 AS INTEGER), 1)) AS first
+        FROM (SELECT doc_id, unnest(months) AS m, unnest(years) AS y FROM counted) WHERE CAST(y AS INTEGER) BETWEEN 1980 AND {A.NOW.year} GROUP BY doc_id)
+    SELECT c.doc_id, coalesce(concat_ws(',', {_NAMED}), '') AS skills,
+        coalesce(concat_ws(',', {", ".join(f"CASE WHEN regexp_matches(body, {A.quoted(_role_sql(r))}) THEN {A.quoted(r)} END" for r in _ROLES)}), '') AS roles, CAST(first AS VARCHAR) AS career_start
+    FROM counted c LEFT JOIN days d ON d.doc_id = c.doc_id""")
 def profile_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills, roles and career start that texts state; documents are given a line of a résumé."""
-    lines = ["Worked as a full-stack engineer since Mar 2014 with React, React and React.", "Python, Kubernetes; from Sept. 1979 and Jan 2001 on.", "Backend engineer, sales.", ""]
-    body = F.concat(A.pick(F.col("doc_id"), lines), F.lit("\n"), F.coalesce("text", F.lit("")))
+    body = F.concat(A.pick(F.col("doc_id"), RESUME_LINES), F.lit("\n"), F.coalesce("text", F.lit("")))
     found = facts.skills(F.lower(body))
     return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["name"], s["weight"].cast("string"))), ",").alias("skills"), F.array_join(facts.target_roles(F.lower(body)), ",").alias("roles"), facts.career_start(body, F.lit(A.NOW)).cast("string").alias("career_start"))
 

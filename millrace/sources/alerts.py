@@ -201,14 +201,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["payload", "message_id", "sender", "subject", "at", "html", "headers"])
 
 
-def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    """(payload, message_id, sender, subject, date, html, headers) of every message file below a folder; files that are no messages are left out."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = files.mapInArrow(_read, "payload string, message_id string, sender string, subject string, at double, html string, headers map<string,string>")
+def parse_mail(files: DataFrame) -> DataFrame:
+    """(payload, message_id, sender, subject, date, html, headers) of rows (path, content); those that are no messages are left out."""
+    ship(files.sparkSession)
+    rows = files.select("path", "content").mapInArrow(_read, "payload string, message_id string, sender string, subject string, at double, html string, headers map<string,string>")
     return rows.withColumn("date", F.timestamp_seconds("at")).drop("at")
 
 
+def read_mail(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of every file below a folder."""
+    return parse_mail(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
 def alert_postings(mail: DataFrame, source: AlertSource, now: datetime) -> DataFrame:
     """Postings of the messages of one sender in its window, the first of each id; a message that can't be parsed is left out."""
     ship(mail.sparkSession)

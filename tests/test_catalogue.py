@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import assert_same, connect
 
-from millrace.plans.catalogue import QUERIES, SQL
+from millrace.plans import catalogue, intake
 
+QUERIES, SQL = catalogue.QUERIES | intake.QUERIES, catalogue.SQL | intake.SQL
 SF = "/root/testdata/sf0.001"
 
 
