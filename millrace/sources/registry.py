@@ -48,10 +48,12 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def read_sources(spark: SparkSession, sources: list[Source], settings: dict, payloads: Callable[[str], DataFrame], readers: dict[str, Callable[[], DataFrame]] | None = None) -> Reading:
+def read_sources(spark: SparkSession, sources: list[Source], settings: dict, payloads: Callable[[str], DataFrame], readers: dict[str, Callable[[], DataFrame]] | None = None, folder: str | None = None) -> Reading:
     """Every source that is on, in the catalogue's order. A source that fails is an error of its own and stops no other.
 
-    payloads gives the payloads of a source by name; readers gives the rows of sources that are not feeds.
+    payloads gives the payloads of a source by name; readers gives the rows of sources that are not feeds. With a
+    folder, each source is written below it, replacing what is there, and read again, so a failure while its rows are
+    made is its own error too; without one, rows are made when they are used, and such a failure stops the whole union.
     """
     parts, out, readers = [], Reading(None), readers or {}
     schema = feeds.LEAD if sources and sources[0].kind == "lead" else feeds.POSTING
@@ -63,7 +65,11 @@ def read_sources(spark: SparkSession, sources: list[Source], settings: dict, pay
             out.skipped[s.name] = f"set {' and '.join(missing)}"
         else:
             try:
-                parts.append(readers[s.name]() if s.read is None else s.read(payloads(s.name)))
+                rows = readers[s.name]() if s.read is None else s.read(payloads(s.name))
+                if folder is not None:
+                    rows.write.mode("overwrite").parquet(f"{folder}/{s.name}")
+                    rows = spark.read.schema(rows.schema).parquet(f"{folder}/{s.name}")
+                parts.append(rows)
             except Exception as e:  # noqa: BLE001
                 out.errors[s.name] = f"{s.name}: {e}"
     empty = spark.createDataFrame([], "payload string, pos int, " + ", ".join(f"{c} {t}" for c, t in schema.items()))

@@ -163,6 +163,17 @@ def test_catalogue_isolates_failures(spark):
     assert set(leads.retired) == {"upwork_rss"} and leads.rows.count() == 0
 
 
+def test_a_source_that_fails_while_it_runs_stops_no_other(spark, tmp_path):
+    def payload_of(name):
+        rows = payloads(spark, {"data": [{"slug": "a", "title": "A", "remote": True}]} if name == "arbeitnow" else {"jobs": [{"id": 1, "title": "T"}]})
+        return rows.withColumn("body", F.raise_error(F.lit("torn payload")).cast("string")) if name == "remotive" else rows
+
+    found = registry.read_sources(spark, registry.JOB_SOURCES, {}, payload_of, folder=str(tmp_path / "sources"))
+    assert "torn payload" in found.errors["remotive"] and "arbeitnow" not in found.errors
+    assert [r["source_id"] for r in found.rows.filter("source = 'arbeitnow'").collect()] == ["a"] and found.rows.filter("source = 'remotive'").count() == 0
+    assert [r["source_id"] for r in registry.read_sources(spark, registry.JOB_SOURCES, {}, payload_of, folder=str(tmp_path / "sources")).rows.collect()] == ["a"]
+
+
 def test_payload_folder(spark, tmp_path):
     (tmp_path / "gb.json").write_text(json.dumps({"results": [{"id": 1, "title": "Remote", "redirect_url": "r"}]}))
     rows = feeds.adzuna(feeds.read_payloads(spark, str(tmp_path)))
