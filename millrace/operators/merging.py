@@ -120,10 +120,11 @@ def assign_ids(rows: DataFrame, keys: list[str], start: int, id_col: str = "id")
     return dealt.withColumn("__p", place).join(offsets, "__b").withColumn(id_col, F.lit(start) + F.col("__before") + F.col("__p") - 1).drop("__b", "__p", "__before")
 
 
-def apply_reconciled(stored: DataFrame, batch: DataFrame, found: DataFrame, next_id: int) -> DataFrame:
+def apply_reconciled(stored: DataFrame, batch: DataFrame, found: DataFrame, next_id: int, known: DataFrame | None = None) -> DataFrame:
     """The stored rows after what reconcile() found for a batch; inserted rows get ids from next_id on.
 
-    A candidate whose source and source_id are stored already, under another fingerprint, is not inserted.
+    A candidate whose source and source_id are stored already, under another fingerprint, is not inserted. known has
+    these two of the whole table where stored is only a part of it.
     """
     changed = ["description", "apply_email", "sources", "description_source", "stage", "min_years", "max_years"]
     merges = found.filter("action = 'merge'").select(F.col("stored_id").alias("id"), *[F.col(c).alias(f"__{c}") for c in changed])
@@ -132,5 +133,5 @@ def apply_reconciled(stored: DataFrame, batch: DataFrame, found: DataFrame, next
     on_gain = {c: F.when(gained, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("description_source", "stage", "min_years", "max_years")}
     kept = stored.join(merges, "id", "left").withColumns(always | on_gain).select(*stored.columns)
     inserts = found.filter("action = 'insert'").select("fingerprint", "stage").join(batch.drop("stage"), "fingerprint")
-    fresh = keep_first(inserts, ["source", "source_id"], [F.col("fingerprint")]).join(stored.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    fresh = keep_first(inserts, ["source", "source_id"], [F.col("fingerprint")]).join((stored if known is None else known).select("source", "source_id"), ["source", "source_id"], "left_anti")
     return kept.unionByName(assign_ids(fresh, ["fingerprint"], next_id).select(*[F.col(c) if c in fresh.columns or c == "id" else F.lit(None).cast(t).alias(c) for c, t in stored.dtypes]))

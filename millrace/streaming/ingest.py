@@ -1,7 +1,9 @@
 """Postings that arrive as files, merged into snapshots of the stored table.
 
-A stream over a drop folder with an available-now trigger handles what has arrived since the last run and ends. Each
-micro-batch writes one new snapshot, named by the batch, so a batch that runs again writes the same one again.
+A stream over a drop folder with an available-now trigger handles what has arrived since the last run and ends. The
+stored table is kept in buckets of fingerprints. Each micro-batch writes, in a folder named by the batch, only the
+buckets that its postings fall into; the table is the latest of each bucket. A batch that runs again writes the same
+folder again. Folders of older batches are kept, so that earlier states can be read.
 """
 
 from __future__ import annotations
@@ -18,21 +20,31 @@ from millrace.sources.feeds import POSTING
 STORED = "id bigint, fingerprint string, " + ", ".join(f"{c} {t}" for c, t in POSTING.items()) + ", sources array<string>, description_source string, stage string"
 
 
-def snapshots(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the whole snapshots in a folder, ascending."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
+#: Fingerprints are dealt over so many buckets; the number stays the same for the life of a stored table.
+BUCKETS = 256
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(top) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    return [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the whole batches in a folder, ascending: those whose greatest id is written, which comes last."""
+    names = [n for n in _listed(spark, f"{folder}/tops") if n.startswith("batch=") and "_SUCCESS" in _listed(spark, f"{folder}/tops/{n}")]
+    return sorted(int(n.removeprefix("batch=")) for n in names)
 
 
-def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The last snapshot, or the last before a batch; an empty table at the start."""
-    found = [n for n in snapshots(spark, folder) if before is None or n < before]
-    return spark.read.schema(STORED).parquet(f"{folder}/batch={found[-1]}") if found else spark.createDataFrame([], STORED)
+def current(spark: SparkSession, folder: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The latest of each bucket, or the latest before a batch, of all or of the named buckets; an empty table at the start."""
+    latest: dict[int, int] = {}
+    for n in snapshots(spark, folder):
+        if before is None or n < before:
+            latest |= {int(b.removeprefix("bucket=")): n for b in _listed(spark, f"{folder}/batch={n}") if b.startswith("bucket=")}
+    paths = [f"{folder}/batch={n}/bucket={b}" for b, n in sorted(latest.items()) if buckets is None or b in buckets]
+    return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
 
 
 def prepared(postings: DataFrame, ord_col: str) -> DataFrame:
@@ -50,11 +62,21 @@ def prepared(postings: DataFrame, ord_col: str) -> DataFrame:
 
 
 def ingest_batch(spark: SparkSession, postings: DataFrame, folder: str, batch: int, ord_col: str = "ord") -> None:
-    """Merges a batch into the snapshot before it and writes the next."""
-    stored = current(spark, folder, batch)
-    merged = prepared(postings, ord_col).drop(ord_col)
-    top = stored.agg(F.max("id")).first()[0]
-    apply_reconciled(stored, merged, reconcile(merged, stored), (top or 0) + 1).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    """Merges a batch into the buckets that it falls into and writes these, then the greatest id so far."""
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).cast("int")
+    merged = prepared(postings, ord_col).drop(ord_col).persist()
+    try:
+        touched = {r[0] for r in merged.select(bucket).distinct().collect()}
+        stored = current(spark, folder, batch, touched)
+        earlier = [n for n in snapshots(spark, folder) if n < batch]
+        top = spark.read.parquet(f"{folder}/tops/batch={earlier[-1]}").first()["top"] if earlier else 0
+        known = current(spark, folder, batch).select("source", "source_id")
+        after = apply_reconciled(stored, merged, reconcile(merged, stored), top + 1, known)
+        after.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch}")
+    finally:
+        merged.unpersist()
+    most = spark.read.schema(STORED).parquet(f"{folder}/batch={batch}").agg(F.greatest(F.lit(top).cast("long"), F.max("id")).alias("top"))
+    most.write.mode("overwrite").parquet(f"{folder}/tops/batch={batch}")
 
 
 def ingest_stream(spark: SparkSession, drop: str, folder: str, checkpoint: str, schema: str | StructType | None = None, per_batch: int = 1000) -> StreamingQuery:

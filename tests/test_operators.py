@@ -157,3 +157,15 @@ def test_a_batch_may_run_twice(spark, drop):
     for _ in range(2):
         ingest.ingest_batch(spark, rows, out, 0)
     assert ingest.current(spark, out).count() == 1 and ingest.current(spark, out, 0).count() == 0
+
+
+def test_a_batch_writes_only_its_buckets(spark, drop):
+    _, _, out, _ = drop
+    for n, rows in enumerate([[posting(str(i), f"Dev {i}", "Acme", "x", i) for i in range(40)], [posting("new", "Dev 7", "Acme", "a longer text about the work", 1, "u"), posting("3", "Elsewhere", "Beta", "x", 2)], []]):
+        ingest.ingest_batch(spark, spark.createDataFrame(rows, SCHEMA), out, n)
+    assert ingest.snapshots(spark, out) == [0, 1, 2]
+    first, last = [{r["fingerprint"]: r.asDict() for r in ingest.current(spark, out, n).collect()} for n in (1, None)]
+    changed = {k for k in last if last[k] != first.get(k)}
+    assert len(first) == 40 and last.keys() == first.keys() and sorted(r["id"] for r in last.values()) == list(range(1, 41))
+    assert changed == {"acme|dev 7|remote"} and last["acme|dev 7|remote"]["sources"] == ["s", "u"]
+    assert len([n for n in ingest._listed(spark, f"{out}/batch=1") if n.startswith("bucket=")]) <= 2
