@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import decode, encode
+from millrace.llm.collocations import collocations
 from millrace.llm.common import table
 from millrace.llm import ann, quality
 from millrace.llm.licenses import find_licenses
@@ -84,6 +85,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, canonical_edges(pages))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_lm_scoring": op2_lm_scoring,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -124,4 +130,31 @@ SQL: dict[str, str] = {
         SELECT p.page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, b.rule, coalesce(b.action, CASE WHEN a.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
         FROM pages p LEFT JOIN parts s ON s.url = p.url LEFT JOIN best b ON b.url = p.url LEFT JOIN aliases a ON a.url = p.url
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL),
+        runs AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        f1 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(w) AS g FROM runs) GROUP BY ALL),
+        f2 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM runs WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM runs WHERE len(w) > 2) GROUP BY ALL HAVING count(*) >= 10),
+        counts AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        cuts AS (
+            SELECT lang, g, f AS a, 1 AS k, split_part(g, ' ', 1) AS lg, split_part(g, ' ', 2) AS rg FROM f2
+            UNION ALL SELECT lang, g, f, 1, split_part(g, ' ', 1), split_part(g, ' ', 2) || ' ' || split_part(g, ' ', 3) FROM f3
+            UNION ALL SELECT lang, g, f, 2, split_part(g, ' ', 1) || ' ' || split_part(g, ' ', 2), split_part(g, ' ', 3) FROM f3),
+        scored AS (
+            SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.lg JOIN counts y ON y.lang = c.lang AND y.g = c.rg),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        held AS (
+            SELECT lang, g, max(f) AS f FROM (
+                SELECT lang, split_part(g, ' ', 1) || ' ' || split_part(g, ' ', 2) AS g, f FROM f3
+                UNION ALL SELECT lang, split_part(g, ' ', 2) || ' ' || split_part(g, ' ', 3), f FROM f3) GROUP BY ALL)
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) AS rank, s.g AS phrase, a, l, r, t.n, score
+        FROM lowest s JOIN totals t ON t.lang = s.lang LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g
+        WHERE h.f IS NULL OR 100 * h.f < 50 * a
+        QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) <= 2000
+    """,
 }
