@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -64,7 +65,7 @@ def _by_group(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[st
 
 
 class Words:
-    """The words of a stretch as numbers from 1 in their order, 0 where a piece ends."""
+    """The words of a stretch: at has their numbers from 1 in order, 0 where a piece ends, and names what they are."""
 
     def __init__(self, text: bytes) -> None:
         number: dict[bytes, int] = defaultdict()
@@ -74,32 +75,40 @@ class Words:
         self.at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
         self.names = list(number)
 
-
-def _frequent(group: bytes, phrases: list[bytes], table: np.ndarray) -> np.ndarray:
-    digest, start = xxhash.xxh64_intdigest, group + b"\t"
-    h = np.fromiter((digest(start + p, SEED) for p in phrases), np.uint64, len(phrases)) & np.uint64(len(table) * 64 - 1)
+    def starts(self, group: str, k: int, tables: list[np.ndarray]) -> np.ndarray:
+        """Where phrases of k words begin whose parts of k - 1 words are frequent, as their own parts are."""
+        own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.names), np.uint64, len(self.names))[self.at]
+        runs, hashes = self.at != 0, np.full(len(own), xxhash.xxh64_intdigest(group.encode(), SEED), np.uint64)
+        for level in range(1, k):
+            n = max(0, len(own) - level + 1)
+            hashes = (hashes[:n] << np.uint64(1) | hashes[:n] >> np.uint64(63)) ^ own[level - 1 :]
+            runs = runs[:n] & _frequent(hashes, tables[level - 1])
+            runs = runs[:-1] & runs[1:]
+        return np.flatnonzero(runs)
+
+    def counts(self, starts: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+        """The different phrases of k words that begin there, and how often each does."""
+        keys, most = self.at[starts], len(self.names)
+        for i in range(1, k):
+            if most > (1 << 62) // len(self.names):
+                keys = np.unique(keys, return_inverse=True)[1].reshape(-1)
+                most = len(starts)
+            keys, most = keys * len(self.names) + self.at[starts + i], most * len(self.names)
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        names = pa.array(self.names[1:], pa.binary()).cast(pa.string())
+        parts = [names.take(pa.array(self.at[starts[first] + i] - 1)) for i in range(k)]
+        return (pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]), counts
+
+
+def _frequent(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    h = hashes & np.uint64(len(table) * 64 - 1)
     return (table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
-def level_counts(group: str, text: bytes, k: int, tables: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+def level_counts(group: str, text: bytes, k: int, tables: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     """Phrases of k words in a stretch whose parts of k - 1 words are frequent, and their counts."""
     words = Words(text)
-    if k == 1:
-        return words.names[1:], np.bincount(words.at, minlength=len(words.names))[1:]
-    own, names, runs = words.at, words.names, words.at != 0
-    singles = names
-    for level in range(1, k):
-        # own[i] numbers the phrase of so many words that begins at i, where runs[i]
-        runs = runs & _frequent(group.encode(), names, tables[level - 1])[own]
-        both = runs[:-1] & runs[1:]
-        pairs, number, counts = np.unique(np.where(both, own[:-1] * len(singles) + words.at[level:], -1), return_inverse=True, return_counts=True)
-        skip = int(len(pairs) > 0 and pairs[0] == -1)
-        heads, tails = (pairs[skip:] // len(singles)).tolist(), (pairs[skip:] % len(singles)).tolist()
-        named = [names[a] + b" " + singles[b] for a, b in zip(heads, tails, strict=True)]
-        if level == k - 1:
-            return named, counts[skip:]
-        own, runs, names = np.maximum(number.reshape(-1) - skip, 0), both, named
-    raise AssertionError
+    return words.counts(words.starts(group, k, tables), k)
 
 
 def _count(k: int, sent: list[Broadcast], size: int) -> Callable:
@@ -108,10 +117,10 @@ def _count(k: int, sent: list[Broadcast], size: int) -> Callable:
         for group, text in _by_group(batches, size):
             phrases, counts = level_counts(group, text, k, tables)
             if k == 1:  # the group's words in all, under no phrase
-                phrases, counts = [None, *phrases], np.concatenate([[counts.sum()], counts])
+                phrases, counts = pa.concat_arrays([pa.array([None], pa.string()), phrases]), np.concatenate([[counts.sum()], counts])
             for at in range(0, len(phrases), 65536):
-                part = phrases[at : at + 65536]
-                yield pa.record_batch([pa.array([group] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[at : at + 65536], pa.int64())], ["g", "phrase", "n"])
+                part = phrases.slice(at, 65536)
+                yield pa.record_batch([pa.array([group] * len(part), pa.string()), part, pa.array(counts[at : at + 65536], pa.int64())], ["g", "phrase", "n"])
 
     return count
 
@@ -120,7 +129,9 @@ def bit_table(phrases: DataFrame, most: int = TABLE_BITS) -> bytes:
     """A table of bits, set at the hash of each (g, phrase): 32 bits a phrase if these are no more than most."""
     n = phrases.count()
     bits = min(most, max(1 << 16, 1 << (32 * n).bit_length()))
-    at = F.xxhash64(F.concat("g", F.lit("\t"), "phrase")).bitwiseAND(F.lit(bits - 1))
+    turned = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+    hashed = F.aggregate(F.split("phrase", " ", -1), F.xxhash64("g"), lambda h, w: turned(h).bitwiseXOR(F.xxhash64(w)))
+    at = hashed.bitwiseAND(F.lit(bits - 1))
     words = phrases.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     found, table = words.toArrow(), np.zeros(bits // 64, np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()

@@ -18,6 +18,7 @@ from millrace.llm.mixing import mix
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.url_filter import canonical_edges, judge_urls
+from millrace.llm.variants import MANGLED, spelling_variants
 
 #: A document is predicted good from this score on.
 GOOD = 0.3
@@ -89,6 +90,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), mangled=MANGLED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_lm_scoring": op2_lm_scoring,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
