@@ -9,11 +9,11 @@ import re
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import facts, lexicon, scoring, text
-from millrace.operators import drafting, merging, ranking, replies, stages
+from millrace.operators import drafting, merging, ranking, replies, stages, viewers
 from millrace.plans import adapters as A
 from millrace.plans import worker
 from millrace.sources.registry import union_sources
@@ -113,6 +113,72 @@ def ranked_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir, "archive")
 
 
+# Every viewer's postings. Parts are postings, suppliers are viewers, and what a viewer seeks goes by its key.
+ADJECTIVES, NOUNS = ["small", "red", "blue", "hot", "cold", "large", "green", "old"], ["ring", "widget", "bolt", "gear", "plate", "nut", "valve", "pipe"]
+YEARS_OF_VIEWER = [None, 1, 3, 7]
+
+
+def parts_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return A.table(spark, sf_dir, "part").select(
+        key.alias("id"), F.concat(F.col("p_name"), F.when(key % 5 == 0, " / developer").when(key % 11 == 0, " internship").otherwise("")).alias("title"), F.col("p_brand").alias("company"),
+        F.when(key % 3 != 0, F.concat(F.lower("p_type"), F.lit("s and c++."))).alias("description"), F.array().cast("array<string>").alias("tags"), (key % 9 == 0).alias("sparse"), A.pick(key, A.ARRANGEMENTS).alias("arrangement"),
+        A.pick(key, A.ELIGIBILITY).alias("geo_eligibility"), F.when(key % 4 == 0, F.array(F.lit("us"), F.lit("eu"))).alias("geo_regions"), (F.when(F.col("p_size") % 3 == 1, 2).when(F.col("p_size") % 3 == 2, 8)).alias("min_years"),
+        F.when(F.col("p_size") % 3 == 1, 5).alias("max_years"),
+    )
+
+
+def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, none = F.col("s_suppkey"), F.array().cast("array<string>")
+
+    def skill(name: Column, weight: float, aliases: Column) -> Column:
+        return F.struct(name.alias("name"), F.lit(weight).alias("weight"), aliases.alias("aliases"))
+
+    skills = F.array(skill(A.pick(key, ADJECTIVES), 1.5, none), skill(F.concat(F.lit("Brand#"), (key % 25).cast("string")), 4.0, none), skill(F.lit("economy"), 2.0, F.array(F.lit("promo plated"), F.lit("c++"))))
+    years = A.pick(key, [None if y is None else str(y) for y in YEARS_OF_VIEWER]).cast("int")
+    return A.table(spark, sf_dir, "supplier").select(
+        key.alias("user_id"), skills.alias("skills"), F.array(F.concat(A.pick(key, ADJECTIVES), F.lit(" "), A.pick(F.floor(key / 8), NOUNS)), F.lit("engineer")).alias("target_roles"),
+        F.when(key % 6 != 0, F.array(A.pick(F.floor(key / 3), NOUNS))).alias("veto_phrases"), F.when(years.isNotNull(), F.add_months(F.lit(A.NOW), -12 * years).cast("timestamp")).alias("career_start"),
+        F.when(key % 2 == 0, F.array(F.lit("remote"), F.lit("hybrid"))).alias("accepted"),
+    )
+
+
+_VIEWERS_SQL = f"""
+    WITH pool AS (
+        SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' / developer' WHEN p_partkey % 11 = 0 THEN ' internship' ELSE '' END AS title, p_partkey % 5 = 0 AS is_dev, p_partkey % 5 <> 0 AND p_partkey % 11 = 0 AS intern,
+            split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun, lower(concat_ws(chr(32) || chr(10) || chr(32), title, p_brand, CASE WHEN p_partkey % 3 <> 0 THEN lower(p_type) || 's and c++.' END)) AS body,
+            p_partkey % 9 = 0 AS sparse, {A.pick_sql("p_partkey", A.ARRANGEMENTS)} AS arrangement, {A.pick_sql("p_partkey", A.ELIGIBILITY)} AS geo, p_partkey % 4 = 0 AS placed, CASE p_size % 3 WHEN 1 THEN 2 WHEN 2 THEN 8 END AS low FROM part),
+    viewers AS (
+        SELECT s_suppkey AS user_id, {A.pick_sql("s_suppkey", ADJECTIVES)} AS adj, 'Brand#' || s_suppkey % 25 AS brand, {A.pick_sql("(s_suppkey // 8)", NOUNS)} AS role_noun, CASE WHEN s_suppkey % 6 <> 0 THEN {A.pick_sql("(s_suppkey // 3)", NOUNS)} END AS veto_noun,
+            {A.pick_sql("s_suppkey", [None if y is None else str(y) for y in YEARS_OF_VIEWER])} AS y, date_diff('day', CAST(TIMESTAMP '{A.NOW}' - to_months(12 * CAST(y AS INTEGER)) AS DATE), DATE '{A.NOW.date()}') / 365.25 AS years, s_suppkey % 2 = 0 AS hybrid_too FROM supplier),
+    hits AS (
+        SELECT *, regexp_matches(body, '(^|[^a-z0-9])' || adj || 's?([^a-z0-9]|$)') AS h0, regexp_matches(body, '(^|[^a-z0-9])' || lower(brand) || 's?([^a-z0-9]|$)') AS h1,
+            regexp_matches(body, '(^|[^a-z0-9])(economys?|promo plateds?)([^a-z0-9]|$)|(^|[^a-z0-9])c[+][+]') AS h2, coalesce(noun = veto_noun, false) AS veto,
+            (adjective = adj AND noun = role_noun) OR is_dev AS role FROM pool, viewers),
+    raws AS (SELECT *, CASE WHEN h0 THEN 1.5 ELSE 0 END + CASE WHEN h1 THEN 4 ELSE 0 END + CASE WHEN h2 THEN 2 ELSE 0 END + CASE WHEN role AND NOT veto THEN 8 ELSE 0 END - CASE WHEN intern THEN 15 ELSE 0 END AS raw FROM hits WHERE h0 OR h1 OR h2 OR role),
+    scored AS (
+        SELECT *, CASE WHEN veto THEN 0 ELSE greatest(0, least(100, greatest(0, least(100, CAST(floor(CAST(raw AS DOUBLE) / CAST({7.5 * scoring.FULL_CREDIT!r} AS DOUBLE) * 100 + 0.5) AS INTEGER)))
+            + CASE geo WHEN 'restricted' THEN -25 WHEN 'worldwide' THEN 10 WHEN 'eligible' THEN 10 ELSE 0 END + CASE WHEN low > years + 2 THEN -20 WHEN low = 2 AND years BETWEEN 2 AND 5 THEN 6 ELSE 0 END
+            + CASE WHEN arrangement IS NULL OR arrangement = 'unknown' THEN 0 WHEN arrangement = 'remote' OR arrangement = 'hybrid' AND hybrid_too THEN 5 ELSE -8 END)) END AS score FROM raws)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id DESC) AS rank, id, CAST(score AS INTEGER) AS score,
+        concat_ws('; ', CASE WHEN sparse THEN 'scored on title only - no job description could be recovered for this job' END, CASE WHEN h0 THEN 'matches skill: ' || adj END, CASE WHEN h1 THEN 'matches skill: ' || brand END,
+            CASE WHEN h2 THEN 'matches skill: economy' END, CASE WHEN role THEN 'title matches a targeted role' END, CASE WHEN intern THEN 'looks like an internship - deprioritized' END,
+            CASE geo WHEN 'restricted' THEN 'not open to your location' || CASE WHEN placed THEN ' (hiring in: us, eu)' ELSE '' END WHEN 'worldwide' THEN 'open worldwide - no location restriction' WHEN 'eligible' THEN 'open to your location'
+                ELSE 'location eligibility not stated by this source' END,
+            CASE WHEN low IS NULL THEN NULL WHEN years IS NULL THEN 'asks for ' || low || '+ years - add your career start date to your profile so this can be judged' WHEN low > years + 2 THEN 'wants ' || low || '+ years, you have ~' || format('{{:.1f}}', years) || ' - likely filtered out'
+                WHEN low = 2 AND years BETWEEN 2 AND 5 THEN 'asks for 2-5 years - you are in range' END,
+            CASE WHEN arrangement IS NULL OR arrangement = 'unknown' THEN 'work arrangement not stated by this source' WHEN arrangement = 'remote' OR arrangement = 'hybrid' AND hybrid_too THEN arrangement WHEN arrangement = 'hybrid' THEN 'hybrid - requires office presence'
+                ELSE 'on-site - requires office presence' END) AS reasons
+    FROM scored WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id DESC) <= 100"""
+
+
+@query(_VIEWERS_SQL)
+def ranked_for_all_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred postings of every viewer, from an inverted index of what all of them seek."""
+    best = viewers.best_for_viewers(parts_pool(spark, sf_dir), supplier_profiles(spark, sf_dir), A.NOW)
+    return best.withColumn("reasons", F.array_join("reasons", "; "))
+
+
 _LISTED = f"""
     WITH {A.POOL_SQL}, {A.STATE_SQL}, own AS (SELECT job_id, status FROM state WHERE user_id = {A.VIEWER}),
     listed AS (SELECT p.id, s.status, coalesce(posted_at, fetched_at) AS eff FROM pool p LEFT JOIN own s ON s.job_id = p.id),
