@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import quality
-from millrace.llm.bpe import decode, encode
+from millrace.llm.bpe import encode_checked
 from millrace.llm.common import shared_folder, table, until_exit
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.near_copies import one_of_each
@@ -40,11 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document and pass: doc_id, source, its token ids, and whether decoding them gives the text back."""
-    keyed = docs.select(F.struct("doc_id", "source", F.xxhash64("text").alias("hash")).alias("key"), "text")
-    done = decode(encode(keyed, id_col="key"))
-    back = F.xxhash64(F.col("decoded").cast("string"))
-    same = F.coalesce(back == F.col("key.hash"), F.lit(False)) | (F.size("ids") == 0)
-    return done.select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    done = encode_checked(docs.select(F.struct("doc_id", "source").alias("key"), "text"), id_col="key")
+    return done.select("key.doc_id", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("same").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [

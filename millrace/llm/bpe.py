@@ -27,7 +27,8 @@ from millrace.ship import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern decides a match from its first three characters and the one after it.
 SIGHT = 3
-CACHED = 150_000
+#: A worker remembers so many pieces.
+CACHED = 30_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,13 +69,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32), pa.int32()))
 
 
-def _whole(path: str) -> Callable:
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> np.ndarray:
+    """The bytes of each id, read once in a worker's life."""
+    ranks = read_ranks(path)
+    tokens = np.empty(max(ranks.values()) + 1, object)
+    tokens[list(ranks.values())] = list(ranks)
+    return tokens
+
+
+def _gives_back(path: str, ids: np.ndarray, text: str) -> bool:
+    """Whether the tokens' bytes one after another are the text's; a text that lost all its tokens is not given back."""
+    return b"".join(tokens_of(path)[ids].tolist()) == text.encode()
+
+
+def _whole(path: str, check: bool) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, find = encoder_of(path), regex.compile(PATTERN).findall
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.record_batch([part.column(0), _lists([encoder.ids(find(t or "")) for t in part.column(1).to_pylist()])], ["id", "ids"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [encoder.ids(find(t)) for t in texts]
+                same = [pa.array([_gives_back(path, i, t) for i, t in zip(ids, texts, strict=True)], pa.bool_())] if check else []
+                yield pa.record_batch([part.column(0), _lists(ids), *same], ["id", "ids", "same"][: 2 + check])
 
     return encode
 
@@ -149,7 +167,7 @@ def stitch_chunks(chunks: list[dict], split: Callable[[str], tuple[np.ndarray, n
     return np.concatenate(out)
 
 
-def _stitch(path: str) -> Callable:
+def _stitch(path: str, check: bool) -> Callable:
     def stitch(table: pa.Table) -> pa.Table:
         def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return encoder_of(path).counted(regex.findall(PATTERN, text))
@@ -159,7 +177,11 @@ def _stitch(path: str) -> Callable:
         for name in ("sizes", "counts", "ids"):  # as arrays, not as lists of numbers
             for c, i in zip(chunks, order, strict=True):
                 c[name] = table.column(name)[i].values.to_numpy()
-        return pa.table({"id": table.column("id").slice(0, 1), "ids": _lists([stitch_chunks(chunks, split)])})
+        out = {"id": table.column("id").slice(0, 1), "ids": _lists([ids := stitch_chunks(chunks, split)])}
+        if check:
+            ends = [c["start"] for c in chunks[1:]] + [chunks[-1]["start"] + len(chunks[-1]["text"])]
+            out["same"] = pa.array([_gives_back(path, ids, "".join(c["text"][: end - c["start"]] for c, end in zip(chunks, ends, strict=True)))])
+        return pa.table(out)
 
     return stitch
 
@@ -171,22 +193,33 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken", id_col:
     in chunks that overlap by overlap_chars; the ids are the same for any sizes. A null or empty text has no ids;
     repeated rows and null ids give a row each; an empty table gives none; other columns are not read.
     """
+    return _encoded(docs, vocab, id_col, text_col, chunk_chars, overlap_chars, False)
+
+
+def encode_checked(docs: DataFrame, vocab: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768, overlap_chars: int = 1_024) -> DataFrame:
+    """(id, ids, same) as encode() has them, and whether decoding the ids gives the whole text back.
+
+    A text is encoded, decoded and compared by one worker, so nothing but ids and the flag leaves it.
+    """
+    return _encoded(docs, vocab, id_col, text_col, chunk_chars, overlap_chars, True)
+
+
+def _encoded(docs: DataFrame, vocab: str, id_col: str, text_col: str, chunk_chars: int, overlap_chars: int, check: bool) -> DataFrame:
     path = vocabulary(vocab)
     ship(docs.sparkSession)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    short = rows.filter(F.coalesce(F.length("text") <= chunk_chars, F.lit(True))).mapInArrow(_whole(path), f"id {kind}, ids array<int>")
+    result = f"id {kind}, ids array<int>" + (", same boolean" if check else "")
+    short = rows.filter(F.coalesce(F.length("text") <= chunk_chars, F.lit(True))).mapInArrow(_whole(path, check), result)
     chunks = rows.filter(F.length("text") > chunk_chars).select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(_chunk(chunk_chars, overlap_chars), f"row long, id {kind}, start long, last boolean, text string")
     split = chunks.repartition("row", "start").mapInArrow(_split_chunk(path), f"row long, id {kind}, start long, last boolean, text string, sizes array<int>, counts array<int>, ids array<int>")
-    long = split.groupBy("row").applyInArrow(_stitch(path), f"id {kind}, ids array<int>")
+    long = split.groupBy("row").applyInArrow(_stitch(path, check), result)
     return short.unionByName(long).withColumnRenamed("id", id_col)
 
 
 def _bytes(path: str) -> Callable:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        tokens = np.empty(max(ranks.values()) + 1, object)
-        tokens[list(ranks.values())] = list(ranks)
+        tokens = tokens_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Saved, join_unique
+from millrace.llm.common import Saved
 from millrace.ship import ship
 
 #: Most bits of a table of frequent phrases: 16 MB.
@@ -138,13 +138,6 @@ def bit_table(phrases: DataFrame, most: int = TABLE_BITS) -> bytes:
     return table.tobytes()
 
 
-def _joined(rows: DataFrame, counts: DataFrame, part: str, as_name: str) -> DataFrame:
-    """rows with the count of their phrase part; parts that many rows have are no hot keys."""
-    uses = rows.groupBy("g", F.col(part).alias("phrase")).agg(F.count("*").alias("uses"))
-    known = counts.join(uses, ["g", "phrase"]).select("g", F.col("phrase").alias(part), F.col("f").alias(as_name), "uses")
-    return join_unique(rows, known, ["g", part], n="uses")
-
-
 def _slice(words: Column, start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -169,7 +162,8 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     sent: list[Broadcast] = []
     for k in range(1, max_words + 1):
         counted = rows.mapInArrow(_count(k, list(sent), block), "g string, phrase string, n long")
-        found = Saved(counted.groupBy("g", "phrase").agg(F.sum("n").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= min_count))).df
+        # a stretch has each phrase once, so little is gained by adding up before the exchange
+        found = Saved(counted.repartition("g", "phrase").groupBy("g", "phrase").agg(F.sum("n").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= min_count))).df
         levels.append(found.filter("phrase is not null"))
         if k == 1:
             totals = found.filter("phrase is null").select("g", F.col("f").alias("n"))
@@ -180,7 +174,8 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     words = F.split("phrase", " ", -1)
     cuts = phrases.select("g", "phrase", F.col("f").alias("a"), words.alias("w"), F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.select("g", "phrase", "a", "cut", _slice(F.col("w"), 1, F.col("cut")).alias("left"), _slice(F.col("w"), F.col("cut") + 1, F.size("w") - F.col("cut")).alias("right"))
-    priced = Saved(_joined(_joined(cuts, counts, "left", "l").drop("left"), counts, "right", "r").drop("right")).df
+    # inner joins with an exchange after them: adaptive execution splits a word that begins or ends very many phrases
+    priced = cuts.join(counts.select("g", F.col("phrase").alias("left"), F.col("f").alias("l")), ["g", "left"]).join(counts.select("g", F.col("phrase").alias("right"), F.col("f").alias("r")), ["g", "right"])
     # counts have up to 14 digits, so that a million times a product of two has no more than 38
     whole = lambda c: F.col(c).cast("decimal(14,0)")
     score = F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * whole("a") * whole("a"), whole("l") * whole("r"))
@@ -193,7 +188,7 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
         held = inner.groupBy("g", _slice(F.col("w"), F.col("from"), F.col("size")).alias("phrase")).agg(F.max("outer").alias("outer"))
         lowest = lowest.join(held, ["g", "phrase"], "left").filter(F.coalesce(F.col("outer") * 100 < F.col("a") * within, F.lit(True)))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = lowest.withColumn("rank", rank.cast("long"))
+    ranked = lowest.withColumn("rank", rank)
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(totals), "g").select(F.col("g").alias(group_col), "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "g").select(F.col("g").alias(group_col), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

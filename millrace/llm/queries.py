@@ -19,6 +19,7 @@ from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.url_filter import canonical_edges, judge_urls
 from millrace.llm.variants import MANGLED, spelling_variants
+from millrace.llm.warc import archived
 
 #: A document is predicted good from this score on.
 GOOD = 0.3
@@ -90,6 +91,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments are small enough that the larger pages have several."""
+    return archived(table(spark, sf_dir, "pages"), segment_bytes=16_384)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), mangled=MANGLED)
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_warc": op12_warc,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -114,11 +121,21 @@ SQL: dict[str, str] = {
         WITH RECURSIVE tags AS (
             SELECT url AS u, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>')) AS tag
             FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')),
-        aims AS (
+        raw_aims AS (
             SELECT u, replace(CASE
                 WHEN regexp_matches(tag, '(?is)^<link\b.*\srel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|[^\s"''>]*\bcanonical\b)') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^\s"''>]+)', 1)
                 WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^\s"''>]+)', 1) END, '&amp;', '&') AS v
             FROM tags),
+        split AS (
+            SELECT u, v AS link, regexp_extract(v, '(?s)^([^?#]*)', 1) AS p, regexp_extract(v, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1) AS root,
+                regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS own FROM raw_aims),
+        paths AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p ELSE CASE WHEN contains(own, '/') THEN regexp_extract(own, '(?s)^(.*/)', 1) ELSE '/' END || p END AS joined FROM split),
+        aims AS (
+            SELECT u, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)') OR root = '' THEN NULL
+                WHEN starts_with(link, '//') THEN regexp_extract(u, '(?s)^(.*?:)//', 1) || link
+                ELSE root || CASE WHEN p = '' THEN own ELSE list_reduce(list_prepend('', string_split(CASE WHEN regexp_matches(joined, '/\.\.?$') THEN joined || '/' ELSE joined END, '/')[2:]),
+                    lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '(?s)/[^/]*$', '') ELSE a || '/' || x END) END || rest END AS v
+            FROM paths),
         edges AS (SELECT u, v FROM aims WHERE contains(v, '://') UNION SELECT v, u FROM aims WHERE contains(v, '://')),
         reach AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
         nodes AS (SELECT url FROM pages UNION SELECT u FROM edges),
@@ -163,4 +180,13 @@ SQL: dict[str, str] = {
         WHERE h.f IS NULL OR 100 * h.f < 50 * a
         QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) <= 2000
     """,
+    "op12_warc": r"""
+        WITH own AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        alike AS (SELECT payload, max(page_id) AS newest FROM own GROUP BY payload)
+        SELECT o.page_id, octet_length(encode(o.payload))::BIGINT AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(o.h, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN o.page_id < a.newest THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN o.page_id < a.newest THEN a.newest END AS refers_to
+        FROM own o JOIN alike a ON a.payload = o.payload
+    """,
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import join_unique
 from millrace.llm.components import connected_components
 
 #: (host, path, action)
@@ -30,8 +31,30 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its `.` and `..` segments worked off."""
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    back = lambda p: F.regexp_replace(p, "(?s)/[^/]*$", "")
+    return F.aggregate(F.slice(F.split(ended, "/", -1), 2, F.length(ended) + 1), F.lit(""), lambda p, x: F.when(x == ".", p).when(x == "..", back(p)).otherwise(F.concat(p, F.lit("/"), x)))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """The whole address of a link on the page at base: `//host/x`, `/x`, `x`, `../x` and `?q` are taken from there.
+
+    Null for a link to a place in the page itself, one of a kind without a host (`mailto:`), and a relative one on a page without `://`.
+    """
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    root, own = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    whole = F.when(path == "", own).when(F.startswith(path, F.lit("/")), without_dots(path)).otherwise(without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)))
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)") | (root == ""), None)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), link)).otherwise(F.concat(root, whole, rest))
+    )
+
+
 def canonical_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v) from each page's address to its canonical link and to where a meta refresh sends it, absolute ones only.
+    """(u, v) from each page's address to its canonical link and to where a meta refresh sends it, relative ones resolved.
 
     Attributes may come in any order and case, quoted or not. Pages without either are dropped by a substring test.
     """
@@ -42,7 +65,7 @@ def canonical_edges(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     is_refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")
     found = pages.filter(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("u"), F.explode(tags).alias("tag"))
     to = F.when(is_link, link).when(is_refresh, refresh)
-    return found.select("u", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("v")).filter(F.col("v").contains("://"))
+    return found.select("u", resolved(F.replace(to, F.lit("&amp;"), F.lit("&")), F.col("u")).alias("v")).filter(F.col("v").contains("://"))
 
 
 def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> Column:
@@ -90,7 +113,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = No
         acts = linked.groupBy("component").agg(F.bool_or(F.col("rule.action") == "block").alias("blocked"), F.bool_or(F.col("rule.action") == "allow").alias("allowed"))
         bad = acts.filter("blocked and not allowed").select("component")
         aliases = parts.join(bad, "component", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("alias"))
-        judged = judged.join(aliases, "url", "left")
+        # an address may be that of most pages, and so may none
+        uses = judged.filter("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+        unnamed = judged.filter("url is null").withColumn("alias", F.lit(None).cast("boolean"))
+        judged = join_unique(judged.filter("url is not null"), aliases.join(uses, "url"), ["url"], how="left").unionByName(unnamed)
     else:
         judged = judged.withColumn("alias", F.lit(None).cast("boolean"))
     verdict = F.coalesce("rule.action", F.when(F.col("alias"), "block"), F.lit("allow"))
