@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,36 @@ def within_cap(rows: DataFrame, by: list[str], order: list[Column], eligible: Co
     return rows.withColumn("allowed", eligible & (running <= F.greatest(F.lit(0), F.lit(cap) - used)))
 
 
+#: Groups of more than a thousandth of all rows, and of more than so many, are cut into stretches of the order.
+STRETCH_ROWS, STRETCHES = 1_000_000, 256
+
+
+def within_cap_spread(rows: DataFrame, by: list[str], order: str, tie: str, eligible: Column, used: Column, cap: int, stretch: int = STRETCH_ROWS) -> DataFrame:
+    """within_cap() for groups of any size, and for all rows as one group where by is empty; rows come in the order of a number, then of tie.
+
+    A large group is cut into STRETCHES stretches at its quantiles. Eligible rows are added up over stretches, of which a
+    group has a few hundred, and then inside each, so no task orders a whole group. Only the quantiles of large groups,
+    fewer than a thousand, are broadcast. Rows of one order value are in one stretch, so order should tell most apart.
+    A null order comes first, as in within_cap().
+    """
+    keys = by or ["__all"]
+    base = rows if by else rows.withColumn("__all", F.lit(0))
+    cuts = [i / STRETCHES for i in range(1, STRETCHES)]
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(F.col(order).cast("double"), cuts, 10_000).alias("__cuts"))
+    total = base.count()
+    large = F.broadcast(sizes.filter(F.col("__n") > max(stretch, total // 1000)).select(*keys, "__cuts"))
+    known = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    cut = base.join(large.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts"), reduce(lambda a, b: a & b, known), "left").drop(*[f"__k_{k}" for k in keys])
+    dealt = cut.withColumn("__s", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double"))), F.lit(0))).withColumn("__s", F.when(F.col(order).isNull() | (F.col("__s") < 0), 0).otherwise(F.col("__s"))).drop("__cuts")
+    dealt = dealt.withColumn("__e", F.coalesce(eligible, F.lit(False)).cast("long"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(*keys, "__s").agg(F.sum("__e").alias("__sum")).withColumn("__before", before).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__s").alias("__k_s"), "__before")
+    on = reduce(lambda a, b: a & b, known) & (F.col("__s") == F.col("__k_s"))
+    running = F.col("__before") + F.sum("__e").over(Window.partitionBy(*keys, "__s").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.join(sums, on).withColumn("__run", running).withColumn("allowed", (F.col("__e") == 1) & (F.col("__run") <= F.greatest(F.lit(0), F.lit(cap) - used)))
+    return out.select(*rows.columns, "allowed")
+
+
 def enrich_outcome(http_status: Column, description: Column) -> Column:
     """ok, not_found, blocked or error of a fetched page; a page that was never fetched is an error."""
     has_text = F.trim(F.coalesce(description, F.lit(""))) != ""

@@ -1,183 +1,207 @@
-"""Postings from alert e-mails: a mailbox scan, a parser for each sender's layout, and one shape for what they find.
+"""Postings from alert e-mails: a mailbox scan, an outline of each message, and each sender's layout as Column rules.
 
-Mail is read as binary files and cut to the sender, window and subject before any HTML is parsed. Python works on one
-message at a time; arrangement, deduplication and the window are Column expressions.
+Mail is read as binary files and cut to the sender, window and subject before any HTML is parsed. Python turns a message
+into an outline once: its lines, its links, and the lines of the table cells that the links stand in. What is a
+posting, a company, a place or a badge is told by expressions over these arrays, with the lines before and after at hand.
 """
 
 from __future__ import annotations
 
 import email
 import email.policy
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import facts, text
-from millrace.functions.text import BADGES, BADGE_LINE, CARD_SEPARATOR
+from millrace.functions.text import BADGE_LINE, let
 from millrace.ship import ship
 from millrace.sources.feeds import POSTING, first_of_each, records
 from millrace.sources.markup import Node, tree
 
-# Links and lines that are no postings.
-JOB_LINK = re.compile(r"linkedin\.com/(?:comm/)?jobs/view/(\d+)", re.I)
-TRAILING_CHROME = re.compile(r"[\s>›»→•·|]+$")
-NAVIGATION = re.compile(
-    r"(?:see|view|show)\s+(?:all|more|this job|jobs|job)\b.*|(?:apply|apply now|easy apply|apply on company website|unsubscribe|manage|manage alerts|manage job alerts|manage email preferences|settings|email settings|help"
-    r"|help center|linkedin|linkedin corporation|see all|view all|view job|see more|show more|new jobs?|\d+ new jobs?|view \d+ new jobs?)", re.I | re.S,
+# Links, and lines that are no postings, companies or places.
+CARD_LINK = r"(?i)linkedin\.com/(?:comm/)?jobs/view/(\d+)"
+CELL_LINK = "(?i)[?&]jk=([a-f0-9]+)"
+MORE_OF = r"(?:see|view|show)\s+(?:all|more|this job|jobs|job)(?![A-Za-z0-9_]).*"
+BUTTONS = (
+    "apply|apply now|easy apply|apply on company website|unsubscribe|manage|manage alerts|manage job alerts|manage email preferences|settings|email settings|help|help center|linkedin|linkedin corporation|see all|view all|view job|see more"
+    r"|show more|new jobs?|\d+ new jobs?|view \d+ new jobs?"
 )
-CHROME_HINT = re.compile(r"\bapplicants?\b|\bconnections?\b|\balumni\b|actively (?:recruiting|reviewing)|easy apply|\bpromoted\b|\breposted\b|\d+\s*(?:minute|hour|day|week|month)s?\s+ago", re.I)
-RATING, EASY, PAY = re.compile(r"\d(?:\.\d)?"), re.compile("easily apply", re.I), re.compile(r"[₹$€£]\s?[\d,]")
-POSTED = re.compile(r"just posted|today|yesterday|active \d+\+? days? ago|\d+\+? days? ago|hiring ongoing|posted \d+", re.I)
-COMPANY_SIZE = re.compile(r"\s*/\s*[\d,]+\s*-?\s*[\d,]*\+?\s*employees\s*$", re.I)
-NO_JOB = re.compile("ready to interview|open to offers|closed to offers|actively hiring|growing fast|learn more|hi|view all|unsubscribe", re.I)
+ARROWS = r"[\s>›»→•·|]+$"
+ABOUT_PEOPLE = r"(?i)\bapplicants?\b|\bconnections?\b|\balumni\b|actively (?:recruiting|reviewing)|easy apply|\bpromoted\b|\breposted\b|\d+\s*(?:minute|hour|day|week|month)s?\s+ago"
+RATING, EASY, PAY = r"^\d(?:\.\d)?$", r"(?i)^easily apply$", r"[₹$€£]\s?[\d,]"
+POSTED = r"(?i)^(?:just posted|today|yesterday|active \d+\+? days? ago|\d+\+? days? ago|hiring ongoing|posted \d+)"
+COMPANY_SIZE = r"(?i)\s*/\s*[\d,]+\s*-?\s*[\d,]*\+?\s*employees\s*$"
+NO_TITLE = "(?i)^(?:ready to interview|open to offers|closed to offers|actively hiring|growing fast|learn more|hi|view all|unsubscribe)$"
+YEARS, KIND, MONEY = r"(?i)(\d{1,2})\+?\s*years?\s+of\s+exp", r"(?i)^(?:(?:full|part)-time|contract|internship|co-?op)$", "[₹$€£]"
 LONGEST_FIELD, LONGEST_PLACE = 80, 60
 
-#: What a parser finds of a posting; stated is the text that tells the arrangement.
-FOUND = pa.schema([(c, pa.string()) for c in ("id", "title", "company", "location", "stated", "url", "description", "salary_text")] + [("min_years", pa.int32()), ("easy_apply", pa.bool_())])
-
-
-def is_navigation(line: str) -> bool:
-    plain = TRAILING_CHROME.sub("", line).strip()
-    return not plain or bool(NAVIGATION.fullmatch(plain))
-
-
-def split_card(raw: str) -> tuple[str, str | None, bool]:
-    """(head, place, easy apply) of a card's text: trailing badges go, the first separator parts head and place."""
-    plain = re.sub(BADGES, "", re.sub(r"\s+", " ", raw).strip())
-    head, _, place = plain.partition(CARD_SEPARATOR)
-    return head.strip(), place.strip() or None, bool(re.search(r"\beasy apply\b", raw, re.I))
-
-
-def _field(line: str | None) -> str | None:
-    return line if line and len(line) <= LONGEST_FIELD and not CHROME_HINT.search(line) else None
-
-
-def _beside(anchor: Node, raw: str) -> tuple[str, str | None, str | None, bool]:
-    """Title, company, place and easy apply from an anchor and the lines after it in its cell."""
-    title, place, easy = split_card(raw)
-    company, cell = None, anchor.closest("td", "tr", "table")
-    if cell is not None:
-        lines = cell.lines(("a", "img"))
-        easy = easy or any(re.search(r"\beasy apply\b", x, re.I) for x in lines)
-        if raw in lines:
-            after = [x for x in lines[lines.index(raw) + 1 :] if not is_navigation(x) and not re.fullmatch(BADGE_LINE, TRAILING_CHROME.sub("", x).strip(), re.I)]
-            company = _field(after[0] if after else None)
-            if company:
-                place = place or _field(after[1] if len(after) > 1 else None)
-    return title, company, place, easy
-
-
-def parse_cards(html: str) -> list[dict]:
-    """Postings of a mail of cards: anchors are grouped by the number in their link."""
-    groups: dict[str, list[tuple[Node, str]]] = {}
-    for a in tree(html).all("a"):
-        if link := JOB_LINK.search(a.attrs.get("href", "")):
-            groups.setdefault(link[1], []).append((a, a.squeezed()))
-    out = []
-    for key, anchors in groups.items():
-        anchors = [x for x in anchors if not is_navigation(x[1])]
-        if not anchors:
-            continue
-        card = max(anchors, key=lambda x: len(x[1]))
-        if len(anchors) > 1 and any(CARD_SEPARATOR in raw for _, raw in anchors):
-            title = min(anchors, key=lambda x: len(x[1]))[1]
-            head, place, easy = split_card(card[1])
-            cell = card[0].closest("tr", "table")
-            linked = next((a.squeezed() for a in cell.all("a") if "linkedin.com/company/" in a.attrs.get("href", "")), "") if cell is not None else ""
-            rest = head[len(title) :].strip() if head.lower().startswith(title.lower()) else ""
-            company = linked or rest or None
-        else:
-            title, company, place, easy = _beside(*card)
-        out.append({"id": key, "title": title, "company": company or "Unknown", "location": place, "stated": place, "url": f"https://www.linkedin.com/jobs/view/{key}/", "easy_apply": easy})
-    return out
-
-
-def parse_indeed(html: str) -> list[dict]:
-    """Postings of a mail of table cells: title, company, then lines told apart by their form, in this order."""
-    out: dict[str, dict] = {}
-    for a in tree(html).all("a"):
-        link = re.search(r"[?&]jk=([a-f0-9]+)", a.attrs.get("href", ""), re.I)
-        cell = a.closest("td", "tr", "table")
-        if not link or link[1] in out or cell is None:
-            continue
-        lines = cell.lines()
-        if len(lines) < 2 or RATING.fullmatch(lines[0]) or RATING.fullmatch(lines[1]):
-            continue
-        found = {"id": link[1], "title": lines[0], "company": lines[1], "url": f"https://in.indeed.com/viewjob?jk={link[1]}", "easy_apply": False}
-        for line in lines[2:]:
-            if RATING.fullmatch(line):
-                continue
-            if EASY.fullmatch(line):
-                found["easy_apply"] = True
-            elif len(line) > LONGEST_PLACE:
-                found.setdefault("description", line)
-            elif POSTED.match(line):
-                continue
-            elif PAY.search(line):
-                found.setdefault("salary_text", line)
-            else:
-                found.setdefault("location", line)
-        out[link[1]] = found | {"stated": found.get("location")}
-    return list(out.values())
-
-
-def parse_facts(line: str) -> dict:
-    """What the segments of a line between bars say: pay, years, place and arrangement."""
-    out: dict = {}
-    for part in filter(None, map(str.strip, line.split("|"))):
-        if years := re.search(r"(\d{1,2})\+?\s*years?\s+of\s+exp", part, re.I):
-            out["min_years"] = int(years[1])
-        elif re.fullmatch(r"(?:full|part)-time|contract|internship|co-?op", part, re.I):
-            continue
-        elif re.search("[₹$€£]", part):
-            out["salary_text"] = part
-        else:
-            stated, comma, place = part.partition(",")
-            out |= {"stated": stated.strip(), "location": place.strip() if comma else None}
-    return out
-
-
-def parse_wellfound(html: str) -> list[dict]:
-    """Postings of a mail of lines: a company line ends in its size, the title stands before it, facts soon after."""
+#: A message's outline. A link has the numbers of its cell and row, whose links are below it; lines have each text of a cell, whole those of links in one.
+OUTLINE = "struct<lines:array<string>,links:array<struct<href:string,text:string,cell:int,row:int>>,cells:array<struct<lines:array<string>,whole:array<string>>>,rows:array<array<int>>>"
+_LINK = pa.struct([("href", pa.string()), ("text", pa.string()), ("cell", pa.int32()), ("row", pa.int32())])
+_CELL = pa.struct([("lines", pa.list_(pa.string())), ("whole", pa.list_(pa.string()))])
+_OUTLINE = pa.struct([("lines", pa.list_(pa.string())), ("links", pa.list_(_LINK)), ("cells", pa.list_(_CELL)), ("rows", pa.list_(pa.list_(pa.int32())))])
+
+
+class _Numbers(dict):
+    """Numbers of elements in the order in which they are asked for."""
+
+    def of(self, node: Node | None) -> int | None:
+        return None if node is None else self.setdefault(node, len(self))
+
+
+def outline(html: str) -> dict:
+    """What OUTLINE describes. A cell is the nearest table cell, row or table around a link, a row the nearest row or table."""
     root = tree(html)
-    lines = root.lines()
-    links = [a.attrs["href"] for a in root.all("a") if a.squeezed() == "Learn More" and a.attrs.get("href")]
-    out: dict[str, dict] = {}
-    for i, line in enumerate(lines):
-        company = COMPANY_SIZE.sub("", line).strip()
-        if not i or not COMPANY_SIZE.search(line) or not company or NO_JOB.fullmatch(lines[i - 1]):
-            continue
-        told = next((parse_facts(x) for x in lines[i + 1 : i + 4] if "|" in x and re.search("years? of exp|remote|onsite|hybrid", x, re.I)), {})
-        if re.match(r"onsite or remote\b", told.get("stated") or "", re.I):
-            told["stated"] = "remote"
-        key = ":".join(re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", x.lower())) for x in (company, lines[i - 1]))
-        if key not in out:
-            url = links[len(out)] if len(out) < len(links) else "https://wellfound.com/jobs"
-            out[key] = {"id": key, "title": lines[i - 1], "company": company, "url": url, **told}
-    return list(out.values())
+    links, cells, rows = list(root.all("a")), _Numbers(), _Numbers()
+    place = {a: i for i, a in enumerate(links)}
+    told = [{"href": a.attrs.get("href", ""), "text": a.squeezed(), "cell": cells.of(a.closest("td", "tr", "table")), "row": rows.of(a.closest("tr", "table"))} for a in links]
+    return {"lines": root.lines(), "links": told, "cells": [{"lines": c.lines(), "whole": c.lines(("a", "img"))} for c in cells], "rows": [[place[a] for a in r.all("a")] for r in rows]}
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            found, errors = [], []
+            for html in part.column(part.num_columns - 1).to_pylist():
+                try:
+                    found.append(outline(html or ""))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  one bad message never stops a scan, and is counted
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield pa.record_batch([*part.columns[:-1], pa.array(found, _OUTLINE), pa.array(errors, pa.string())], [*part.schema.names[:-1], "outline", "error"])
+
+
+def outlined(mail: DataFrame) -> DataFrame:
+    """(payload, date, outline, error) of messages; one that cannot be parsed has an error and no outline."""
+    ship(mail.sparkSession)
+    return mail.select("payload", "date", "html").mapInArrow(_outlines, f"payload string, date timestamp, outline {OUTLINE}, error string")
+
+
+def is_navigation(line: Column) -> Column:
+    """Whether a line or link leads to other pages; arrows at its end don't count."""
+    return let(F.trim(F.regexp_replace(line, ARROWS, "")), lambda plain: (plain == "") | plain.rlike(rf"(?is)^(?:{MORE_OF})\z") | plain.rlike(rf"(?i)^(?:{BUTTONS})\z"))
+
+
+def _is_badge(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, ARROWS, "")).rlike(rf"(?i)^(?:{BADGE_LINE})\z")
+
+
+def _first(values: Column, test: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(values, test), F.lit(0))
+
+
+def _last(values: Column, test: Callable[[Column], Column]) -> Column:
+    return F.try_element_at(F.filter(values, test), F.lit(-1))
+
+
+def _field(line: Column) -> Column:
+    """A line that may be a company or a place."""
+    return F.when((F.length(line) <= LONGEST_FIELD) & ~line.rlike(ABOUT_PEOPLE), line)
+
+
+def card_postings(outlines: DataFrame) -> DataFrame:
+    """Mails of cards. The links of one number are one posting, told by the longest of them.
+
+    A card that is one link holds all that is known, and the shortest link is its title; else the lines after the link say
+    who and where.
+    """
+    each = outlines.select("payload", "date", "outline", F.posexplode("outline.links").alias("at", "link")).withColumn("id", F.regexp_extract("link.href", CARD_LINK, 1)).filter((F.col("id") != "") & ~is_navigation(F.col("link.text")))
+    cell = F.get("outline.cells", F.col("link.cell"))["whole"]
+    siblings = F.transform(F.get("outline.rows", F.col("link.row")), lambda i: F.get("outline.links", i))
+    linked = F.get(F.transform(F.filter(siblings, lambda x: F.contains(x["href"], F.lit("linkedin.com/company/"))), lambda x: x["text"]), F.lit(0))
+    shape = F.struct(F.col("link.text").alias("text"), cell.alias("whole"), linked.alias("linked"))
+    size = F.length("link.text")
+    cards = each.groupBy("payload", "date", "id").agg(
+        F.min("at").alias("pos"), F.max_by(shape, F.struct(size, -F.col("at"))).alias("card"), F.min_by("link.text", F.struct(size, "at")).alias("shortest"), F.count("*").alias("n"), F.bool_or(F.contains("link.text", F.lit(text.CARD_SEPARATOR))).alias("parted"),
+    )
+    own = cards.withColumn("told", text.repair_card(F.col("card.text"))).withColumn("one", (F.col("n") > 1) & F.col("parted"))
+    # a card in one link
+    title = F.col("shortest")
+    rest = F.when(F.startswith(F.lower("told.title"), F.lower(title)), F.trim(F.substring(F.col("told.title"), F.length(title) + 1, F.length("told.title"))))
+    in_link = F.coalesce(F.nullif("card.linked", F.lit("")), F.nullif(rest, F.lit("")))
+    # a card of lines
+    begin = F.array_position("card.whole", F.col("card.text")).cast("int")
+    after = F.when(begin > 0, F.filter(F.slice("card.whole", begin + 1, F.size("card.whole")), lambda x: ~is_navigation(x) & ~_is_badge(x)))
+    beside = _field(F.get(after, F.lit(0)))
+    second = F.when(beside.isNotNull(), _field(F.get(after, F.lit(1))))
+    easy = F.col("told.easy_apply") | (~F.col("one") & F.coalesce(F.exists("card.whole", lambda x: x.rlike(r"(?i)\beasy apply\b")), F.lit(False)))
+    place = F.coalesce("told.location", F.when(~F.col("one"), second))
+    return own.select(
+        "payload", "pos", "date", "id", F.when(F.col("one"), title).otherwise(F.col("told.title")).alias("title"), F.coalesce(F.when(F.col("one"), in_link).otherwise(beside), F.lit("Unknown")).alias("company"), place.alias("location"),
+        place.alias("stated"), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), "id", F.lit("/")).alias("url"), easy.alias("easy_apply"),
+    )
+
+
+def cell_postings(outlines: DataFrame) -> DataFrame:
+    """Mails of table cells: a title, a company, and lines that are told apart by their form."""
+    each = outlines.select("payload", "date", F.posexplode("outline.links").alias("pos", "link"), "outline.cells").withColumn("id", F.regexp_extract("link.href", CELL_LINK, 1)).filter("id != ''")
+    lines = each.withColumn("lines", F.get("cells", F.col("link.cell"))["lines"]).filter(F.size("lines") >= 2)
+    title, company = F.get("lines", F.lit(0)), F.get("lines", F.lit(1))
+    said = F.filter(F.slice("lines", 3, F.size("lines")), lambda x: ~x.rlike(RATING) & ~x.rlike(EASY))
+    short = F.filter(said, lambda x: (F.length(x) <= LONGEST_PLACE) & ~x.rlike(POSTED))
+    found = lines.filter(~title.rlike(RATING) & ~company.rlike(RATING)).select(
+        "payload", "pos", "date", "id", title.alias("title"), company.alias("company"), _first(short, lambda x: ~x.rlike(PAY)).alias("location"), F.concat(F.lit("https://in.indeed.com/viewjob?jk="), "id").alias("url"),
+        _first(said, lambda x: F.length(x) > LONGEST_PLACE).alias("description"), _first(short, lambda x: x.rlike(PAY)).alias("salary_text"), F.exists(F.slice("lines", 3, F.size("lines")), lambda x: x.rlike(EASY)).alias("easy_apply"),
+    )
+    return found.withColumn("stated", F.col("location"))
+
+
+def stated_facts(line: Column) -> Column:
+    """struct(min_years, salary_text, stated, location) of a line of segments between bars, each told by its form; of several alike the last counts."""
+    def told(parts: Column) -> Column:
+        other = F.filter(parts, lambda p: ~p.rlike(YEARS) & ~p.rlike(KIND))
+        where = _last(other, lambda p: ~p.rlike(MONEY))
+        comma = F.instr(where, ",")
+        stated = F.trim(F.when(comma > 0, F.substring(where, F.lit(1), comma - 1)).otherwise(where))
+        years = F.regexp_extract(_last(parts, lambda p: p.rlike(YEARS)), YEARS, 1).cast("int")
+        return F.struct(
+            years.alias("min_years"), _last(other, lambda p: p.rlike(MONEY)).alias("salary_text"), F.when(stated.rlike(r"(?i)^onsite or remote\b"), "remote").otherwise(stated).alias("stated"),
+            F.when(comma > 0, F.trim(F.substring(where, comma + 1, F.length(where)))).alias("location"),
+        )
+
+    return let(F.filter(F.transform(F.split(line, r"\|", -1), lambda p: F.trim(p)), lambda p: p != ""), told)
+
+
+def line_postings(outlines: DataFrame) -> DataFrame:
+    """Mails of lines: a line that ends in a number of employees names the company; the line before it is the title, and one of the three after it the facts."""
+    links = F.transform(F.filter("outline.links", lambda a: (a["text"] == "Learn More") & (a["href"] != "")), lambda a: a["href"])
+    each = outlines.select("payload", "date", links.alias("more"), F.col("outline.lines").alias("lines"))
+    slug = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+    def seen(line: Column, i: Column) -> Column:
+        company, title = F.trim(F.regexp_replace(line, COMPANY_SIZE, "")), F.get("lines", i - 1)
+        told = _first(F.slice("lines", i + 2, 3), lambda x: F.contains(x, F.lit("|")) & x.rlike("(?i)years? of exp|remote|onsite|hybrid"))
+        return F.when(line.rlike(COMPANY_SIZE) & (i > 0) & (company != "") & ~title.rlike(NO_TITLE), F.struct(F.concat_ws(":", slug(company), slug(title)).alias("id"), title.alias("title"), company.alias("company"), told.alias("told")))
+
+    jobs = each.withColumn("jobs", F.array_compact(F.transform("lines", seen))).withColumn("ids", F.array_distinct(F.transform("jobs", lambda j: j["id"])))
+    rows = jobs.select("payload", "date", "more", "ids", "jobs", F.posexplode("jobs").alias("pos", "j")).filter(F.array_position(F.transform("jobs", lambda j: j["id"]), F.col("j.id")) == F.col("pos") + 1)
+    url = F.coalesce(F.get("more", (F.array_position("ids", F.col("j.id")) - 1).cast("int")), F.lit("https://wellfound.com/jobs"))
+    return rows.withColumn("f", stated_facts(F.col("j.told"))).select("payload", "pos", "date", "j.id", "j.title", "j.company", "f.location", "f.stated", url.alias("url"), "f.salary_text", "f.min_years")
 
 
 @dataclass(frozen=True)
 class AlertSource:
-    """subject: a pattern that the subject must have, or null; days: how far back to look."""
+    """subject: a pattern that the subject must have, or null; days: how far back to look; find: postings from outlines."""
 
     name: str
     domain: str
     days: int
     subject: str | None
-    parse: Callable[[str], list[dict]]
+    find: Callable[[DataFrame], DataFrame]
     tags: tuple[str, ...]
 
 
 # The known senders.
-LINKEDIN = AlertSource("linkedin_alert", "linkedin.com", 3, None, parse_cards, ("linkedin-alert",))
-WELLFOUND = AlertSource("wellfound_alert", "wellfound.com", 7, r"(?i)^new jobs:", parse_wellfound, ("wellfound-alert",))
-INDEED = AlertSource("indeed_alert", "indeed.com", 3, r"(?i)^apply to jobs(?![A-Za-z0-9_])|@", parse_indeed, ("indeed-alert",))
+LINKEDIN = AlertSource("linkedin_alert", "linkedin.com", 3, None, card_postings, ("linkedin-alert",))
+WELLFOUND = AlertSource("wellfound_alert", "wellfound.com", 7, r"(?i)^new jobs:", line_postings, ("wellfound-alert",))
+INDEED = AlertSource("indeed_alert", "indeed.com", 3, r"(?i)^apply to jobs(?![A-Za-z0-9_])|@", cell_postings, ("indeed-alert",))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,27 +209,33 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                mail = email.message_from_bytes(content, policy=email.policy.default)
+                mail = email.message_from_bytes(content or b"", policy=email.policy.default)
+                if not mail.items():
+                    raise ValueError("no headers")
                 body = mail.get_body(("html", "plain"))
                 html = body.get_content() if body is not None else ""
                 if body is not None and body.get_content_type() == "text/plain":
                     html = f"<pre>{html}</pre>"
                 date = mail["date"].datetime.timestamp() if mail["date"] is not None and mail["date"].datetime else None
                 headers = [(k, str(v)) for k, v in mail.items()]
-                out.append((name, str(mail["message-id"] or ""), str(mail["from"] or ""), str(mail["subject"] or ""), date, html, dict(headers)))
-            except Exception:  # noqa: BLE001  one bad message never stops a scan
-                continue
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [*[pa.string()] * 4, pa.float64(), pa.string(), pa.map_(pa.string(), pa.string())]
-        columns[6] = [list(h.items()) for h in columns[6]]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["payload", "message_id", "sender", "subject", "at", "html", "headers"])
+                out.append((name, str(mail["message-id"] or ""), str(mail["from"] or ""), str(mail["subject"] or ""), date, html, list(dict(headers).items()), None))
+            except Exception as e:  # noqa: BLE001  one bad message never stops a scan, and is counted
+                out.append((name, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [*[pa.string()] * 4, pa.float64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["payload", "message_id", "sender", "subject", "at", "html", "headers", "error"])
 
 
-def parse_mail(files: DataFrame) -> DataFrame:
-    """(payload, message_id, sender, subject, date, html, headers) of rows (path, content); those that are no messages are left out."""
+def read_messages(files: DataFrame) -> DataFrame:
+    """(payload, message_id, sender, subject, date, html, headers, error) of rows (path, content): a row for each; one that is no message has its error and nothing else."""
     ship(files.sparkSession)
-    rows = files.select("path", "content").mapInArrow(_read, "payload string, message_id string, sender string, subject string, at double, html string, headers map<string,string>")
-    return rows.withColumn("date", F.timestamp_seconds("at")).drop("at")
+    rows = files.select("path", "content").mapInArrow(_read, "payload string, message_id string, sender string, subject string, at double, html string, headers map<string,string>, error string")
+    return rows.withColumn("date", F.timestamp_seconds("at")).select("payload", "message_id", "sender", "subject", "html", "headers", "date", "error")
+
+
+def parse_mail(files: DataFrame) -> DataFrame:
+    """The messages that read_messages() could read, without error."""
+    return read_messages(files).filter("error is null").drop("error")
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
@@ -213,31 +243,23 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return parse_mail(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
-def alert_postings(mail: DataFrame, source: AlertSource, now: datetime) -> DataFrame:
-    """Postings of the messages of one sender in its window, the first of each id; a message that can't be parsed is left out."""
-    ship(mail.sparkSession)
+def wanted_mail(mail: DataFrame, source: AlertSource, now: datetime) -> DataFrame:
+    """The messages of a sender in its window, with its subject."""
     wanted = (F.col("date") >= F.lit(now - timedelta(days=source.days))) & F.lower("sender").contains(source.domain)
-    if source.subject:
-        wanted = wanted & F.trim("subject").rlike(source.subject)
-    parse = source.parse
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, found = [], []
-            for i, html in enumerate(batch.column(2).to_pylist()):
-                try:
-                    own = parse(html or "")
-                except Exception:  # noqa: BLE001
-                    continue
-                owners += [(i, pos) for pos in range(len(own))]
-                found += own
-            of, pos = pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.int32())
-            rows = pa.Table.from_pylist([{c: f.get(c) for c in FOUND.names} for f in found], FOUND).combine_chunks()
-            columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in rows.columns]
-            yield pa.record_batch([batch.column(0).take(of), pos, batch.column(1).take(of), *columns], ["payload", "pos", "date", *FOUND.names])
-
-    kinds = "id string, title string, company string, location string, stated string, url string, description string, salary_text string, min_years int, easy_apply boolean"
-    rows = mail.filter(wanted).select("payload", "date", "html").mapInArrow(find, f"payload string, pos int, date timestamp, {kinds}")
+    return mail.filter(wanted & F.trim("subject").rlike(source.subject) if source.subject else wanted)
+
+
+def alert_failures(mail: DataFrame, source: AlertSource, now: datetime) -> DataFrame:
+    """(payload, error) of the wanted messages that could not be parsed, and of those that gave no posting (error `no postings`)."""
+    outlines = outlined(wanted_mail(mail, source, now))
+    found = source.find(outlines.filter("error is null")).select("payload").distinct()
+    return outlines.join(found, "payload", "left_anti").select("payload", F.coalesce("error", F.lit("no postings")).alias("error"))
+
+
+def alert_postings(mail: DataFrame, source: AlertSource, now: datetime) -> DataFrame:
+    """Postings of the messages of one sender in its window, the first of each id. Messages that give none are told by alert_failures()."""
+    found = source.find(outlined(wanted_mail(mail, source, now)).filter("error is null"))
+    rows = found.select(*found.columns, *[F.lit(None).cast(kind).alias(c) for c, kind in (("description", "string"), ("salary_text", "string"), ("min_years", "int"), ("easy_apply", "boolean")) if c not in found.columns])
     how = facts.arrangement(F.col("stated"), F.array().cast("array<string>"), F.lit(None).cast("boolean"))
     return records(
         first_of_each(rows, F.col("id")), POSTING, source=source.name, source_id=F.col("id"), title=F.col("title"), company=F.col("company"), url=F.col("url"), location=F.col("location"), arrangement=how,

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from compare import assert_same, connect
 
-from millrace.plans import catalogue, intake
+from millrace.plans import catalogue, flows, intake
 
-QUERIES, SQL = catalogue.QUERIES | intake.QUERIES, catalogue.SQL | intake.SQL
+QUERIES, SQL = catalogue.QUERIES | intake.QUERIES | flows.QUERIES, catalogue.SQL | intake.SQL | flows.SQL
 SF = "/root/testdata/sf0.001"
 
 

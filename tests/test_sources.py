@@ -98,26 +98,55 @@ def test_embedded_page_data(spark):
     assert got["2"]["geo_eligibility"] is None and got["2"]["sparse"]
 
 
-CARDS = """<table><tr><td><a href="https://www.linkedin.com/comm/jobs/view/11?x">Data Engineer</a>
-<a href="https://www.linkedin.com/jobs/view/11"><p>Data Engineer Acme · Pune (Remote) Easy Apply 3 days ago</p></a></td></tr>
-<tr><td><a href="https://linkedin.com/jobs/view/12">Go Developer</a><p>Beta Ltd</p><p>Promoted</p><p>Berlin (Hybrid)</p></td></tr>
-<tr><td><a href="https://linkedin.com/jobs/view/13">View job</a></td></tr><tr><td><a href="https://linkedin.com/jobs/view/12">See all jobs ›</a></td></tr></table>"""
-
-
-def test_alert_cards():
-    got = {f["id"]: f for f in alerts.parse_cards(CARDS)}
-    assert set(got) == {"11", "12"}
-    assert (got["11"]["title"], got["11"]["company"], got["11"]["location"], got["11"]["easy_apply"]) == ("Data Engineer", "Acme", "Pune (Remote)", True)
-    assert (got["12"]["title"], got["12"]["company"], got["12"]["location"]) == ("Go Developer", "Beta Ltd", "Berlin (Hybrid)")
-
-
-def test_alert_tables_and_lines():
-    cell = "<table><tr><td><a href='http://x/?jk=ab12'>Dev</a><p>Acme</p><p>4.1</p><p>Remote</p><p>₹ 5,00,000 a year</p><p>Easily apply</p><p>" + "long text " * 9 + "</p><p>3 days ago</p></td></tr></table>"
-    (found,) = alerts.parse_indeed(cell + cell)
-    assert (found["title"], found["company"], found["location"], found["salary_text"], found["easy_apply"]) == ("Dev", "Acme", "Remote", "₹ 5,00,000 a year", True)
-    lines = "<body><p>Full Stack Dev</p><p>Acme Inc / 11-50 Employees</p><p>Onsite or Remote, Delhi | ₹ 10L | 3+ years of exp | Full-time</p><a href='http://l'>Learn More</a><p>Learn More</p><p>Beta / 1-10 employees</p></body>"
-    (found,) = alerts.parse_wellfound(lines)
-    assert (found["id"], found["company"], found["stated"], found["location"], found["salary_text"], found["min_years"], found["url"]) == ("acme-inc:full-stack-dev", "Acme Inc", "remote", "Delhi", "₹ 10L", 3, "http://l")
+CARDS = """<table><tr><td><a href="https://www.linkedin.com/comm/jobs/view/11?x">Harbour Pilot</a>
+<a href="https://www.linkedin.com/jobs/view/11"><p>Harbour Pilot Tideworks · Hull (Remote) Easy Apply 3 days ago</p></a></td></tr>
+<tr><td><a href="https://linkedin.com/jobs/view/12">Kiln Keeper</a><p>Ember &amp; Sons</p><p>Promoted</p><p>Stoke (Hybrid)</p></td></tr>
+<tr><td><a href="https://linkedin.com/jobs/view/13">View job</a></td></tr><tr><td><a href="https://linkedin.com/jobs/view/12">See all jobs ›</a></td></tr>
+<tr><td><a href="https://linkedin.com/jobs/view/14">Bell Founder · York</a><a href="https://linkedin.com/jobs/view/14">Bell Founder</a><a href="https://www.linkedin.com/company/x">Toll Ltd</a></td></tr>
+<tr><td><a href="https://linkedin.com/jobs/view/15">Lamplighter</a><p>An alumni favourite</p><p>Bath</p></td></tr></table>"""
+
+
+def outlines(spark, *html):
+    return alerts.outlined(spark.createDataFrame([(f"m{i}", None, h) for i, h in enumerate(html)], "payload string, date timestamp, html string"))
+
+
+def test_alert_cards(spark):
+    got = {f["id"]: f for f in alerts.card_postings(outlines(spark, CARDS)).collect()}
+    assert set(got) == {"11", "12", "14", "15"}
+    assert (got["11"]["title"], got["11"]["company"], got["11"]["location"], got["11"]["easy_apply"]) == ("Harbour Pilot", "Tideworks", "Hull (Remote)", True)
+    assert (got["12"]["title"], got["12"]["company"], got["12"]["location"], got["12"]["easy_apply"]) == ("Kiln Keeper", "Ember & Sons", "Stoke (Hybrid)", False)
+    assert (got["14"]["title"], got["14"]["company"], got["14"]["location"]) == ("Bell Founder", "Toll Ltd", "York")
+    assert (got["15"]["title"], got["15"]["company"], got["15"]["location"]) == ("Lamplighter", "Unknown", None)
+
+
+@pytest.mark.parametrize("line", ["", " › ", "View job", "SEE MORE »", "view all the others", "12 new jobs", "view 3 new jobs", "Show more"])
+def test_navigation_is_told(spark, line):
+    row = spark.createDataFrame([(line, "Viewing engineer", "newsroom jobs lead")], "a string, b string, c string")
+    assert row.select(*[alerts.is_navigation(F.col(c)) for c in "abc"]).first()[:] == (True, False, False)
+
+
+def test_alert_cells(spark):
+    cell = "<table><tr><td><a href='http://x/?jk=ab12'>Cooper</a><p>Stave Works</p><p>4.1</p><p>Remote</p><p>₹ 5,00,000 a year</p><p>Easily apply</p><p>" + "long text " * 9 + "</p><p>3 days ago</p><p>Second place</p></td></tr></table>"
+    bad = "<a href='?jk=aa'>no cell</a><table><tr><td><a href='?jk=bb'>4.2</a><p>x</p></td></tr><tr><td><a href='?jk=cc'>alone</a></td></tr></table>"
+    found = alerts.cell_postings(outlines(spark, cell + bad)).collect()
+    assert [(f["title"], f["company"], f["location"], f["salary_text"], f["easy_apply"], f["description"]) for f in found] == [("Cooper", "Stave Works", "Remote", "₹ 5,00,000 a year", True, ("long text " * 9).strip())]
+
+
+def test_alert_lines(spark):
+    lines = ("<body><p>Rope Walker</p><p>Hemp Inc / 11-50 Employees</p><p>Hiring</p><p>Onsite or Remote, Deal | ₹ 10L | 3+ years of exp | Full-time</p><a href='http://l'>Learn More</a><p>Learn More</p><p>Beta / 1-10 employees</p>"
+             "<p>Rope Walker</p><p>Hemp, Inc. / 51+ employees</p><p>Net Mender</p><p>Knots / 1,000 Employees</p><a href='http://m'>Learn More</a><p>Remote | Contract</p></body>")
+    found = alerts.line_postings(outlines(spark, lines)).orderBy("pos").collect()
+    assert [(f["id"], f["company"], f["stated"], f["location"], f["salary_text"], f["min_years"], f["url"]) for f in found] == [
+        ("hemp-inc:rope-walker", "Hemp Inc", "remote", "Deal", "₹ 10L", 3, "http://l"), ("knots:net-mender", "Knots", "Remote", None, None, None, "http://m"),
+    ]
+
+
+def test_messages_that_fail_are_told(spark, monkeypatch):
+    files = spark.createDataFrame([("good", b"From: a@b.c\n\nx"), ("none", None), ("junk", b"\xff\xfe\x00")], "path string, content binary")
+    got = {r["payload"]: r["error"] for r in alerts.read_messages(files).collect()}
+    assert got["good"] is None and got["none"] and got["junk"] and alerts.parse_mail(files).count() == 1
+    mail = spark.createDataFrame([("a", "x@linkedin.com", "s", datetime(2024, 5, 7), CARDS), ("b", "x@linkedin.com", "s", datetime(2024, 5, 7), "<p>nothing</p>"), ("c", "x@else.com", "s", datetime(2024, 5, 7), "")], "payload string, sender string, subject string, date timestamp, html string")
+    assert [tuple(r) for r in alerts.alert_failures(mail, alerts.LINKEDIN, datetime(2024, 5, 8)).collect()] == [("b", "no postings")]
 
 
 def test_mailbox_scan(spark, tmp_path):
