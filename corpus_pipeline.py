@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality
 from millrace.llm.bpe import encode_checked
-from millrace.llm.common import shared_folder, table, until_exit
+from millrace.llm.common import free_name, shared_folder, table, until_exit
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.near_copies import one_of_each
 from millrace.llm.queries import GOOD, held_out
@@ -25,7 +25,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A null or empty text is judged like any other."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return quality.score(docs, model, score_col="__score").filter(F.col("__score") >= GOOD).select(*docs.columns)
+    name = free_name(docs, "score")
+    return quality.score(docs, model, score_col=name).filter(F.col(name) >= GOOD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

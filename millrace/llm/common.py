@@ -71,6 +71,14 @@ class Saved:
         files.delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key with more than one in so many of all rows is hot; there are fewer such keys than this.
 HOT = 1000
 

@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
 A block of text that quotes a license compresses far better when the license is the dictionary. Candidate blocks, the
-surroundings of a template's key word, are compressed plain and with each template that the text can hold as a raw
-zstandard dictionary; templates are ranked by what they save, and each one that saves anything is confirmed by the exact
-wording differences: the cheapest alignment of its words with any stretch of the block. Words that tell licenses apart
+surroundings of a template's key word that hold enough of its words, are compressed plain and with the template as a raw
+zstandard dictionary; a template that saves anything is confirmed by the exact wording differences: the cheapest alignment
+of its words around the key, found to both sides of it. A block reaches as far as a find can and no farther, so time grows
+with the number of words of a text, and memory with the template. Words that tell licenses apart
 (versions, "lesser", "sa", "nc", "not" and the like, and the template's key) may be neither missing nor put in, and a
-notice after a "not" is none. Of finds that overlap, the one with most words in place less differences stays.
+notice after a "not" is none. Of finds that overlap, the one with most words in place less differences stays, and of equal ones
+the one whose template saves most.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -142,21 +146,47 @@ class Template:
                     return False
         return True
 
-    def align(self, words: list[str]) -> tuple[int, list[tuple[int, int]]] | None:
-        """Cost and pairs (word of the template, word of the block) of the cheapest alignment with a stretch of the block, the leftmost of equals."""
-        put_in = np.concatenate([[0], np.cumsum([NEVER if self.tells(w) else 1 for w in words])])
-        block, rows = np.array(words, object), [np.zeros(len(words) + 1, np.int64)]
-        leave_out = [NEVER if self.tells(w) or not self.may_miss else 2 for w in self.words]
-        for word, cost in zip(self.words, leave_out, strict=True):
+    @cached_property
+    def reach(self) -> int:
+        """A find lies within so many words to either side of its key."""
+        return len(self.words) + self.limit
+
+    @cached_property
+    def need(self) -> Counter:
+        return Counter(self.words)
+
+    @cached_property
+    def splits(self) -> list[tuple[int, list[str], list[str]]]:
+        """(place, words before it backwards, words after it) for each place of the key."""
+        return [(p, self.words[:p][::-1], self.words[p + 1 :]) for p, w in enumerate(self.words) if w == self.key]
+
+    def align(self, words: list[str], anchor: int) -> tuple[int, list[tuple[int, int]]] | None:
+        """Cost and pairs (word of the template, word of the block) of the cheapest alignment in which the block's word at anchor is the key; None beyond the limit."""
+        best = None
+        before, after = words[:anchor][::-1], words[anchor + 1 :]
+        for place, head, tail in self.splits:
+            left = self._side(head, before[: len(head) + self.limit])
+            right = left and self._side(tail, after[: len(tail) + self.limit])
+            if left and right and left[0] + right[0] <= self.limit and (best is None or left[0] + right[0] < best[0]):
+                pairs = [(place - 1 - a, anchor - 1 - b) for a, b in reversed(left[1])] + [(place, anchor)] + [(place + 1 + a, anchor + 1 + b) for a, b in right[1]]
+                best = (left[0] + right[0], pairs)
+        return best
+
+    def _side(self, own: list[str], words: list[str]) -> tuple[int, list[tuple[int, int]]] | None:
+        """Cost and pairs of the cheapest alignment of own words with a beginning of the words."""
+        put_in = np.concatenate([[0], np.cumsum([NEVER if self.tells(w) else 1 for w in words])]).astype(np.int64)
+        leave_out = [NEVER if self.tells(w) or not self.may_miss else 2 for w in own]
+        block, rows = np.array(words, object), [put_in]
+        for word, cost in zip(own, leave_out, strict=True):
             row = rows[-1] + cost
             row[1:] = np.where(block == word, np.minimum(row[1:], rows[-1][:-1]), row[1:])
             rows.append(put_in + np.minimum.accumulate(row - put_in))
-        i, j = len(self.words), int(rows[-1].argmin())
+            if rows[-1].min() > self.limit:
+                return None
+        i, j = len(own), int(rows[-1].argmin())
         total, pairs = int(rows[-1][j]), []
-        if total > self.limit:
-            return None
         while i:
-            if j and words[j - 1] == self.words[i - 1] and rows[i - 1][j - 1] == rows[i][j]:
+            if j and words[j - 1] == own[i - 1] and rows[i - 1][j - 1] == rows[i][j]:
                 i, j = i - 1, j - 1
                 pairs.append((i, j))
             elif rows[i - 1][j] + leave_out[i - 1] == rows[i][j]:
@@ -166,16 +196,30 @@ class Template:
         return total, pairs[::-1]
 
 
-def candidate_blocks(words: list[str], template: Template) -> list[tuple[int, int]]:
-    """(start, end) of the stretches of a text's words that any confirmed find of the template lies in whole."""
-    reach, out = len(template.words) + template.limit, []
-    for i, w in enumerate(words):
-        if w == template.key:
-            if out and i - reach <= out[-1][1]:
-                out[-1] = (out[-1][0], i + reach)
-            else:
-                out.append((max(0, i - reach), i + reach))
-    return [(a, min(b, len(words))) for a, b in out]
+def anchors(words: list[str], template: Template) -> list[int]:
+    """Places of the template's key whose surroundings hold enough of its words. One walk over the text keeps count."""
+    need, least, have, held, out, begin, end = template.need, len(template.words) - template.may_miss, Counter(), 0, [], 0, 0
+    for at, word in enumerate(words):
+        if word != template.key:
+            continue
+        low, high = max(0, at - template.reach), min(len(words), at + template.reach + 1)
+        if low >= end:
+            have, held, begin, end = Counter(), 0, low, low
+        while end < high:
+            w = words[end]
+            if w in need:
+                have[w] += 1
+                held += have[w] <= need[w]
+            end += 1
+        while begin < low:
+            w = words[begin]
+            if w in need:
+                held -= have[w] <= need[w]
+                have[w] -= 1
+            begin += 1
+        if held >= least:
+            out.append(at)
+    return out
 
 
 def _negated(text: str, words: list[tuple[str, int, int]], first: int) -> bool:
@@ -192,32 +236,45 @@ def scan(text: str | None, templates: list[Template]) -> list[dict]:
     plain = zstandard.ZstdCompressor(compression_params=_plainly())
     placed, found = words_of(text), []
     words = [w for w, _, _ in placed]
-    todo = sorted({b for t in able for b in candidate_blocks(words, t)})
-    while todo:
-        start, end = todo.pop()
-        block = words[start:end]
-        data, held = " ".join(block).encode(), Counter(block)
-        size = len(plain.compress(data))
-        ranked = sorted(((size - len(t.compressor.compress(data)), -i) for i, t in enumerate(able)), reverse=True)
-        for saved, i in ranked:
-            t = able[-i]
-            if saved <= 0:
-                break
-            if (Counter(t.words) & held).total() < len(t.words) - t.may_miss or not (aligned := t.align(block)):
+    for t in able:
+        taken: list[tuple[int, int]] = []  # stretches of this template's finds, in order
+
+        def aligned(at: int, low: int, high: int, t: Template = t) -> tuple[int, int, int, list[tuple[int, int]]] | None:
+            low, high = max(low, at - t.reach), min(high, at + t.reach + 1)
+            best = t.align(words[low:high], at - low)
+            return best and (best[0], low + best[1][0][1], at, [(a, low + b) for a, b in best[1]])
+
+        saved: dict[int, tuple[int, int]] = {}
+        for at in anchors(words, t):
+            data = " ".join(words[max(0, at - t.reach) : at + t.reach + 1]).encode()
+            saved[at] = (len(plain.compress(data)), len(t.compressor.compress(data)))
+        queue = [x for at, (size, own) in saved.items() if own < size and (x := aligned(at, 0, len(words)))]
+        heapq.heapify(queue)
+        while queue:  # the cheapest first, of equals the leftmost; what overlaps it is aligned again beside it
+            cost, first, at, pairs = heapq.heappop(queue)
+            last = pairs[-1][1] + 1
+            i = bisect.bisect(taken, (at, len(words)))
+            low, high = taken[i - 1][1] if i else 0, taken[i][0] if i < len(taken) else len(words)
+            if at < low:
+                continue
+            if first < low or last > high:
+                if x := aligned(at, low, high):
+                    heapq.heappush(queue, x)
                 continue
-            cost, pairs = aligned
-            first, last = start + pairs[0][1], start + pairs[-1][1] + 1
-            todo += [part for part in ((start, first), (last, end)) if t.key in words[slice(*part)]]
+            taken.insert(i, (first, last))
             if not _negated(text, placed, first):
-                kept_a, kept_b = {a for a, _ in pairs}, {start + b for _, b in pairs}
+                kept_a, kept_b = {a for a, _ in pairs}, {b for _, b in pairs}
                 found.append({
-                    "license": t.name, "start": placed[first][1], "end": placed[last - 1][2], "plain_size": size, "size": size - saved, "coverage": len(pairs) / len(t.words), "exact": not cost,
+                    "license": t.name, "start": placed[first][1], "end": placed[last - 1][2], "plain_size": saved[at][0], "size": saved[at][1], "coverage": len(pairs) / len(t.words), "exact": not cost,
                     "missing": [w for x, w in enumerate(t.words) if x not in kept_a], "added": [words[x] for x in range(first, last) if x not in kept_b], "worth": len(pairs) - cost,
                 })
     found.sort(key=lambda f: (-f["worth"], f["start"], f["end"], f["size"] - f["plain_size"], f["license"]))
     out: list[dict] = []
+    spans: list[tuple[int, int]] = []
     for f in found:
-        if all(f["end"] <= o["start"] or f["start"] >= o["end"] for o in out):
+        i = bisect.bisect(spans, (f["start"], f["end"]))
+        if (not i or spans[i - 1][1] <= f["start"]) and (i == len(spans) or spans[i][0] >= f["end"]):
+            spans.insert(i, (f["start"], f["end"]))
             out.append(f)
     return sorted(out, key=lambda f: f["start"])
 
@@ -225,6 +282,7 @@ def scan(text: str | None, templates: list[Template]) -> list[dict]:
 def find_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text", covered: float = COVERED) -> DataFrame:
     """A row for each license found in each row's whole text.
 
+    A text with many licenses gives a row for each, in time that grows with its length.
     Returns id, license, start, end (characters), plain_size and size (bytes of the block compressed without and with
     the template), coverage (share of the template's words that the text has in order), exact (whether nothing is
     missing or put in), missing and added words. Texts without the key word of any template, null and empty ones give

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Saved
+from millrace.llm.common import Saved, free_name
 
 #: A block has about so many documents.
 BLOCK = 4096
@@ -131,9 +131,10 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     """The rows of docs, each as often as mix() takes it, with the columns of docs."""
     taken = mix(docs, text_col=text_col, **options)
     counts = taken.groupBy("row_key").count()
-    by_row = counts.groupBy(F.col("row_key.key").alias("__key"), F.col("row_key.other").alias("__other")).agg(F.map_from_entries(F.collect_list(F.struct("row_key.nth", "count"))).alias("__times"))
+    key_col, other_col, nth, times, copy = (free_name(docs, n) for n in ("row_key", "row_other", "row_nth", "row_times", "row_copy"))
+    by_row = counts.groupBy(F.col("row_key.key").alias(key_col), F.col("row_key.other").alias(other_col)).agg(F.map_from_entries(F.collect_list(F.struct("row_key.nth", "count"))).alias(times))
     key, other = row_keys(docs)
-    joined = docs.withColumns({"__key": key, "__other": other}).join(by_row, ["__key", "__other"])
-    numbered = joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__other").orderBy(F.lit(1))))
-    times = F.coalesce(F.try_element_at("__times", F.col("__nth")), F.lit(0).cast("long"))
-    return numbered.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select(*docs.columns)
+    joined = docs.withColumns({key_col: key, other_col: other}).join(by_row, [key_col, other_col])
+    numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key_col, other_col).orderBy(F.lit(1))))
+    taken_times = F.coalesce(F.try_element_at(times, F.col(nth)), F.lit(0).cast("long"))
+    return numbered.withColumn(copy, F.explode(F.array_repeat(F.lit(True), taken_times.cast("int")))).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import HOT, Saved, join_unique
+from millrace.llm.common import HOT, Saved, free_name, join_unique
 from millrace.llm.components import connected_components
 from millrace.llm.simhash import RADIUS, covering_masks, near_links
 from millrace.ship import ship
@@ -213,14 +213,16 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g")))
 
     least = Saved(prints.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n")))
-    close = near_links(least.df.select("fp"), radius, within=neighbours(radius))
+    # written, so that no plan holds all tables' joins
+    close = Saved(near_links(least.df.select("fp"), radius, within=neighbours(radius)))
     named = least.df.select("fp", "least")
-    far = close.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select("a", "b")
+    far = close.df.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select("a", "b")
     same = join_unique(prints.select("h", "fp"), least.df, ["fp"]).select(F.col("h").alias("a"), F.col("least").alias("b"))
     # texts that agree on a band are first held against the least of them; equal texts are one from here on
     alike = _of_several_groups(prints.select("h", F.col("h").alias("g"), F.explode("keys").alias("key")))
     sure = _confirmed(far.unionAll(same).unionAll(alike.df.select(F.col("h").alias("a"), F.col("first").alias("b"))), sets, similarity).df
-    least.drop()
+    for done in (least, close):
+        done.drop()
     # then all pairs of those that are in different groups still
     parts = grouped(sure)
     left = _of_several_groups(alike.df.select("h", "key").join(parts.df, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "key"))
@@ -297,11 +299,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs without those of a group of near copies but its first: by id, nulls last, then by a hash of the text.
 
     Groups are chosen over ids and hashes alone; texts move once, to meet the rows that stay. Of rows that repeat each
-    other in id and text, one stays.
+    other in id and text, one stays. Columns of any name stay as they are.
     """
     groups = near_copy_groups(docs, id_col, text_col, words, similarity, radius)
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "h")).alias("first")
-    stay = groups.groupBy("group").agg(first).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
-    mine = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = mine.join(stay, mine[id_col].eqNullSafe(stay["__id"]) & (mine["__h"] == stay["__h"])).drop(stay["__h"])
-    return joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))).filter("__n = 1").select(*docs.columns)
+    own_id, own_h, own_n = (free_name(docs, n) for n in ("first_id", "first_h", "first_n"))
+    stay = groups.groupBy("group").agg(first).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h))
+    mine = docs.withColumn(own_h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = mine.join(stay, mine[id_col].eqNullSafe(stay[own_id]) & (mine[own_h] == stay[own_h])).drop(stay[own_h])
+    return joined.withColumn(own_n, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(F.lit(1)))).filter(F.col(own_n) == 1).select(*docs.columns)

@@ -1,9 +1,10 @@
 """Quality classifier of supervised subword embeddings.
 
-Words, the 3 to 5 character n-grams of the words, ends included, and whether a word repeats the one before are hashed
-to rows of one embedding table. A document is the mean of its rows, a softmax layer turns that into class probabilities, and both are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. The layer is linear, so a trained model is
-folded into one number for each row and class, and scoring sums gathered numbers over a whole text.
+Words, pairs of words next to each other and the character n-grams of words, ends included, all in lower case, are hashed to
+rows of one embedding table. A document is the weighted mean of its rows, in which a word or pair counts WORD_WEIGHT times
+as much as a character n-gram, a softmax layer turns that into class probabilities, and both are trained by stochastic
+gradient descent in numpy on a bounded sample of labelled rows. The layer is linear, so a trained model is folded into
+one number for each row and class, and scoring sums gathered numbers over a whole text.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from millrace.ship import ship
 
 BITS, DIM = 17, 16
 #: Lengths of character n-grams.
-GRAMS = (3, 4, 5)
+GRAMS = (3,)
+#: Of words and pairs of words; character n-grams weigh 1.
+WORD_WEIGHT = 6
 #: The sample: at most so many labelled rows, whatever the length of their texts.
 TRAIN_ROWS = 4000
-EPOCHS, RATE = 6, 0.5
+EPOCHS, RATE = 12, 2.0
 #: So many features without weight are added to each text: a few words alone don't decide.
 CALM = 16
 #: Odd multipliers of a 64-bit multiplicative hash and a prime base for polynomial hashes.
@@ -55,8 +58,8 @@ class Features:
     def _ids(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         return (((hashes + np.uint64(kind * 2 + 1)) * np.uint64(MIX)) >> self.shift).astype(np.int32)
 
-    def _of(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position, id) of features in code points that begin and end with a space."""
+    def _of(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(positions, ids, weight) of features in code points that begin and end with a space."""
         n = len(codes)
         self._reach(n)
         space = codes == 32
@@ -65,23 +68,23 @@ class Features:
         starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
         ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         words = (sums[ends] - sums[starts]) * self.down[starts]
-        yield starts, self._ids(words, 0)
+        yield starts, self._ids(words, 0), WORD_WEIGHT
         next_to = np.flatnonzero(starts[1:] - ends[:-1] == 1) + 1  # texts and pieces are two spaces apart
-        yield starts[next_to], self._ids((words[next_to] == words[next_to - 1]).astype(np.uint64), 1)
+        yield starts[next_to], self._ids(words[next_to - 1] * np.uint64(BASE) + words[next_to], 1), WORD_WEIGHT
         for size in GRAMS:
             if n >= size:
                 # a space may only be the first or last character of an n-gram
                 inner = gaps[size - 2 : n - 1] - gaps[: n - size + 1]
                 at = np.flatnonzero(inner == 0)
-                yield at, self._ids((sums[at + size] - sums[at]) * self.down[at], size)
+                yield at, self._ids((sums[at + size] - sums[at]) * self.down[at], size), 1
 
     def pieces(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-        """The text's code points with every run of white space as one space, in pieces cut at spaces.
+        """The lower-case text's code points with every run of white space as one space, in pieces cut at spaces.
 
-        A piece begins with the last word of the piece before, which says whether its first word repeats it; features
+        A piece begins with the last word of the piece before, which makes a pair with its first own word; features
         from the given position on are the piece's own. A word longer than a piece is a piece.
         """
-        codes = np.frombuffer(" ".join(["", *(text or "").split(), ""]).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(" ".join(["", *(text or "").lower().split(), ""]).encode("utf-32-le"), np.uint32)
         spaces = np.flatnonzero(codes == 32)
         last, before = 0, 0  # numbers of the space that the piece begins with, and of the one before
         while last < len(spaces) - 1:
@@ -90,11 +93,12 @@ class Features:
             last, before = end, end - 1
 
     def bag(self, text: str | None) -> np.ndarray:
-        found = [ids[at >= own] for own, codes in self.pieces(text) for at, ids in self._of(codes)]
+        """Feature ids, each as often as it weighs."""
+        found = [np.repeat(ids[at >= own], weight) for own, codes in self.pieces(text) for at, ids, weight in self._of(codes)]
         return np.concatenate(found) if found else np.empty(0, np.int32)
 
     def sums(self, texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text, the sum of its features' weights (rows of the table) and their number."""
+        """For each text, the weighted sum of its features' rows of the table and the sum of their weights."""
         total, number = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
         group: list[np.ndarray] = []
         owners: list[int] = []
@@ -105,15 +109,15 @@ class Features:
                 codes = np.concatenate(group)
                 bounds = np.cumsum([0, *map(len, group)])
                 first = bounds[:-1] + np.asarray(skipped)
-                for at, ids in self._of(codes):
+                for at, ids, weight in self._of(codes):
                     part = np.searchsorted(bounds, at, "right") - 1
                     if any(skipped):
                         mine = at >= first[part]
                         part, ids = part[mine], ids[mine]
                     own = np.asarray(owners)[part]
-                    number[:] += np.bincount(own, minlength=len(texts))
+                    number[:] += weight * np.bincount(own, minlength=len(texts))
                     for c in range(weights.shape[1]):
-                        total[:, c] += np.bincount(own, weights[ids, c], len(texts))
+                        total[:, c] += weight * np.bincount(own, weights[ids, c], len(texts))
                 for held in (group, owners, skipped):
                     held.clear()
 
@@ -223,7 +227,7 @@ def score(docs: DataFrame, model: Model, label: int = 1, text_col: str = "text",
     """
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[c for c in docs.columns if c != score_col], F.col(text_col).alias(score_col))
+    rows = docs.select(*[c for c in docs.columns if c.lower() != score_col.lower()], F.col(text_col).alias(score_col))
 
     def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, features = sent.value, Features()

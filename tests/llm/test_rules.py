@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -122,6 +123,17 @@ def test_finds_by_brute_force(seed):
     assert [(at[f["start"]], f["license"]) for f in licenses.scan(text, templates)] == slow_finds(text, templates)
 
 
+def test_time_grows_with_the_text():
+    """Five hundred copies of a license, and 5 MB of nothing but a key word, each within seconds."""
+    mit = licenses.TEMPLATES["MIT"][0]
+    began = time.process_time()
+    found = licenses.scan("\n\n".join([mit] * 500), known())
+    assert [(f["license"], f["exact"]) for f in found] == [("MIT", True)] * 500
+    key = next(t.key for t in known() if t.name == "MIT")
+    assert licenses.scan(f"{mit}\n" + f"{key} " * (5_000_000 // (len(key) + 1)), known())[0]["license"] == "MIT"
+    assert time.process_time() - began < 40
+
+
 def test_license_rows_of_edge_cases(spark):
     rows = EDGE + [(30, licenses.TEMPLATES["MIT notice"][0])] * 2 + [(None, licenses.TEMPLATES["BSD notice"][0])]
     got = licenses.find_licenses(documents(spark, rows)).collect()
@@ -298,6 +310,39 @@ def test_links_of_pages(spark):
     assert sorted(map(tuple, url_filter.canonical_edges(pages).collect())) == [("u0", "http://a.net/?x=1&y=2"), ("u1", "http://b.org/x")]
 
 
+RELATIVE = [
+    ("https://Ex.org/a/b?q#f", link, want) for link, want in [
+        ("/x", "https://Ex.org/x"), ("//other.net/y?z", "https://other.net/y?z"), ("x/y?z=/../#f", "https://Ex.org/a/x/y?z=/../#f"), ("?p=2", "https://Ex.org/a/b?p=2"), ("../../up/./x/../y/.", "https://Ex.org/up/y/"), ("./", "https://Ex.org/a/"),
+        ("..", "https://Ex.org/"), ("#here", None), ("mailto:a@b.c", None), ("javascript:x", None), ("HTTP://Z.net/", "HTTP://Z.net/"), ("/a/../../..", "https://Ex.org/"), ("/u?x=http://y", "https://Ex.org/u?x=http://y"),
+    ]
+] + [("https://bare.org", "x", "https://bare.org/x"), ("https://bare.org", "?q", "https://bare.org?q"), ("no scheme", "/x", None), (None, "/x", None), (None, "http://a.b/", None), ("ftp://h/d/", "//i/", "ftp://i/")]
+
+
+def test_relative_links_are_resolved(spark):
+    """In Spark and in the SQL of the query, and they carry a block like any other."""
+    from compare import assert_same, connect
+
+    pages = spark.createDataFrame([(i, u, f"<link rel=canonical href='{link}'>") for i, (u, link, _) in enumerate(RELATIVE)], "page_id long, url string, html string")
+    assert sorted(map(tuple, url_filter.canonical_edges(pages).filter("u is not null").collect())) == sorted((u, want) for u, _, want in RELATIVE if want and u)
+    both = pages.unionByName(spark.createDataFrame([(100, "http://ok.org/de/1", "<link rel=canonical href=//www.some.net/>"), (101, "http://ok.org/x", "<meta http-equiv=refresh content='0;url=de/1'>"), (102, "http://free.org/y", "<link rel=canonical href=/z>")], pages.schema))
+    c = connect(SF)
+    frame = both.toPandas()  # noqa: F841
+    c.execute("CREATE OR REPLACE VIEW pages AS SELECT * FROM frame")
+    from millrace.llm.queries import URL_RULES
+
+    judged = url_filter.judge_urls(both, URL_RULES, url_filter.canonical_edges(both))
+    assert_same(judged, SQL["op10_url_filter"], c)
+    assert {r["page_id"]: r["verdict"] for r in judged.collect() if r["page_id"] >= 100} == {100: "block", 101: "block", 102: "allow"}
+
+
+def test_one_address_of_most_pages_and_many_without(spark):
+    rows = [(i, "http://a.net/x" if i % 3 == 0 else None if i % 3 == 1 else f"http://free{i}.org/") for i in range(3000)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    edges = spark.createDataFrame([("http://a.net/x", "http://free2.org/")], "u string, v string")
+    got = Counter((r["verdict"], r["rule"]) for r in url_filter.judge_urls(table, [("a.net", "/", "block")], edges).collect())
+    assert got == {("block", "a.net/"): 1000, ("block", None): 1, ("allow", None): 1999}
+
+
 def test_url_query_matches_sql(spark):
     from compare import assert_same, connect
 
