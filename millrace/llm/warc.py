@@ -147,7 +147,7 @@ def write_warc(rows: DataFrame, path: str, id_col: str, uri_col: str, text_col:
         yield from _batches(found(), ["record"], [pa.binary()], lambda r: len(r[0]))
 
     lines = dealt.mapInArrow(write, "record binary").select(F.col("record").cast("string"))
-    lines.write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", GAP.decode()).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).text(path)
     first.drop()
 
 
@@ -284,7 +284,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     astray = segments.filter("origin is null").withColumn("status", F.lit("segments")).drop("origin")
     once = segments.filter("origin is not null").groupBy("origin", "number").agg(F.count("*").alias("copies"), rest).select("origin", "number", "copies", "rest.*")
     joined = once.groupBy("origin").applyInArrow(_reassemble(payloads), f"{COLUMNS}, copies long")
-    again = joined.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "nth")
+    again = Saved(joined).df.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "nth")
     records = read.filter("number is null").unionByName(again).unionByName(astray).drop("number", "total", "block")
     revisits = records.filter("type = 'revisit'").withColumnRenamed("of", "target").drop("bytes", "status")
     uses = revisits.groupBy("target").agg(F.count("*").alias("uses"))
