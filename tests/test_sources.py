@@ -160,7 +160,7 @@ def test_mailbox_scan(spark, tmp_path):
     (tmp_path / "junk.eml").write_bytes(b"\xff\xfe\x00junk")
     box = alerts.read_mail(spark, str(tmp_path))
     got = by_id(alerts.alert_postings(box, alerts.LINKEDIN, datetime(2024, 5, 8)))
-    assert set(got) == {"11", "12"} and got["11"]["arrangement"] == "remote" and got["11"]["remote"] is True and got["12"]["remote"] is False and got["11"]["posted_at"] == datetime(2024, 5, 6, 10)
+    assert set(got) == {"11", "12", "14", "15"} and got["11"]["arrangement"] == "remote" and got["11"]["remote"] is True and got["12"]["remote"] is False and got["11"]["posted_at"] == datetime(2024, 5, 6, 10)
     assert alerts.alert_postings(box, alerts.WELLFOUND, datetime(2024, 5, 8)).count() == 0
 
 
