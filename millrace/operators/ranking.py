@@ -61,6 +61,37 @@ def with_viewer_state(pool: DataFrame, state: DataFrame, viewer: int) -> DataFra
     return pool.join(own, "id", "left")
 
 
+def store_by_id(rows: DataFrame, table: str, folder: str, id_col: str, buckets: int) -> None:
+    """rows as a table of the catalog, kept below folder in buckets of the id, each sorted by it, in place of an earlier one.
+
+    Two tables stored so with the same number of buckets are joined on the id without an exchange.
+    """
+    rows.repartition(buckets, id_col).write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col).option("path", folder).saveAsTable(table)
+
+
+def stored_with_viewer_state(pool: DataFrame, state: DataFrame, viewer: int | None = None) -> DataFrame:
+    """with_viewer_state() over tables of store_by_id(), the state by its job_id; for every viewer that has a state of a row, if none is named.
+
+    The merge hint keeps Spark from gathering either side: a bucket of one meets the same bucket of the other where it lies.
+    """
+    own = state if viewer is None else state.filter(F.col("user_id") == viewer)
+    columns = ["job_id", "status"] + (["user_id"] if viewer is None else [])
+    return pool.hint("merge").join(own.select(*columns), F.col("id") == F.col("job_id"), "left").drop("job_id")
+
+
+def serialize_view(view: dict) -> dict[str, str]:
+    """Request parameters of a view; what is as by default is left out."""
+    shown = {"bucket": view["bucket"] if view["bucket"] != "inbox" else None, "q": view["query"], "page": str(view["page"]) if view["page"] > 1 else None}
+    return {k: v for k, v in shown.items() if v}
+
+
+def with_view(view: dict, **changes) -> dict:
+    """The view after changes; another pile or search begins at the first page unless the change names one."""
+    after = view | changes
+    moved = any(after[k] != view[k] for k in ("bucket", "query"))
+    return after | ({"page": 1} if moved and "page" not in changes else {})
+
+
 def contains_text(needle: str, *columns: Column) -> Column:
     """Literal search in any of the columns, whatever the case; a blank needle finds all."""
     needle = needle.strip().lower()

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
-from millrace.functions import facts, settings
-from millrace.operators import backfill, stages
+from millrace.functions import facts, lexicon, settings
+from millrace.operators import actions, backfill, ranking, schemas, stages
 from millrace.plans import adapters as A
 from millrace.plans import catalogue
-from millrace.sources import sifting
-from millrace.streaming import watch
+from millrace.sources import mailbox, sifting
+from millrace.streaming import retries, watch
 from millrace.streaming.folders import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,12 @@ def query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
+def _run_to_end(stream: StreamingQuery) -> None:
+    stream.awaitTermination()
+    if stream.exception():
+        raise RuntimeError(str(stream.exception()))
+
+
 #: Ten o'clock UTC on 1 May 2024, in seconds.
 MAY = 1714557600
 
@@ -39,10 +46,7 @@ def reply_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent, at = F.col("role") == "assistant", F.timestamp_seconds(F.lit(MAY) + F.col("turn") * 3600 + F.col("conv_id") % 3600)
     rows = turns.select("ord", sent.alias("sent"), "message_id", "in_reply_to", "references", F.when(sent, F.col("address")).alias("sent_to"), F.when(~sent, F.col("address")).alias("sender"), at.alias("at"))
     rows.repartition(4, "ord").write.parquet(f"{folder}/in")
-    stream = watch.watch_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", per_batch=2)
-    stream.awaitTermination()
-    if stream.exception():
-        raise RuntimeError(str(stream.exception()))
+    _run_to_end(watch.watch_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", per_batch=2))
     found = watch.matches(spark, f"{folder}/out")
     closes = found.groupBy("ref_ord").agg(F.min("ord").alias("first"))
     return found.join(closes, "ref_ord").select("ord", "ref_ord", "matched_by", F.unix_timestamp("replied_at").alias("replied"), (F.col("first") == F.col("ord")).alias("closes"))
@@ -156,3 +160,105 @@ def requeued_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir).withColumns({"company": F.when(key % 2 == 0, "Unknown").otherwise("Acme"), "url": F.when(key % 7 != 0, F.concat(F.lit("https://www.linkedin.com/jobs/view/"), key.cast("string"))).otherwise("https://x.org/"), "attempts": F.col("attempts").cast("int")})
     cache = A.table(spark, sf_dir, "orders").filter("o_orderkey % 13 = 0").select(F.col("o_orderkey").cast("string").alias("job_id"))
     return backfill.requeued(rows, cache).select("id", "requeued", "stage", F.col("attempts").cast("long").alias("attempts"), "next_attempt_at")
+
+
+@query(f"""SELECT doc_id, 'box' || doc_id % 3 AS folder, '<' || doc_id || '@x>' AS message_id, {MAY} + 86400 * (doc_id % 28) AS sent, md5(trim(coalesce(text, ''), chr(10))) AS body
+    FROM documents WHERE doc_id % 28 >= 14 AND doc_id % 3 < 2 AND doc_id % 5 > 0""")
+def mailbox_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as messages in mbox files of three folders, read by folder, sender's domain and date; null texts are empty messages."""
+    key, folder = F.col("doc_id"), scratch(spark, "mailbox")
+    date = F.date_format(F.timestamp_seconds(F.lit(MAY) + 86400 * (key % 28)), "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+    lines = [
+        F.lit("From x"), F.concat(F.lit("From: Ann <ann@"), F.when(key % 5 > 0, "jobs.example").otherwise("else.example"), F.lit(">")), F.concat(F.lit("Subject: "), key.cast("string")), F.concat(F.lit("Date: "), date),
+        F.concat(F.lit("Message-ID: <"), key.cast("string"), F.lit("@x>")), F.lit("MIME-Version: 1.0"), F.lit("Content-Transfer-Encoding: 8bit"), F.lit("Content-Type: text/html; charset=utf-8"), F.lit(""),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^(>*From )", ">$1"),
+    ]
+    rows = A.table(spark, sf_dir, "documents").select(F.array_join(F.array(*lines), "\n").alias("value"), F.concat(F.lit("box"), (key % 3).cast("string")).alias("folder"))
+    for name in ("box0", "box1", "box2"):
+        rows.filter(F.col("folder") == name).select("value").write.text(f"{folder}/{name}")
+    box = mailbox.read_mailbox(spark, folder)
+    late = box.filter((F.col("date") >= F.timestamp_seconds(F.lit(MAY + 86400 * 14))) & F.col("folder").isin("box0", "box1") & (F.col("domain") == "jobs.example"))
+    own = F.trim(F.regexp_replace("html", "\r\n", "\n"), F.lit("\n"))
+    return late.select(F.col("subject").cast("long").alias("doc_id"), "folder", "message_id", F.unix_timestamp("date").alias("sent"), F.md5(own).alias("body"))
+
+
+@query("""SELECT o_orderkey AS id, 'orders' AS source, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS BIGINT) WHEN 1 THEN CAST(o_custkey % 100 AS BIGINT) ELSE o_custkey + 5000000000 END AS amount,
+    CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderstatus || ',x' ELSE '' END AS tags, CASE WHEN o_orderkey % 3 = 2 THEN 'score' ELSE 'done' END AS stage, CASE WHEN o_orderkey % 3 = 2 THEN 'a' ELSE 'orders' END AS sources,
+    CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS price, 'v' || (o_orderkey % 3 + 1) AS version FROM orders""")
+def schema_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a table whose columns were added, widened and turned into lists, as one; rows of versions without a stage are done."""
+    folder, key = scratch(spark, "versions"), F.col("o_orderkey")
+    orders = A.table(spark, sf_dir, "orders").withColumn("source", F.lit("orders"))
+    orders.filter(key % 3 == 0).select(key.cast("int").alias("id"), "source", F.col("o_custkey").cast("int").alias("amount"), F.col("o_orderstatus").alias("tags")).write.parquet(f"{folder}/v1")
+    orders.filter(key % 3 == 1).select(key.alias("id"), "source", (F.col("o_custkey") % 100).cast("smallint").alias("amount"), F.array("o_orderstatus", F.lit("x")).alias("TAGS"), F.col("o_totalprice").alias("price")).write.parquet(f"{folder}/v2")
+    orders.filter(key % 3 == 2).select(key.alias("id"), "source", (F.col("o_custkey") + 5_000_000_000).alias("amount"), F.array().cast("array<string>").alias("tags"), F.lit("score").alias("stage"), F.array(F.lit("a")).alias("sources")).write.parquet(f"{folder}/v3")
+    rows = schemas.reconciled(schemas.stored_versions(spark, folder), ["source", "id"], {"stage": F.lit("done"), "sources": F.array("source")}, "version")
+    return rows.select("id", "source", "amount", F.array_join("tags", ",").alias("tags"), "stage", F.array_join("sources", ",").alias("sources"), "price", "version")
+
+
+@query(f"""WITH {A.POOL_SQL}, {A.STATE_SQL} SELECT p.id, s.user_id, s.status, p.title FROM pool p LEFT JOIN state s ON s.job_id = p.id""")
+def stored_pool_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every viewer's state beside the pool, both kept in buckets of the posting's id, so that neither is shuffled again."""
+    folder = scratch(spark, "buckets")
+    name = folder.rsplit("-", 1)[1]
+    ranking.store_by_id(A.pool(spark, sf_dir).select("id", "title"), f"pool_{name}", f"{folder}/pool", "id", 8)
+    ranking.store_by_id(A.viewer_state(spark, sf_dir), f"state_{name}", f"{folder}/state", "job_id", 8)
+    return ranking.stored_with_viewer_state(spark.table(f"pool_{name}"), spark.table(f"state_{name}")).select("id", "user_id", "status", "title")
+
+
+_MARKS = "marks AS (SELECT event_id AS ord, CASE WHEN event_id % 9 = 0 THEN -event_id WHEN event_id % 9 = 1 THEN NULL WHEN event_id % 9 = 2 THEN event_id + 1000000000 ELSE user_id END AS job_id, CASE event_type WHEN 'error' THEN true WHEN 'click' THEN false END AS undo FROM events)"
+
+
+@query(f"""WITH {_MARKS}, last AS (SELECT job_id, coalesce(undo, false) AS undone FROM marks WHERE job_id IN (SELECT o_orderkey FROM orders) AND job_id > 0 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ord DESC) = 1)
+    SELECT o_orderkey AS id, CASE WHEN undone THEN 'ready_for_review' WHEN NOT undone THEN 'applied' ELSE o_orderstatus END AS status, CASE WHEN undone IS NULL OR o_orderkey % 2 = 0 THEN 'old' WHEN undone THEN 'ready_for_review' ELSE 'sent' END AS application,
+        CASE WHEN undone IS NULL OR o_orderkey % 2 = 0 THEN 1 WHEN undone THEN NULL ELSE 2 END AS sent FROM orders LEFT JOIN last ON job_id = o_orderkey
+    UNION ALL SELECT job_id, 'refused', CASE WHEN job_id IS NULL OR job_id <= 0 THEN 'a positive id is needed' ELSE 'job not found' END, NULL FROM marks WHERE job_id IS NULL OR job_id <= 0 OR job_id NOT IN (SELECT o_orderkey FROM orders)""")
+def marks_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as marks of postings: which postings and applications follow, and which marks are refused."""
+    event, key = F.col("event_id"), F.col("o_orderkey")
+    target = F.when(event % 9 == 0, -event).when(event % 9 == 1, F.lit(None)).when(event % 9 == 2, event + 1_000_000_000).otherwise(F.col("user_id"))
+    marks = A.table(spark, sf_dir, "events").select(event.alias("ord"), target.cast("long").alias("job_id"), F.when(F.col("event_type") == "error", True).when(F.col("event_type") == "click", False).alias("undo"))
+    orders = A.table(spark, sf_dir, "orders")
+    jobs = orders.select(key.alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("timestamp").alias("updated_at"))
+    applications = orders.select(key.alias("job_id"), F.when(key % 2 == 1, "manual_portal").otherwise("auto").alias("send_mode"), F.lit("old").alias("status"), F.timestamp_seconds(F.lit(1)).alias("sent_at"))
+    after, sent, refused = actions.mark_applied(jobs, applications, marks, A.NOW)
+    when = F.when(F.col("sent_at") == F.lit(A.NOW), 2).when(F.col("sent_at").isNotNull(), 1)
+    both = after.join(sent.select(F.col("job_id").alias("id"), F.col("status").alias("application"), when.alias("sent")), "id").select("id", "status", "application", "sent")
+    return both.unionByName(refused.select(F.col("job_id").alias("id"), F.lit("refused").alias("status"), F.col("reason").alias("application"), F.lit(None).cast("int").alias("sent")))
+
+
+@query("""WITH lines AS (SELECT user_id % 40 AS run_id, event_id AS ord, CASE WHEN event_type = 'error' THEN 'error' ELSE 'notice' END AS kind, event_type || ' ' || event_id AS text FROM events WHERE event_type IN ('error', 'view') AND user_id % 7 > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY ord) AS n, count(*) OVER (PARTITION BY run_id, kind) AS total FROM lines),
+    parts AS (
+        SELECT run_id, kind, kind || 's (' || max(total) || '):' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY ord) || CASE WHEN max(total) > count(*) THEN chr(10) || '- and ' || (max(total) - count(*)) || ' more' ELSE '' END AS part, max(total) AS total
+        FROM ranked WHERE n <= CASE kind WHEN 'error' THEN 40 ELSE 20 END GROUP BY run_id, kind),
+    runs AS (SELECT DISTINCT user_id % 40 AS run_id FROM events)
+    SELECT r.run_id, coalesce(e.total, 0) AS n_errors, coalesce(n.total, 0) AS n_notices, coalesce(e.part, 'no errors') || coalesce(chr(10) || n.part, '') AS report
+    FROM runs r LEFT JOIN parts e ON e.run_id = r.run_id AND e.kind = 'error' LEFT JOIN parts n ON n.run_id = r.run_id AND n.kind = 'notice'""")
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log row for each run, of which only the first lines are shown and all are counted."""
+    events = A.table(spark, sf_dir, "events").withColumn("run_id", F.col("user_id") % 40)
+    kind = F.when(F.col("event_type") == "error", "error").otherwise("notice")
+    lines = events.filter(F.col("event_type").isin("error", "view") & (F.col("user_id") % 7 > 0)).select("run_id", F.col("event_id").alias("ord"), kind.alias("kind"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text"))
+    return actions.run_log(events.select("run_id").distinct(), lines)
+
+
+#: Seconds between one failure of all rows and the next; each waits less.
+_ROUND = 25_000
+
+
+@query(f"""WITH {A.POOL_SQL}, tries AS (SELECT id, CAST(k AS INTEGER) AS k FROM pool, range(1, {lexicon.MAX_ATTEMPTS} + 2) AS r(k) WHERE k <= attempts + 1 AND k <= {lexicon.MAX_ATTEMPTS}),
+    waits AS (SELECT id, k, {MAY} + k * {_ROUND} AS at, least(60 * pow(2, k - 1), 21600)::BIGINT + id % 17 AS wait FROM tries)
+    SELECT id, k AS attempts, CASE WHEN k = {lexicon.MAX_ATTEMPTS} THEN 'given up' ELSE 'waiting' END AS change, at, CASE WHEN k < {lexicon.MAX_ATTEMPTS} THEN at + wait END AS due FROM waits
+    UNION ALL SELECT id, k, 'due', at + wait, at + wait FROM waits WHERE k < {lexicon.MAX_ATTEMPTS}""")
+def retry_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that fail again and again over a scripted day: when each waits, is due and is given up."""
+    folder, rows = scratch(spark, "retries"), A.pool(spark, sf_dir).select("id", "attempts")
+    for k in range(1, lexicon.MAX_ATTEMPTS + 1):
+        at = F.timestamp_seconds(F.lit(MAY + k * _ROUND))
+        rows.filter(F.col("attempts") + 1 >= k).select("id", F.lit("failed").alias("kind"), at.alias("at"), F.lit("x").alias("error")).coalesce(8).write.mode("append").parquet(f"{folder}/in/{2 * k:02}")
+        tick = F.timestamp_seconds(F.lit(MAY + (k + 1) * _ROUND - 1))
+        _run_to_end(retries.retry_stream(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state"))  # the clock goes on with each run
+        rows.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("tick").alias("kind"), tick.alias("at"), F.lit(None).cast("string").alias("error")).coalesce(1).write.mode("append").parquet(f"{folder}/in/{2 * k + 1:02}")
+        _run_to_end(retries.retry_stream(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state"))
+    return retries.changes(spark, f"{folder}/out").select("id", "attempts", "change", F.unix_timestamp("at").alias("at"), F.unix_timestamp("due").alias("due"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +50,14 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def read_sources(spark: SparkSession, sources: list[Source], settings: dict, payloads: Callable[[str], DataFrame], readers: dict[str, Callable[[], DataFrame]] | None = None, folder: str | None = None) -> Reading:
+def read_sources(spark: SparkSession, sources: list[Source], settings: dict, payloads: Callable[[str], DataFrame], readers: dict[str, Callable[[], DataFrame]] | None = None, folder: str | None = None, at_once: int = 8) -> Reading:
     """Every source that is on, in the catalogue's order. A source that fails is an error of its own and stops no other.
 
     payloads gives the payloads of a source by name; readers gives the rows of sources that are not feeds. With a
     folder, each source is written below it, replacing what is there, and read again, so a failure while its rows are
     made is its own error too; without one, rows are made when they are used, and such a failure stops the whole union.
     """
-    parts, out, readers = [], Reading(None), readers or {}
+    out, readers, wanted = Reading(None), readers or {}, []
     schema = feeds.LEAD if sources and sources[0].kind == "lead" else feeds.POSTING
     for s in sources:
         missing = [n for n in s.needs if not settings.get(n)]
@@ -64,14 +66,23 @@ def read_sources(spark: SparkSession, sources: list[Source], settings: dict, pay
         elif missing:
             out.skipped[s.name] = f"set {' and '.join(missing)}"
         else:
-            try:
-                rows = readers[s.name]() if s.read is None else s.read(payloads(s.name))
-                if folder is not None:
-                    rows.write.mode("overwrite").parquet(f"{folder}/{s.name}")
-                    rows = spark.read.schema(rows.schema).parquet(f"{folder}/{s.name}")
-                parts.append(rows)
-            except Exception as e:  # noqa: BLE001
-                out.errors[s.name] = f"{s.name}: {e}"
+            wanted.append(s)
+
+    def read(s: Source) -> DataFrame | Exception:
+        try:
+            rows = readers[s.name]() if s.read is None else s.read(payloads(s.name))
+            if folder is not None:
+                rows.write.mode("overwrite").parquet(f"{folder}/{s.name}")
+                rows = spark.read.schema(rows.schema).parquet(f"{folder}/{s.name}")
+            return rows
+        except Exception as e:  # noqa: BLE001
+            return e
+
+    # sources are read side by side, so that a slow one keeps no other waiting
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(inheritable_thread_target(spark)(read), wanted))
+    parts = [r for r in results if not isinstance(r, Exception)]
+    out.errors = {s.name: f"{s.name}: {r}" for s, r in zip(wanted, results, strict=True) if isinstance(r, Exception)}
     empty = spark.createDataFrame([], "payload string, pos int, " + ", ".join(f"{c} {t}" for c, t in schema.items()))
     out.rows = union_sources(parts or [empty])
     return out
