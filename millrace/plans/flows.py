@@ -247,18 +247,19 @@ def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROUND = 25_000
 
 
-@query(f"""WITH {A.POOL_SQL}, tries AS (SELECT id, CAST(k AS INTEGER) AS k FROM pool, range(1, {lexicon.MAX_ATTEMPTS} + 2) AS r(k) WHERE k <= attempts + 1 AND k <= {lexicon.MAX_ATTEMPTS}),
-    waits AS (SELECT id, k, {MAY} + k * {_ROUND} AS at, least(60 * pow(2, k - 1), 21600)::BIGINT + id % 17 AS wait FROM tries)
-    SELECT id, k AS attempts, CASE WHEN k = {lexicon.MAX_ATTEMPTS} THEN 'given up' ELSE 'waiting' END AS change, at, CASE WHEN k < {lexicon.MAX_ATTEMPTS} THEN at + wait END AS due FROM waits
-    UNION ALL SELECT id, k, 'due', at + wait, at + wait FROM waits WHERE k < {lexicon.MAX_ATTEMPTS}""")
+@query(f"""WITH tries AS (SELECT s_suppkey AS id, CAST(k AS INTEGER) AS k FROM supplier, range(1, {lexicon.MAX_ATTEMPTS} + 2) AS r(k) WHERE k <= s_suppkey % 6 + 1 AND k <= {lexicon.MAX_ATTEMPTS}),
+    waits AS (SELECT id, k, {MAY} + k * {_ROUND} AS happened, least(60 * pow(2, k - 1), 21600)::BIGINT + id % 17 AS wait FROM tries)
+    SELECT id, k AS attempts, CASE WHEN k = {lexicon.MAX_ATTEMPTS} THEN 'given up' ELSE 'waiting' END AS change, happened, CASE WHEN k < {lexicon.MAX_ATTEMPTS} THEN happened + wait END AS due FROM waits
+    UNION ALL SELECT id, k, 'due', happened + wait, happened + wait FROM waits WHERE k < {lexicon.MAX_ATTEMPTS}""")
 def retry_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that fail again and again over a scripted day: when each waits, is due and is given up."""
-    folder, rows = scratch(spark, "retries"), A.pool(spark, sf_dir).select("id", "attempts")
+    """Suppliers that fail again and again over a scripted day: when each waits, is due and is given up."""
+    folder, key = scratch(spark, "retries"), F.col("s_suppkey")
+    rows = A.table(spark, sf_dir, "supplier").select(key.alias("id"), (key % 6).alias("attempts"))
     for k in range(1, lexicon.MAX_ATTEMPTS + 1):
-        at = F.timestamp_seconds(F.lit(MAY + k * _ROUND))
-        rows.filter(F.col("attempts") + 1 >= k).select("id", F.lit("failed").alias("kind"), at.alias("at"), F.lit("x").alias("error")).coalesce(8).write.mode("append").parquet(f"{folder}/in/{2 * k:02}")
-        tick = F.timestamp_seconds(F.lit(MAY + (k + 1) * _ROUND - 1))
-        _run_to_end(retries.retry_stream(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state"))  # the clock goes on with each run
-        rows.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("tick").alias("kind"), tick.alias("at"), F.lit(None).cast("string").alias("error")).coalesce(1).write.mode("append").parquet(f"{folder}/in/{2 * k + 1:02}")
-        _run_to_end(retries.retry_stream(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state"))
-    return retries.changes(spark, f"{folder}/out").select("id", "attempts", "change", F.unix_timestamp("at").alias("at"), F.unix_timestamp("due").alias("due"))
+        at, tick = F.timestamp_seconds(F.lit(MAY + k * _ROUND)), F.timestamp_seconds(F.lit(MAY + (k + 1) * _ROUND - 1))
+        events = rows.filter(F.col("attempts") + 1 >= k).select("id", F.lit("failed").alias("kind"), at.alias("at"), F.lit("x").alias("error"))
+        events.coalesce(1).write.parquet(f"{folder}/in/{k}-failed")
+        # the clock goes on to just before the next failure
+        spark.range(1).select((-F.col("id") - 1).alias("id"), F.lit("tick").alias("kind"), tick.alias("at"), F.lit(None).cast("string").alias("error")).coalesce(1).write.parquet(f"{folder}/in/{k}-tick")
+    _run_to_end(retries.retry_stream(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/state", per_batch=1))
+    return retries.changes(spark, f"{folder}/out").select("id", "attempts", "change", F.unix_timestamp("at").alias("happened"), F.unix_timestamp("due").alias("due"))

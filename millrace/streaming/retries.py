@@ -51,16 +51,20 @@ class Retrier(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
-        attempts, due, _ = self.state.get() if self.state.exists() else (0, None, None)
-        before, out, error = due, [], None
+        attempts, due, last = self.state.get() if self.state.exists() else (0, None, None)
+        before, out = due, []
         for kind, at, error in zip(events["kind"], events["at"].astype("datetime64[ms]").astype("int64"), events["error"], strict=True):
             error = error if isinstance(error, str) else None
+            if due is not None and due <= int(at) and not self.by_clock:  # its time came before this, though its timer did not run out yet
+                out.append((key[0], "due", attempts, _time(due), _time(due), last))
+                due = None
             if kind == "failed":
                 attempts += 1
                 now = int(timerValues.getCurrentProcessingTimeInMs()) if self.by_clock else int(at)
                 due = None if attempts >= self.most else now + 1000 * delay_seconds(attempts, key[0])
                 out.append((key[0], "waiting" if due else "given up", attempts, _time(int(at)), _time(due), error and error[:500]))
-                self.state.update((attempts, due, error and error[:500])) if due else self.state.clear()
+                last = error and error[:500]
+                self.state.update((attempts, due, last)) if due else self.state.clear()
                 attempts = attempts if due else 0
             elif kind == "done":
                 out.append((key[0], "done", attempts, _time(int(at)), None, None))
@@ -109,6 +113,6 @@ def changes(spark: SparkSession, out: str) -> DataFrame:
 
 
 def queue_now(spark: SparkSession, out: str) -> DataFrame:
-    """(id, attempts, state, due, error): the last change of each row; due counts after the waiting that it ends."""
-    rank = F.struct("batch", "at", F.col("change") == "due")
+    """(id, attempts, state, due, error): the last change of each row; of one batch the last by its time."""
+    rank = F.struct("batch", "at", F.col("change") != "due")
     return changes(spark, out).groupBy("id").agg(F.max_by(F.struct("attempts", F.col("change").alias("state"), "due", "error"), rank).alias("last")).select("id", "last.*")
