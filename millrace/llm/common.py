@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,21 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Lists of what is written now, the innermost temporary() last.
+_made: list[list[Saved]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[Saved]]:
+    """Drops all tables that are written within, but for those that are taken out of the list."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        for saved in _made.pop():
+            saved.drop()
+
+
 class Saved:
     """A DataFrame written to the shared folder, so that what reads it has no lineage; drop() deletes the files.
 
@@ -65,6 +81,8 @@ class Saved:
         df.write.parquet(self.path)
         until_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _made:
+            _made[-1].append(self)
 
     def drop(self) -> None:
         files, at = _files(self.spark, self.path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import HOT, Saved, free_name, join_unique
+from millrace.llm.common import HOT, Saved, free_name, join_unique, temporary
 from millrace.llm.components import connected_components
 from millrace.llm.simhash import RADIUS, covering_masks, near_links
 from millrace.ship import ship
@@ -202,7 +202,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("t"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    prints = Saved(rows.mapInArrow(_prints(words, bands_for(similarity)), kinds + ", fp long, s array<int>, keys array<long>")).df
+    # z: how many shingles a text has, which goes with its hash wherever pairs are made
+    prints = Saved(rows.mapInArrow(_prints(words, bands_for(similarity)), kinds + ", fp long, s array<int>, keys array<long>").withColumn("z", F.size("s"))).df
     copies = Saved(prints.groupBy("h").agg(F.count("*").alias("n"))).df
 
     def sets(asked: DataFrame) -> DataFrame:
@@ -212,24 +213,24 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def grouped(sure: DataFrame) -> Saved:
         return Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g")))
 
-    least = Saved(prints.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n")))
+    least = Saved(prints.groupBy("fp").agg(F.min(F.struct("h", "z")).alias("least"), F.count("*").alias("n")))
     # written, so that no plan holds all tables' joins
     close = Saved(near_links(least.df.select("fp"), radius, within=neighbours(radius)))
     named = least.df.select("fp", "least")
     far = close.df.join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select("a", "b")
-    same = join_unique(prints.select("h", "fp"), least.df, ["fp"]).select(F.col("h").alias("a"), F.col("least").alias("b"))
+    same = join_unique(prints.select("h", "z", "fp"), least.df, ["fp"]).select(F.struct("h", "z").alias("a"), F.col("least").alias("b"))
     # texts that agree on a band are first held against the least of them; equal texts are one from here on
-    alike = _of_several_groups(prints.select("h", F.col("h").alias("g"), F.explode("keys").alias("key")))
-    sure = _confirmed(far.unionAll(same).unionAll(alike.df.select(F.col("h").alias("a"), F.col("first").alias("b"))), sets, similarity).df
+    alike = _of_several_groups(prints.select("h", "z", F.col("h").alias("g"), F.explode("keys").alias("key")))
+    sure = _confirmed(far.unionAll(same).unionAll(alike.df.select(F.struct("h", "z").alias("a"), F.col("first").alias("b"))), sets, similarity).df
     for done in (least, close):
         done.drop()
     # then all pairs of those that are in different groups still
     parts = grouped(sure)
-    left = _of_several_groups(alike.df.select("h", "key").join(parts.df, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "key"))
+    left = _of_several_groups(alike.df.select("h", "z", "key").join(parts.df, "h", "left").select("h", "z", F.coalesce("g", "h").alias("g"), "key"))
     for done in (parts, alike):
         done.drop()
     few = left.df.filter(F.col("of") <= FEW)
-    two = few.select("key", F.col("h").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.col("h").alias("b"), F.col("g").alias("gb")), "key").filter("a > b and ga != gb")
+    two = few.select("key", F.struct("h", "z").alias("a"), F.col("g").alias("ga")).join(few.select("key", F.struct("h", "z").alias("b"), F.col("g").alias("gb")), "key").filter("a.h > b.h and ga != gb")
     sure = sure.unionAll(_confirmed(two.select("a", "b"), sets, similarity).df).unionAll(_in_blocks(left.df.filter(F.col("of") > FEW), sets, similarity))
     parts = grouped(sure)
     named = Saved(copies.join(parts.df, "h", "left").select("h", F.coalesce("g", "h").alias("group"), "n"))
@@ -239,8 +240,13 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> Saved:
-    """The different pairs (a, b) of texts whose shingles are so similar. Sets that very many pairs ask for are kept in several copies."""
-    asking = Saved(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """The different pairs (a, b) of texts whose shingles are so similar, among pairs of (h, z) structs.
+
+    A pair whose numbers of shingles alone keep it below the similarity goes before any shingles are fetched. Sets that
+    very many pairs ask for are kept in several copies.
+    """
+    near = F.least("a.z", "b.z") >= F.lit(similarity - 1e-9) * F.greatest("a.z", "b.z")
+    asking = Saved(pairs.filter((F.col("a.h") != F.col("b.h")) & near).select(F.greatest("a.h", "b.h").alias("a"), F.least("a.h", "b.h").alias("b")).distinct())
     pairs = asking.df
     asked = Saved(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("n")))
     total = asked.df.agg(F.sum("n")).first()[0] or 0
@@ -261,8 +267,8 @@ def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similar
 
 
 def _of_several_groups(keyed: DataFrame) -> Saved:
-    """Of (h, g, key), the different rows of keys that texts of more than one group have, with the least text and about the number of texts."""
-    entries = keyed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("h").alias("first"), F.count("*").alias("n")).filter("lo != hi")
+    """Of (h, z, g, key), the different rows of keys that texts of more than one group have, with the least text and about the number of texts."""
+    entries = keyed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min(F.struct("h", "z")).alias("first"), F.count("*").alias("n")).filter("lo != hi")
     kept = Saved(entries.select("key", "first", "n", F.col("n").alias("of")))
     found = Saved(join_unique(keyed, kept.df, ["key"]).distinct())
     kept.drop()
@@ -301,10 +307,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are chosen over ids and hashes alone; texts move once, to meet the rows that stay. Of rows that repeat each
     other in id and text, one stays. Columns of any name stay as they are.
     """
-    groups = near_copy_groups(docs, id_col, text_col, words, similarity, radius)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "h")).alias("first")
     own_id, own_h, own_n = (free_name(docs, n) for n in ("first_id", "first_h", "first_n"))
-    stay = groups.groupBy("group").agg(first).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "h")).alias("first")
+    with temporary() as made:  # ids and hashes of those that stay are all that is kept
+        groups = near_copy_groups(docs, id_col, text_col, words, similarity, radius)
+        kept = Saved(groups.groupBy("group").agg(first).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h)))
+        made.remove(kept)
+    stay = kept.df
     mine = docs.withColumn(own_h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = mine.join(stay, mine[id_col].eqNullSafe(stay[own_id]) & (mine[own_h] == stay[own_h])).drop(stay[own_h])
     return joined.withColumn(own_n, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(F.lit(1)))).filter(F.col(own_n) == 1).select(*docs.columns)
