@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The pattern decides a match from its first three characters and the one after it.
 SIGHT = 3
 #: A worker remembers so many pieces.
-CACHED = 30_000
+CACHED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
