@@ -169,3 +169,18 @@ def test_a_batch_writes_only_its_buckets(spark, drop):
     assert len(first) == 40 and last.keys() == first.keys() and sorted(r["id"] for r in last.values()) == list(range(1, 41))
     assert changed == {"acme|dev 7|remote"} and last["acme|dev 7|remote"]["sources"] == ["s", "u"]
     assert len([n for n in ingest._listed(spark, f"{out}/batch=1") if n.startswith("bucket=")]) <= 2
+
+
+def test_buckets_are_dealt_anew_and_old_folders_go(spark, drop):
+    """The table is the same however many buckets it has, and keys stored under another fingerprint stay out."""
+    _, _, out, _ = drop
+    parts = [[posting(f"{k}-{i}", f"Dev {i}", f"Firm {k}", "x", i) for i in range(30)] for k in range(3)] + [[posting("0-5", "Renamed", "Firm 9", "x", 1), posting("z", "Dev 1", "Firm 0", "a longer text about the work", 2, "u")]]
+    for n, rows in enumerate(parts):
+        ingest.ingest_batch(spark, spark.createDataFrame(rows, SCHEMA), out, n, bucket_rows=0 if n == 2 else 1000)
+    last = ingest.manifest(spark, out)
+    assert (last.batch, last.total, last.top, last.buckets) == (3, 90, 90, 2 * ingest.BUCKETS) and {n for n in last.rows.values()} == {2, 3}
+    rows = {r["fingerprint"]: r["sources"] for r in ingest.current(spark, out).collect()}
+    assert len(rows) == 90 and rows["firm 0|dev 1|remote"] == ["s", "u"] and "firm 9|renamed|remote" not in rows
+    assert ingest.current(spark, out, 2).count() == 60
+    assert ingest.expire(spark, out, keep=2) > 50
+    assert ingest.snapshots(spark, out) == [2, 3] and ingest.current(spark, out).count() == 90 and ingest.current(spark, out, 3).count() == 90
