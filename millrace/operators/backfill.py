@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import facts, scoring, text
+from millrace.operators.merging import join_filled
 
 #: Statuses of rows that nobody has acted on; only these go back to scoring or fetching.
 UNTOUCHED = ["rejected", "found"]
@@ -66,7 +67,7 @@ def requeued(rows: DataFrame, cache: DataFrame, unknown: str = "Unknown") -> Dat
     keyed = rows.withColumn("__page", F.when(wanted, text.job_page_id(F.col("url"))))
     known = cache.select(F.col("job_id").cast("string").alias("__page"), F.lit(True).alias("__known")).distinct()
     goes = F.col("__page").isNotNull() & F.col("__known").isNull()
-    marked = keyed.join(known, "__page", "left").withColumn("requeued", goes)
+    marked = join_filled(keyed, known, "__page").withColumn("requeued", goes)
     to = {"stage": F.lit("enrich"), "attempts": F.lit(0), "last_error": F.lit(None), "next_attempt_at": F.lit(None)}
     return marked.withColumns({c: F.when(F.col("requeued"), v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in to.items()}).select(*rows.columns, "requeued")
 

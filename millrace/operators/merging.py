@@ -10,6 +10,14 @@ from millrace.functions.facts import experience
 from millrace.functions.text import informative_length
 
 
+def join_filled(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of known that have their key, and nulls where there is none.
+
+    Rows without a key go around the join, which would bring all of them to the one task that nulls are hashed to.
+    """
+    return rows.filter(F.col(key).isNotNull()).join(known, key, "left").unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Spark cuts each partition to one row a key before the shuffle."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

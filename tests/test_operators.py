@@ -184,3 +184,36 @@ def test_buckets_are_dealt_anew_and_old_folders_go(spark, drop):
     assert ingest.current(spark, out, 2).count() == 60
     assert ingest.expire(spark, out, keep=2) > 50
     assert ingest.snapshots(spark, out) == [2, 3] and ingest.current(spark, out).count() == 90 and ingest.current(spark, out, 3).count() == 90
+
+
+def test_rows_without_a_page_do_not_meet_in_one_task(spark):
+    """Only alert cards have a page to look up; all other rows stay where they are."""
+    from millrace.operators import backfill
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        key = F.col("id")
+        rows = spark.range(0, 4000, 1, 4).select(
+            key, F.when(key % 100 == 0, "linkedin_alert").otherwise("x").alias("source"), F.lit("Unknown").alias("company"), F.lit("found").alias("status"), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), key.cast("string")).alias("url"),
+            F.lit("score").alias("stage"), F.lit(3).alias("attempts"), F.lit("e").alias("last_error"), F.lit(None).cast("timestamp").alias("next_attempt_at"),
+        )
+        got = backfill.requeued(rows, spark.createDataFrame([("100",), ("7",)], "job_id string"))
+        assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 1000
+        assert sorted(r["id"] for r in got.filter("requeued").collect()) == [i for i in range(0, 4000, 100) if i != 100]
+        assert got.count() == 4000 and got.filter("requeued and stage = 'enrich' and attempts = 0 and last_error is null").count() == 39
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_merge_measures_each_text_once(spark):
+    """However many columns follow from the richer text."""
+    kinds = "fingerprint string, source string, source_id string, sources array<string>, title string, description string, apply_email string"
+    batch = spark.createDataFrame([("a", "n", "1", ["n"], "Dev", "At least 5 years of work", ""), ("b", "n", "2", ["n"], None, None, "x@y.z"), ("c", "n", "3", ["n"], "Dev", "same", None), ("d", "n", "4", ["n"], "Dev", "new", None)], kinds)
+    stored = spark.createDataFrame([(1, "a", "o", "1", ["o"], "Dev", "short", None), (2, "b", "o", "2", ["o"], "Dev", "longer text", ""), (3, "c", "o", "3", ["o"], "Dev", "same", None)], f"id long, {kinds}")
+    found = merging.reconcile(batch, stored)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(script|style)") == 2
+    got = {r["fingerprint"]: (r["action"], r["description"], r["stage"], r["min_years"], r["sources"]) for r in found.collect()}
+    assert got == {"a": ("merge", "At least 5 years of work", "score", 5, ["o", "n"]), "b": ("merge", "longer text", None, None, ["o", "n"]), "c": ("merge", "same", None, None, ["o", "n"]), "d": ("insert", "new", "score", None, ["n"])}
