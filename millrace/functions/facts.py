@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon as L
-from millrace.functions.text import END, START, token_pattern
+from millrace.functions.text import END, START, let, token_pattern
 
 YEARS = r"(?:years?|yrs?)(?![a-zA-Z])"
 #: Fixed values, patterns by rule: the first group is the least number of years, the second the most.
@@ -37,15 +37,16 @@ def arrangement(location: Column, tags: Column, remote: Column) -> Column:
 
 def experience(text: Column) -> Column:
     """struct(min_years, max_years, experience_text) of the first highest floor over the rules in order, or null."""
-    def spans(rule: str) -> Column:
+    def spans(rule: str, text: Column) -> Column:
         def span(s: Column) -> Column:
             most = F.nullif(F.regexp_extract(s, rule, 2), F.lit("")).cast("int")
             return F.struct(F.regexp_extract(s, rule, 1).cast("int").alias("min_years"), most.alias("max_years"), F.trim(s).alias("experience_text"))
 
-        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rule), F.lit(0)), span)
+        return F.transform(F.regexp_extract_all(text, F.lit(rule), F.lit(0)), span)
 
     none = F.lit(None).cast("struct<min_years:int,max_years:int,experience_text:string>")
-    return F.aggregate(F.concat(*[spans(r) for r in EXPERIENCE_RULES]), none, lambda best, m: F.when(best.isNull() | (m["min_years"] > best["min_years"]), m).otherwise(best))
+    all_spans = let(F.coalesce(text, F.lit("")), lambda text: F.concat(*[spans(r, text) for r in EXPERIENCE_RULES]))
+    return F.aggregate(all_spans, none, lambda best, m: F.when(best.isNull() | (m["min_years"] > best["min_years"]), m).otherwise(best))
 
 
 def geo(location: Column) -> Column:

@@ -165,13 +165,18 @@ def decode_entities(text: Column) -> Column:
     return F.regexp_replace(out, "(?i)&amp;", "&")
 
 
+def _where(text: Column, letters: str, change: Callable[[Column], Column]) -> Column:
+    """The changed text where it has the letters, without which the change does nothing; else the text."""
+    return let(text, lambda t: F.when(t.contains(letters), change(t)).otherwise(t))
+
+
 def informative_length(text: Column) -> Column:
     """Characters that inform: without markup, entities, addresses and boilerplate, white space squeezed."""
-    out = F.regexp_replace(text, r"(?is)<(script|style)(?![A-Za-z0-9_])[^>]*>.*?</\1>", " ")
-    out = F.regexp_replace(decode_entities(F.regexp_replace(out, "<[^>]*>", " ")), r"https?://\S+", " ")
-    out = F.lower(out)
+    marked = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?is)<(script|style)(?![A-Za-z0-9_])[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
+    out = _where(_where(text, "<", marked), "&", decode_entities)
+    out = F.lower(_where(out, "http", lambda t: F.regexp_replace(t, r"https?://\S+", " ")))
     for pattern in L.BOILERPLATE:
-        out = F.regexp_replace(out, pattern, " ")
+        out = _where(out, "" if "|" in re.sub(r"\(.*?\)", "", pattern) else re.match("[a-z ]*", pattern)[0], lambda t, pattern=pattern: F.regexp_replace(t, pattern, " "))
     return F.length(F.trim(F.regexp_replace(out, r"\s+", " ")))
 
 

@@ -63,10 +63,14 @@ def reconcile(batch: DataFrame, stored: DataFrame) -> DataFrame:
     def info(c: str) -> Column:
         return F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", informative_length(F.col(c))).otherwise(-1)
 
-    richer = F.when(info("description") > info("s_description"), F.col("description")).otherwise(F.col("s_description"))
-    gained = (action == "merge") & ~richer.eqNullSafe(F.col("s_description"))
-    derived = experience(F.concat_ws("\n", "title", richer))
     merging = action == "merge"
+    # each from an array of one, so that a text is measured and searched once, however many columns follow from it
+    richer = F.when(info("description") > info("s_description"), F.col("description")).otherwise(F.col("s_description"))
+    both = both.select("*", F.explode(F.array(F.when(merging, F.when(F.col("description").eqNullSafe(F.col("s_description")), F.col("s_description")).otherwise(richer)))).alias("__richer"))
+    richer = F.col("__richer")
+    gained = merging & ~richer.eqNullSafe(F.col("s_description"))
+    both = both.select("*", F.explode(F.array(F.when(gained, experience(F.concat_ws("\n", "title", richer))))).alias("__derived"))
+    derived = F.col("__derived")
     return both.select(
         "fingerprint", action.alias("action"), F.coalesce("s_id", F.lit(None)).alias("stored_id"), "source", "source_id",
         F.when(merging, richer).otherwise(F.col("description")).alias("description"),
