@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,31 +92,48 @@ def row_arrangement(value: Column) -> Column:
 
 def skills(text: Column, taxonomy: list[tuple[str, float, list[str]]] = L.SKILLS) -> Column:
     """array of struct(name, weight) mentioned in lower-case text; three mentions or more add 1, up to 5."""
-    found = []
-    for name, weight, names in taxonomy:
-        hits = sum((F.when(text.contains(t.lower()), F.regexp_count(text, F.lit(token_pattern(t)))).otherwise(0) for t in [name, *names]), F.lit(0))
-        found.append(F.when(hits > 0, F.struct(F.lit(name).alias("name"), F.when(hits >= 3, F.lit(min(weight + 1, 5.0))).otherwise(F.lit(weight)).alias("weight"))))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+    def mention(name: str, weight: float) -> Callable[[Column], Column]:
+        return lambda n: F.when(n > 0, F.struct(F.lit(name).alias("name"), F.when(n >= 3, F.lit(min(weight + 1, 5.0))).otherwise(F.lit(weight)).alias("weight")))
+
+    def told(text: Column) -> Column:
+        found = []
+        for name, weight, names in taxonomy:
+            hits = sum((F.when(text.contains(t.lower()), F.regexp_count(text, F.lit(token_pattern(t)))).otherwise(0) for t in [name, *names]), F.lit(0))
+            found.append(let(hits, mention(name, weight)))
+        return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+    return let(text, told)
 
 
 def emphasized_skills(text: Column, limit: int = 5, taxonomy: list[tuple[str, float, list[str]]] = L.DEFAULT_SKILLS) -> Column:
-    """Names of the heaviest skills that stand as whole words in the text; ties in the taxonomy's order."""
-    found = []
-    for i, (name, weight, names) in enumerate(taxonomy):
-        either = "|".join(token_pattern(t).replace("s?(?![a-z0-9])", "").replace("(?<![a-z0-9])", "") for t in [name, *names])
-        found.append(F.when(text.rlike(f"(?i)(?:{START}(?=\\w)|(?<=\\w)(?!\\w))(?:{either})(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))"), F.struct(F.lit(-weight).alias("w"), F.lit(i).alias("i"), F.lit(name).alias("name"))))
-    kept = F.filter(F.array(*found), lambda s: s.isNotNull())
+    """Names of the heaviest skills that stand as whole words in the text; ties in the taxonomy's order. Only a text with the letters of a name is searched for its pattern."""
+
+    def told(both: Column) -> Column:
+        text, small, found = both["text"], both["small"], []
+        for i, (name, weight, names) in enumerate(taxonomy):
+            either = "|".join(token_pattern(t).replace("s?(?![a-z0-9])", "").replace("(?<![a-z0-9])", "") for t in [name, *names])
+            plain = reduce(lambda a, b: a | b, [small.contains(t.lower()) for t in [name, *names]])
+            found.append(F.when(plain & text.rlike(f"(?i)(?:{START}(?=\\w)|(?<=\\w)(?!\\w))(?:{either})(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))"), F.struct(F.lit(-weight).alias("w"), F.lit(i).alias("i"), F.lit(name).alias("name"))))
+        return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+    kept = let(let(text, lambda t: F.struct(t.alias("text"), F.lower(t).alias("small"))), told)
     return F.transform(F.slice(F.array_sort(kept), 1, limit), lambda s: s["name"])
 
 
 def target_roles(text: Column) -> Column:
-    """Roles of the vocabulary whose words stand near each other in order, without those that a veto phrase is part of."""
-    found = []
-    for role in L.ROLE_VOCABULARY:
-        if not any(v in role for v in L.VETO_PHRASES):
-            pattern = r"[\s\w.,/-]{0,20}?".join(token_pattern(w) for w in role.split())
-            found.append(F.when(text.rlike(f"(?i){pattern}"), role))
-    return F.filter(F.array(*found), lambda r: r.isNotNull())
+    """Roles of the vocabulary whose words stand near each other in order, without those that a veto phrase is part of. Only a text with the letters of all words is searched for the pattern."""
+
+    def told(both: Column) -> Column:
+        found = []
+        for role in L.ROLE_VOCABULARY:
+            if not any(v in role for v in L.VETO_PHRASES):
+                pattern = r"[\s\w.,/-]{0,20}?".join(token_pattern(w) for w in role.split())
+                plain = reduce(lambda a, b: a & b, [both["small"].contains(w.lower()) for w in role.split()])
+                found.append(F.when(plain & both["text"].rlike(f"(?i){pattern}"), role))
+        return F.filter(F.array(*found), lambda r: r.isNotNull())
+
+    return let(let(text, lambda t: F.struct(t.alias("text"), F.lower(t).alias("small"))), told)
 
 
 def career_start(text: Column, now: Column) -> Column:
@@ -126,8 +146,8 @@ def career_start(text: Column, now: Column) -> Column:
         month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.regexp_extract(span, pattern, 1))) + 2) / 3
         return F.when((year >= 1980) & (year <= F.year(now)), F.make_date(year, month.cast("int"), F.lit(1)))
 
-    first = F.array_min(F.filter(F.transform(spans, day), lambda d: d.isNotNull()))
-    return F.when(F.datediff(now, first) <= 50 * 365.25, first)
+    earliest = F.array_min(F.filter(F.transform(spans, day), lambda d: d.isNotNull()))
+    return let(earliest, lambda first: F.when(F.datediff(now, first) <= 50 * 365.25, first))
 
 
 #: A text with fewer characters tells too little of a person.

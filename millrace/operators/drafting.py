@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 @dataclass(frozen=True)
 class Sender:
@@ -37,11 +39,15 @@ def _listed(skills: Column, other: str) -> Column:
 
 def cover_letter(title: Column, company: Column, skills: Column, sender: Sender) -> Column:
     """skills: names that the posting stresses, the heaviest first."""
-    lines = [
-        F.lit("Hi,\n"), F.concat(F.lit(f"I am {sender.name}, {sender.summary}, and I would like to apply for the "), title, F.lit(" role at "), company, F.lit(".\n")),
-        F.concat(F.lit("What fits this role: "), _listed(skills, sender.default_skills), F.lit(".\n")), F.concat(_topic(skills, sender), F.lit("\n")), F.lit("I am glad to talk whenever it suits you.\n"), F.lit("Thanks,"),
-    ]
-    return F.concat(F.concat_ws("\n", *lines), F.lit(sender.signature))
+
+    def written(skills: Column) -> Column:
+        lines = [
+            F.lit("Hi,\n"), F.concat(F.lit(f"I am {sender.name}, {sender.summary}, and I would like to apply for the "), title, F.lit(" role at "), company, F.lit(".\n")),
+            F.concat(F.lit("What fits this role: "), _listed(skills, sender.default_skills), F.lit(".\n")), F.concat(_topic(skills, sender), F.lit("\n")), F.lit("I am glad to talk whenever it suits you.\n"), F.lit("Thanks,"),
+        ]
+        return F.concat(F.concat_ws("\n", *lines), F.lit(sender.signature))
+
+    return let(skills, written)
 
 
 def pitch(title: Column, client: Column, skills: Column, sender: Sender) -> Column:

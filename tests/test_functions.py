@@ -125,3 +125,16 @@ def test_normalising_is_idempotent(spark, words):
     once = spark.createDataFrame([(w,) for w in words], "s string").select(text.normalize_text(F.col("s")).alias("a"), text.message_id(F.col("s")).alias("m"))
     twice = once.select("a", text.normalize_text(F.col("a")).alias("b"), "m", text.message_id(F.col("m")).alias("n"))
     assert all(r["a"] == r["b"] and r["m"] == r["n"] for r in twice.collect())
+
+
+def test_a_text_is_worked_out_once_for_all_patterns(spark):
+    from millrace.functions import facts
+    from millrace.operators import drafting
+
+    rows = spark.createDataFrame([("React and node.js, REACT; a Senior Software  Engineer",), (None,), ("",)], "x string")
+    sender = drafting.Sender("S", "an engineer", "much", "f.", ((("react",), "r."),))
+    for of in (lambda x: facts.skills(F.lower(x)), facts.target_roles, facts.emphasized_skills, lambda x: drafting.cover_letter(F.lit("t"), F.lit("c"), facts.emphasized_skills(x), sender)):
+        found = rows.select(of(F.trim("x")).alias("y"))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+        found.collect()
+    assert [r[0] for r in rows.select(F.transform(facts.emphasized_skills(F.col("x")), lambda s: s)).collect()] == [["react", "javascript", "node.js"], [], []]
