@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import facts, scoring
 from millrace.functions.text import haystack, job_page_id
 from millrace.operators import drafting, stages
+from millrace.operators.merging import join_filled
 
 
 @dataclass
@@ -40,7 +41,7 @@ def enrich(rows: DataFrame, cache: DataFrame, fetched: DataFrame, remaining: int
     """
     claimed = rows.withColumns({"__due": stages.claimable("enrich", now), "__page": job_page_id(F.col("url"))})
     known = cache.select(F.col("job_id").alias("__page"), F.struct("outcome", "description", "company").alias("__known"))
-    joined = claimed.join(known, "__page", "left")
+    joined = join_filled(claimed, known, "__page")
     asks = joined.filter(F.col("__due") & F.col("__page").isNotNull() & F.col("__known").isNull()).select("id", "__page").orderBy("id").limit(max(0, remaining))
     fresh = asks.join(fetched.select(F.col("job_id").alias("__page"), F.struct("outcome", "description", "company").alias("__fresh")), "__page", "left").select("id", "__fresh", F.lit(True).alias("__asked"))
     both = joined.join(fresh, "id", "left")
@@ -60,7 +61,9 @@ def enrich(rows: DataFrame, cache: DataFrame, fetched: DataFrame, remaining: int
 def score(rows: DataFrame, profile: scoring.Profile, threshold: int, now: datetime) -> DataFrame:
     sparse = F.coalesce("description", F.lit("")) == ""
     own = scoring.score_job({c: F.col(c) for c in rows.columns} | {"sparse": sparse}, profile, now)["score"]
-    claimed = rows.withColumns({"__due": stages.claimable("score", now), "__score": own})
+    # from an array of one: filters on what follows from the score stay above it, so it is worked out once a row
+    due = rows.withColumn("__due", stages.claimable("score", now))
+    claimed = due.withColumn("__score", F.explode(F.array(F.when(F.col("__due"), own))))
     after = stages.score_stage(F.col("__score"), threshold)
     return _settle(claimed, F.col("__due"), {"score": F.col("__score"), "status": after["status"], "stage": after["stage"]}).select(*rows.columns)
 
