@@ -8,7 +8,6 @@ posting, a company, a place or a badge is told by expressions over these arrays,
 from __future__ import annotations
 
 import email
-import email.policy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -21,6 +20,7 @@ from millrace.functions import facts, text
 from millrace.functions.text import BADGE_LINE, let
 from millrace.ship import ship
 from millrace.sources.feeds import POSTING, first_of_each, records
+from millrace.sources.headers import POLICY
 from millrace.sources.markup import Node, tree
 
 # Links, and lines that are no postings, companies or places.
@@ -209,7 +209,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                mail = email.message_from_bytes(content or b"", policy=email.policy.default)
+                mail = email.message_from_bytes(content or b"", policy=POLICY)
                 if not mail.items():
                     raise ValueError("no headers")
                 body = mail.get_body(("html", "plain"))
