@@ -7,7 +7,6 @@ is neither decoded nor parsed, and of a file with one message it is not even rea
 from __future__ import annotations
 
 import email
-import email.policy
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from millrace.ship import ship
+from millrace.sources.headers import POLICY
 
 SCHEMA = "folder string, payload string, message_id string, sender string, domain string, subject string, date timestamp, html string, headers map<string,string>, error string"
-#: Files of a folder that are read by one task.
-FILES = 1000
+#: Files of a folder that are read by one task, and bytes after which a task gets no more.
+FILES, BYTES = 1000, 16 << 20
 #: Bytes of a file that are read at a time while headers last.
 STEP = 8192
 _HOLDS = {GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, EqualTo: lambda a, b: a == b, In: lambda a, b: a in b}
@@ -80,12 +80,24 @@ class MailReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         """The files below each folder at the path, by folder; folders that the filters leave out are not listed further."""
         files, top = fs.FileSystem.from_uri(self.path)
-        by_folder: dict[str, list[str]] = {}
+        by_folder: dict[str, list[tuple[str, int]]] = {}
         for f in files.get_file_info(fs.FileSelector(top, recursive=True)):
             rest = f.path[len(top) :].strip("/").split("/")
             if f.is_file and not any(x.startswith((".", "_")) for x in rest):
-                by_folder.setdefault("/".join(rest[:-1]), []).append(f.path)
-        return [Files(name, sorted(paths)[i : i + self.files]) for name, paths in sorted(by_folder.items()) if self._wanted({"folder": name}) for i in range(0, len(paths), self.files)] or [Files("", [])]
+                by_folder.setdefault("/".join(rest[:-1]), []).append((f.path, f.size or 0))
+        return [Files(name, part) for name, paths in sorted(by_folder.items()) if self._wanted({"folder": name}) for part in self._parts(sorted(paths))] or [Files("", [])]
+
+    def _parts(self, paths: list[tuple[str, int]]) -> Iterator[list[str]]:
+        """Paths in runs of at most so many files, and of at most so many bytes if there is more than one."""
+        part, held = [], 0
+        for path, size in paths:
+            if part and (len(part) == self.files or held + size > BYTES):
+                yield part
+                part, held = [], 0
+            part.append(path)
+            held += size
+        if part:
+            yield part
 
     def read(self, partition: Files) -> Iterator[tuple]:
         files, _ = fs.FileSystem.from_uri(self.path)
@@ -115,7 +127,7 @@ class MailReader(DataSourceReader):
 
     def _row(self, folder: str, name: str, head: bytes, body) -> Iterator[tuple]:
         try:
-            headers = BytesHeaderParser(policy=email.policy.default).parsebytes(head)
+            headers = BytesHeaderParser(policy=POLICY).parsebytes(head)
             if not headers.items():
                 raise ValueError("no headers")
             known = _early(folder, headers)
@@ -127,7 +139,7 @@ class MailReader(DataSourceReader):
             return
         html, error = None, None
         try:
-            mail = email.message_from_bytes(head + body(), policy=email.policy.default)
+            mail = email.message_from_bytes(head + body(), policy=POLICY)
             part = mail.get_body(("html", "plain"))
             html = part.get_content() if part is not None else ""
             html = f"<pre>{html}</pre>" if part is not None and part.get_content_type() == "text/plain" else html

@@ -59,3 +59,15 @@ def test_bodies_outside_the_window_are_not_read(box):
     reader._single = lambda stream, head: (lambda found: (found[0], lambda: asked.append(found[0]) or found[1]()))(plain(stream, head))
     assert [r[2] for r in reader.read(part)] == ["<2@x>", "<3@x>"]
     assert len(asked) == 2 and not any(b"<1@x>" in h for h in asked)
+
+
+def test_large_files_of_a_folder_are_dealt_over_tasks(tmp_path, monkeypatch):
+    from millrace.sources import mailbox
+
+    (tmp_path / "in").mkdir()
+    for i in range(7):
+        (tmp_path / "in" / f"{i}.mbox").write_bytes(b"x" * (100 if i == 3 else 30))
+    monkeypatch.setattr(mailbox, "BYTES", 64)
+    parts = mailbox.MailReader(str(tmp_path)).partitions()
+    assert [len(p.paths) for p in parts] == [2, 1, 1, 2, 1] and sorted(x for p in parts for x in p.paths) == sorted(str(p) for p in (tmp_path / "in").iterdir())
+    assert [len(p.paths) for p in mailbox.MailReader(str(tmp_path), 1).partitions()] == [1] * 7
