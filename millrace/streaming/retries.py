@@ -8,10 +8,8 @@ whenever it is made; with processing time it is the cluster's.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +21,9 @@ from millrace.ship import ship
 #: What happens to a row: kind is failed or done; others only move the clock.
 EVENT = "id long, kind string, at timestamp, error string"
 #: What becomes of it: waiting (until due), due, done or given up.
+#: Rows go to and from Python with times in milliseconds; as frames of pandas each key took many times as long.
+_TOLD = "id long, change string, attempts int, at long, due long, error string"
+_ROW = Row("id", "change", "attempts", "at", "due", "error")
 CHANGE = "id long, change string, attempts int, at timestamp, due timestamp, error string"
 
 
@@ -31,10 +32,6 @@ def delay_seconds(attempts: int, seed: int) -> int:
     return min(FIRST_DELAY * 2 ** min(max(0, attempts - 1), 30), LONGEST_DELAY) + seed % 17
 
 
-def _time(ms: int | None) -> datetime | None:
-    return None if ms is None else datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None)
-
-
 class Retrier(StatefulProcessor):
     """Of a row: how often it failed, when it is due, and the last error. A row that is done or given up has no state."""
 
@@ -44,30 +41,24 @@ class Retrier(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("row", "attempts int, due long, error string")
 
-    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            frame = pd.DataFrame(rows, columns=["id", "change", "attempts", "at", "due", "error"])
-            yield frame.astype({"attempts": "int32", "at": "datetime64[ns]", "due": "datetime64[ns]"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
-        attempts, due, last = self.state.get() if self.state.exists() else (0, None, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted(((r["ms"], r["kind"] is None, r["kind"] or "", r["error"]) for r in rows), key=lambda e: e[:3])
+        attempts, due, last = self.state.get() or (0, None, None)
         before, out = due, []
-        for kind, at, error in zip(events["kind"], events["at"].astype("datetime64[ms]").astype("int64"), events["error"], strict=True):
-            error = error if isinstance(error, str) else None
-            if due is not None and due <= int(at) and not self.by_clock:  # its time came before this, though its timer did not run out yet
-                out.append((key[0], "due", attempts, _time(due), _time(due), last))
+        for at, _, kind, error in events:
+            if due is not None and due <= at and not self.by_clock:  # its time came before this, though its timer did not run out yet
+                out.append((key[0], "due", attempts, due, due, last))
                 due = None
             if kind == "failed":
                 attempts += 1
-                now = int(timerValues.getCurrentProcessingTimeInMs()) if self.by_clock else int(at)
+                now = int(timerValues.getCurrentProcessingTimeInMs()) if self.by_clock else at
                 due = None if attempts >= self.most else now + 1000 * delay_seconds(attempts, key[0])
-                out.append((key[0], "waiting" if due else "given up", attempts, _time(int(at)), _time(due), error and error[:500]))
+                out.append((key[0], "waiting" if due else "given up", attempts, at, due, error and error[:500]))
                 last = error and error[:500]
                 self.state.update((attempts, due, last)) if due else self.state.clear()
                 attempts = attempts if due else 0
             elif kind == "done":
-                out.append((key[0], "done", attempts, _time(int(at)), None, None))
+                out.append((key[0], "done", attempts, at, None, None))
                 self.state.clear()
                 attempts, due = 0, None
         if due != before:
@@ -75,14 +66,16 @@ class Retrier(StatefulProcessor):
                 self.handle.deleteTimer(before)
             if due is not None:
                 self.handle.registerTimer(due)
-        yield from self._out(out)
+        for x in out:
+            yield _ROW(*x)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            attempts, due, error = self.state.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is not None:
+            attempts, due, error = held
             if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
                 self.state.update((attempts, None, error))
-                yield from self._out([(key[0], "due", attempts, _time(due), _time(due), error)])
+                yield _ROW(key[0], "due", attempts, due, due, error)
 
     def close(self) -> None:
         pass
@@ -99,7 +92,8 @@ def retry_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, mo
     store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        changes = events.groupBy("id").transformWithStateInPandas(statefulProcessor=Retrier(most, by_clock), outputStructType=CHANGE, outputMode="Update", timeMode="ProcessingTime" if by_clock else "EventTime")
+        told = events.withColumn("ms", F.unix_millis("at")).groupBy("id").transformWithState(statefulProcessor=Retrier(most, by_clock), outputStructType=_TOLD, outputMode="Update", timeMode="ProcessingTime" if by_clock else "EventTime")
+        changes = told.select("id", "change", "attempts", F.timestamp_millis("at").alias("at"), F.timestamp_millis("due").alias("due"), "error")
         run = changes.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
         # timers by the clock may run out at any time, so such a query goes on until it is stopped
         return run.option("checkpointLocation", checkpoint).trigger(**({"processingTime": "1 second"} if by_clock else {"availableNow": True})).start()
