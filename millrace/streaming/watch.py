@@ -13,8 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +26,8 @@ MESSAGE = "ord long, sent boolean, message_id string, in_reply_to string, refere
 LOOK_BACK = timedelta(days=14)
 #: The rules in order of precedence.
 RULES = ["in-reply-to", "references", "sender"]
+_TOLD = "ord long, rule int, place int, ref_ord long, ms long"  # rows go to and from Python with times in milliseconds; as frames of pandas each key took many times as long
+_ROW = Row("ord", "rule", "place", "ref_ord", "ms")
 _FOUND = "ord long, rule int, place int, ref_ord long, replied_at timestamp"
 
 
@@ -53,16 +54,16 @@ class Matcher(StatefulProcessor):
         self.last = handle.getValueState("last", "ms long")
         self.waiting = handle.getListState("waiting", "ord long, rule int, place int, ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.first.get()[0] if self.first.exists() else None
-        came, first, last = [], before, self.last.get()[0] if self.last.exists() else 0
-        for part in rows:
-            ms = part["at"].astype("datetime64[ms]").astype("int64")
-            last = max(last, int(ms.max()))
-            sent = part["sent"].astype(bool)
-            if sent.any():
-                first = min(int(part.loc[sent, "ord"].min()), first if first is not None else 1 << 62)
-            came += [(int(o), int(r), int(p), int(m)) for o, r, p, m in zip(part["ord"][~sent], part["rule"][~sent], part["place"][~sent], ms[~sent], strict=True)]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, heard = self.first.get(), self.last.get()
+        before = held[0] if held is not None else None
+        came, first, last = [], before, heard[0] if heard is not None else 0
+        for r in rows:
+            last = max(last, r["ms"] or 0)
+            if not r["sent"]:
+                came.append((r["ord"], r["rule"], r["place"], r["ms"]))
+            elif first is None or r["ord"] < first:
+                first = r["ord"]
         if first != before:  # those that came before meet the sent message now, or an earlier one
             self.first.update((first,))
             found = [*map(tuple, self.waiting.get()), *came]
@@ -72,12 +73,12 @@ class Matcher(StatefulProcessor):
             self.waiting.appendList(came)
         self.last.update((last,))
         self.handle.registerTimer(last + self.keep_ms)
-        for i in range(0, len(found), 10_000):
-            part = pd.DataFrame(found[i : i + 10_000], columns=["ord", "rule", "place", "ms"])
-            yield pd.DataFrame({"ord": part["ord"], "rule": part["rule"].astype("int32"), "place": part["place"].astype("int32"), "ref_ord": first, "replied_at": pd.to_datetime(part["ms"], unit="ms")})
+        for o, rule, place, ms in found:
+            yield _ROW(o, rule, place, first, ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[0] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        heard = self.last.get()
+        if heard is not None and heard[0] + self.keep_ms <= expiredTimerInfo.getExpiryTimeInMs():
             for state in (self.first, self.last, self.waiting):
                 state.clear()
         return iter(())
@@ -99,7 +100,8 @@ def watch_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, lo
     ship(spark)
     arriving = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", per_batch).parquet(folder)
     events = key_events(arriving).withWatermark("at", f"{int(look_back.total_seconds())} seconds")
-    found = events.groupBy("key").transformWithStateInPandas(statefulProcessor=Matcher(look_back), outputStructType=_FOUND, outputMode="Update", timeMode="EventTime")
+    told = events.withColumn("ms", F.unix_millis("at")).groupBy("key").transformWithState(statefulProcessor=Matcher(look_back), outputStructType=_TOLD, outputMode="Update", timeMode="EventTime")
+    found = told.select("ord", "rule", "place", "ref_ord", F.timestamp_millis("ms").alias("replied_at"))
 
     def write(rows: DataFrame, batch: int) -> None:
         best_of(rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")
