@@ -117,9 +117,11 @@ def card_postings(outlines: DataFrame) -> DataFrame:
     siblings = F.transform(F.get("outline.rows", F.col("link.row")), lambda i: F.get("outline.links", i))
     linked = F.get(F.transform(F.filter(siblings, lambda x: F.contains(x["href"], F.lit("linkedin.com/company/"))), lambda x: x["text"]), F.lit(0))
     shape = F.struct(F.col("link.text").alias("text"), cell.alias("whole"), linked.alias("linked"))
-    size = F.length("link.text")
+    # from an array of one, so that what is sorted by mail and number holds a card and not the whole outline
+    each = each.select("payload", "date", "at", "id", F.explode(F.array(shape)).alias("shape"))
+    shape, size = F.col("shape"), F.length("shape.text")
     cards = each.groupBy("payload", "date", "id").agg(
-        F.min("at").alias("pos"), F.max_by(shape, F.struct(size, -F.col("at"))).alias("card"), F.min_by("link.text", F.struct(size, "at")).alias("shortest"), F.count("*").alias("n"), F.bool_or(F.contains("link.text", F.lit(text.CARD_SEPARATOR))).alias("parted"),
+        F.min("at").alias("pos"), F.max_by(shape, F.struct(size, -F.col("at"))).alias("card"), F.min_by("shape.text", F.struct(size, "at")).alias("shortest"), F.count("*").alias("n"), F.bool_or(F.contains("shape.text", F.lit(text.CARD_SEPARATOR))).alias("parted"),
     )
     own = cards.withColumn("told", text.repair_card(F.col("card.text"))).withColumn("one", (F.col("n") > 1) & F.col("parted"))
     # a card in one link

@@ -213,3 +213,16 @@ def test_trees_of_broken_markup():
     root = tree("<table><tr><td>a<td>b<tr><td>c</table><p>d<p>e<script>var x = '<p>';</script>")
     assert [n.squeezed() for n in root.all("td")] == ["a", "b", "c"] and root.lines() == ["a", "b", "c", "d", "e"]
     assert tree("").lines() == [] and F is not None
+
+
+def test_mails_of_one_file_are_dealt_over_tasks(spark):
+    mail = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("payload"), F.timestamp_seconds("id").alias("date"), F.lit("<p>x</p>").alias("html"))
+    rows = alerts.outlined(mail).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 200 and sum(r["count"] for r in rows) == 400
+
+
+def test_what_is_sorted_by_card_holds_no_outline(spark):
+    mail = spark.createDataFrame([("m", "<a href='https://linkedin.com/jobs/view/1'>Dev</a>")], "payload string, html string").withColumn("date", F.timestamp_seconds(F.lit(1)))
+    plan = alerts.card_postings(alerts.outlined(mail))._jdf.queryExecution().executedPlan().toString()
+    aggregate = [x for x in plan.split("\n") if "partial_max_by" in x]
+    assert aggregate and not any("outline" in x for x in aggregate)
