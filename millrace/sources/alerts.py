@@ -79,9 +79,13 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def outlined(mail: DataFrame) -> DataFrame:
-    """(payload, date, outline, error) of messages; one that cannot be parsed has an error and no outline."""
+    """(payload, date, outline, error) of messages; one that cannot be parsed has an error and no outline.
+
+    Messages are dealt over as many tasks as a shuffle has, however few the files or row groups that they come from.
+    """
     ship(mail.sparkSession)
-    return mail.select("payload", "date", "html").mapInArrow(_outlines, f"payload string, date timestamp, outline {OUTLINE}, error string")
+    tasks = int(mail.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mail.select("payload", "date", "html").repartition(tasks, "payload", "date").mapInArrow(_outlines, f"payload string, date timestamp, outline {OUTLINE}, error string")
 
 
 def is_navigation(line: Column) -> Column:
