@@ -19,11 +19,12 @@ def mark_applied(jobs: DataFrame, applications: DataFrame, marks: DataFrame, now
     refused: (ord, job_id, reason) of marks without a positive id or whose job is not there.
     """
     bad = F.col("job_id").isNull() | (F.col("job_id") <= 0)
-    known = marks.filter(~bad).join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     unknown = marks.filter(~bad).join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
     refused = marks.filter(bad).select("ord", "job_id", F.lit("a positive id is needed").alias("reason")).unionByName(unknown.select("ord", "job_id", F.lit("job not found").alias("reason")))
-    last = known.groupBy("job_id").agg(F.max_by(F.coalesce("undo", F.lit(False)), "ord").alias("undone"))
-    done = jobs.join(last.withColumnRenamed("job_id", "id"), "id", "left")
+    # one row a job before any join, so that a job with very many marks is one row there
+    marked = marks.filter(~bad).groupBy("job_id").agg(F.max_by(F.coalesce("undo", F.lit(False)), "ord").alias("undone"))
+    last = marked.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    done = jobs.join(marked.withColumnRenamed("job_id", "id"), "id", "left")
     new = F.when(F.col("undone"), "ready_for_review").otherwise("applied")
     after = done.withColumns({"status": F.when(F.col("undone").isNotNull(), new).otherwise(F.col("status")), "updated_at": F.when(F.col("undone").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))}).select(*jobs.columns)
     joined = applications.join(last, "job_id", "left")

@@ -99,3 +99,20 @@ def test_sources_are_read_side_by_side_in_order(spark):
     found = registry.read_sources(spark, sources, {}, lambda n: None, {f"s{i}": slow(i) for i in range(5)})
     assert time.time() - began < 4.5
     assert [r["title"] for r in found.rows.orderBy("ord").collect()] == ["t0", "t1", "t3", "t4"] and found.errors == {"s2": "s2: down"}
+
+
+def test_marks_are_one_row_a_job_before_they_are_joined(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import actions
+
+    jobs = spark.createDataFrame([(1, "found"), (2, "found")], "id long, status string").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    applications = spark.createDataFrame([(1, "manual_portal", "old"), (3, "manual_portal", "old")], "job_id long, send_mode string, status string").withColumn("sent_at", F.lit(None).cast("timestamp"))
+    marks = spark.createDataFrame([(1, 1, None), (2, 1, True), (3, 3, None), (4, None, None)], "ord long, job_id long, undo boolean")
+    after, sent, refused = actions.mark_applied(jobs, applications, marks, datetime(2024, 5, 1))
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r["id"], r["status"]) for r in after.collect()) == [(1, "ready_for_review"), (2, "found")]
+    assert sorted((r["job_id"], r["status"]) for r in sent.collect()) == [(1, "ready_for_review"), (3, "old")]
+    assert sorted((r["ord"], r["reason"]) for r in refused.collect()) == [(3, "job not found"), (4, "a positive id is needed")]
