@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import HOT, Saved, free_name, join_unique, temporary
+from millrace.llm.common import HOT, Saved, free_name, join_unique, perhaps_among, temporary
 from millrace.llm.components import connected_components
 from millrace.llm.simhash import RADIUS, covering_masks, near_links
 from millrace.ship import ship
@@ -207,8 +207,12 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = Saved(prints.groupBy("h").agg(F.count("*").alias("n"))).df
 
     def sets(asked: DataFrame) -> DataFrame:
-        """(h, s) of the texts asked for; rows of a text that very many have are not gathered before they are one a task."""
-        return join_unique(prints.select("h", "s"), copies.join(asked, "h", "left_semi"), ["h"]).groupBy("h").agg(F.first("s").alias("s"))
+        """(h, s) of the texts asked for; rows of a text that very many have are not gathered before they are one a task.
+
+        Few texts are asked for, and shingles are most of what is written: those of other texts stay where they are.
+        """
+        held = prints.select("h", "s").filter(perhaps_among(asked)("h"))
+        return join_unique(held, copies.join(asked, "h", "left_semi"), ["h"]).groupBy("h").agg(F.first("s").alias("s"))
 
     def grouped(sure: DataFrame) -> Saved:
         return Saved(connected_components(sure, "a", "b").select(F.col("node").alias("h"), F.col("component").alias("g")))
@@ -307,13 +311,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are chosen over ids and hashes alone; texts move once, to meet the rows that stay. Of rows that repeat each
     other in id and text, one stays. Columns of any name stay as they are.
     """
-    own_id, own_h, own_n = (free_name(docs, n) for n in ("first_id", "first_h", "first_n"))
+    own_key, own_n = free_name(docs, "first_key"), free_name(docs, "first_n")
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "h")).alias("first")
     with temporary() as made:  # ids and hashes of those that stay are all that is kept
         groups = near_copy_groups(docs, id_col, text_col, words, similarity, radius)
-        kept = Saved(groups.groupBy("group").agg(first).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h)))
+        kept = Saved(groups.groupBy("group").agg(first).select(F.struct("first.id", "first.h").alias(own_key)))
         made.remove(kept)
-    stay = kept.df
-    mine = docs.withColumn(own_h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = mine.join(stay, mine[id_col].eqNullSafe(stay[own_id]) & (mine[own_h] == stay[own_h])).drop(stay[own_h])
-    return joined.withColumn(own_n, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(F.lit(1)))).filter(F.col(own_n) == 1).select(*docs.columns)
+    # the join and the window have one key of one type, a struct that is never null, so that texts are shuffled once for both
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    mine = docs.withColumn(own_key, own.cast(kept.df.schema[own_key].dataType))
+    joined = mine.join(kept.df, own_key)
+    return joined.withColumn(own_n, F.row_number().over(Window.partitionBy(own_key).orderBy(F.lit(1)))).filter(F.col(own_n) == 1).select(*docs.columns)

@@ -11,8 +11,9 @@ import pandas as pd
 import pytest
 import xxhash
 from helpers import EDGE, SF, documents, prose
+from pyspark.sql import functions as F
 
-from millrace.llm import merkle, near_copies, simhash
+from millrace.llm import common, merkle, near_copies, simhash
 from millrace.llm.components import connected_components
 from millrace.llm.queries import QUERIES
 
@@ -205,6 +206,41 @@ def test_one_of_each_keeps_the_first(spark):
     assert near_copies.one_of_each(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_texts_are_shuffled_once_for_the_rows_that_stay(spark):
+    docs = documents(spark, EDGE + FAMILIES)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_copies.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows with their texts, and the keys of those that stay
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_shingles_that_no_pair_asks_for_are_not_shuffled(spark, monkeypatch):
+    fetched, join = [], near_copies.join_unique
+
+    def counted(rows, unique, key, *more, **named):
+        if "s" in rows.columns:
+            fetched.append(rows.count())
+        return join(rows, unique, key, *more, **named)
+
+    monkeypatch.setattr(near_copies, "join_unique", counted)
+    rows = [(i, prose(3000 + i)) for i in range(400)] + [(1000 + i, edited(prose(90, 200), i, i)) for i in range(4)]
+    assert groups_of(near_copies.near_copy_groups(documents(spark, rows)).collect()) == slow_groups_of(rows)
+    assert fetched and 4 <= max(fetched) <= 40
+
+
+def test_a_table_of_hashes_has_all_of_them_and_few_others(spark):
+    own = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("h"))
+    for most, others in ((common.TABLE_BITS, 3000), (1 << 12, 30_000)):
+        passed = {r["id"] for r in rows.filter(common.perhaps_among(own, most)("h")).collect()}
+        assert set(range(3000)) <= passed and len(passed) <= 3000 + others
+    assert rows.filter(common.perhaps_among(own.filter("false"))("h")).count() == 0
+
+
 def test_components_of_a_chain_a_star_and_strings(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
