@@ -29,6 +29,7 @@ def _decompositions() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _decompositions()
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -171,13 +172,18 @@ def _where(text: Column, letters: str, change: Callable[[Column], Column]) -> Co
 
 
 def informative_length(text: Column) -> Column:
-    """Characters that inform: without markup, entities, addresses and boilerplate, white space squeezed."""
+    """Characters that inform: without markup, entities, addresses and boilerplate, white space squeezed.
+
+    White space is a blank, tab or line end; at the ends also every other Unicode space. A letter counts as one in either case.
+    """
     marked = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?is)<(script|style)(?![A-Za-z0-9_])[^>]*>.*?</\1>", " "), "<[^>]*>", " ")
     out = _where(_where(text, "<", marked), "&", decode_entities)
-    out = F.lower(_where(out, "http", lambda t: F.regexp_replace(t, r"https?://\S+", " ")))
+    out = _where(out, "http", lambda t: F.regexp_replace(t, r"https?://[^\t\n\f\r ]+", " "))
+    out = F.lower(_where(out, "\u0130", lambda t: F.replace(t, F.lit("\u0130"), F.lit("i"))))
     for pattern in L.BOILERPLATE:
         out = _where(out, "" if "|" in re.sub(r"\(.*?\)", "", pattern) else re.match("[a-z ]*", pattern)[0], lambda t, pattern=pattern: F.regexp_replace(t, pattern, " "))
-    return F.length(F.trim(F.regexp_replace(out, r"\s+", " ")))
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return F.length(let(F.trim(F.regexp_replace(out, r"[\t\n\f\r ]+", " ")), lambda t: F.when(ends(t).rlike(f"[{_SPACES}]"), F.trim(t, F.lit(_SPACES))).otherwise(t)))
 
 
 def token_pattern(token: str) -> str:

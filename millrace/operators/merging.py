@@ -48,12 +48,13 @@ def merge_batch(rows: DataFrame, key: str, ord_col: str, richest: str = "descrip
     return merged.join(firsts, key).select(key, "__first.*", richest, *first_filled, "sources")
 
 
-def reconcile(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def reconcile(batch: DataFrame, stored: DataFrame, blank: int = -1) -> DataFrame:
     """What a merged batch does to the stored rows, by fingerprint: insert, skip or merge, with the values to write.
 
     Of stored rows with one fingerprint the last id counts. A candidate that is the stored row itself is skipped. A
     merge keeps the richer text (the stored one of equals), the stored e-mail if there is one, and all sources; where
-    the text changed, experience is derived again and the row goes back to scoring.
+    the text changed, experience is derived again and the row goes back to scoring. A blank text counts blank; at -1 any
+    other text is richer, at 0 only one that informs.
     """
     last = latest_child(stored, "fingerprint", "id").select("fingerprint", *[F.col(c).alias(f"s_{c}") for c in ("id", "source", "source_id", "sources", "description", "apply_email")])
     both = batch.join(last, "fingerprint", "left")
@@ -61,7 +62,7 @@ def reconcile(batch: DataFrame, stored: DataFrame) -> DataFrame:
     action = F.when(F.col("s_id").isNull(), "insert").when(same, "skip").otherwise("merge")
 
     def info(c: str) -> Column:
-        return F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", informative_length(F.col(c))).otherwise(-1)
+        return F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", informative_length(F.col(c))).otherwise(blank)
 
     merging = action == "merge"
     # each from an array of one, so that a text is measured and searched once, however many columns follow from it
